@@ -273,10 +273,10 @@ def _(t):
 
 
 @query("ag63_colour_scale", """
-SELECT cond, round(quantile_cont(v, 0.01), 6) AS vmin, round(quantile_cont(v, 0.99), 6) AS vmax
+SELECT cond, round(quantile_cont(v, 0.02), 6) AS vmin, round(quantile_cont(v, 0.99), 6) AS vmax
 FROM fx_pixels WHERE v > 0 GROUP BY cond""", ("fx_pixels",))
 def _(t):
-    s = M.colour_scale(t.fx("fx_pixels"), ["cond"])
+    s = M.colour_scale(t.fx("fx_pixels"), ["cond"], 2.0, 99.0)
     return s.select("cond", round6(F.col("vmin")).alias("vmin"), round6(F.col("vmax")).alias("vmax"))
 
 
@@ -333,13 +333,17 @@ def _(t):
 
 
 @query("prj15_balance_column", """
-SELECT 'auto' AS asked, 'weight' AS used UNION ALL SELECT 'true', 'weight' UNION ALL
-SELECT 'raw', NULL UNION ALL SELECT 'kr', 'kr' FROM (SELECT count(*) FROM part)""")
+SELECT bin, round(weight, 6) AS by_true, round(weight, 6) AS by_auto, round(kr, 6) AS by_name,
+       CAST(1.0 AS DOUBLE) AS by_false
+FROM fx_bins""", ("fx_bins",))
 def _(t):
     bins = t.fx("fx_bins")
-    asked = {"auto": "auto", "true": True, "raw": False, "kr": "kr"}
-    one = bins.agg(F.count(F.lit(1)).alias("n"))
-    return one.select(F.explode(F.array(*[
-        F.struct(F.lit(k).alias("asked"), F.lit(H.balance_column(bins.columns, v)).alias("used"))
-        for k, v in asked.items()
-    ])).alias("r")).select("r.*")
+
+    def chosen(asked):
+        name = H.balance_column(bins.columns, asked)
+        return round6(F.col(name) if name else F.lit(1.0))
+
+    return bins.select(
+        "bin", chosen(True).alias("by_true"), chosen("auto").alias("by_auto"),
+        chosen("kr").alias("by_name"), chosen(False).alias("by_false"),
+    )

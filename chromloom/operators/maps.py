@@ -17,6 +17,7 @@ from chromloom.functions.skew import percentiles
 from chromloom.operators import curves
 
 INSULATION_WINDOW = 50
+PARTS = ("diamond", "diamond_n", "flank", "flank_n")
 
 
 def insulation(
@@ -29,6 +30,7 @@ def insulation(
     zero. Each pixel closer than 2*window to the diagonal feeds three ranges of bins: the
     diamond it lies in and the flanks left and right of it. Ranges are summed as differences
     (+v where a range starts, -v after its end), so a pixel costs six rows whatever the window.
+    Whether a block is empty is decided by whole-number counts, free of rounding.
     """
     keys = list(keys)
     i, j, w = F.col("i"), F.col("j"), window
@@ -36,27 +38,27 @@ def insulation(
     twice = F.when(i == j, F.col("_v")).otherwise(2 * F.col("_v"))
     ranges = [
         ("diamond", F.greatest(i + 1, j - w + 1), F.least(j, i + w), F.col("_v"), i < j),
-        ("left", j + 1, i + w, twice, j - i < w),
-        ("right", j - w + 1, i, twice, j - i < w),
+        ("flank", j + 1, i + w, twice, j - i < w),
+        ("flank", j - w + 1, i, twice, j - i < w),
     ]
     entries = F.array(*[
         F.when(
             cond & (lo <= hi),
             F.array(
-                F.struct(lo.cast("int").alias("bin"), *_parts(kind, v)),
-                F.struct((hi + 1).cast("int").alias("bin"), *_parts(kind, -v)),
+                F.struct(lo.cast("int").alias("bin"), *_parts(kind, v, 1)),
+                F.struct((hi + 1).cast("int").alias("bin"), *_parts(kind, -v, -1)),
             ),
         ).otherwise(F.array())
         for kind, lo, hi, v, cond in ranges
     ])
     steps = near.select(*keys, F.explode(F.flatten(entries)).alias("e")).groupBy(
         *keys, F.greatest(F.col("e.bin"), F.lit(0)).alias("_b")
-    ).agg(*[F.sum(f"e.{k}").alias(f"_{k}") for k in ("diamond", "left", "right")])
+    ).agg(*[F.sum(f"e.{k}").alias(f"_{k}") for k in PARTS])
     order = W.partitionBy(*keys).orderBy("_b")
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     sums = steps.where(F.col("_b") <= n_bins).select(
         *keys, "_b",
-        *[F.sum(f"_{k}").over(upto).alias(k) for k in ("diamond", "left", "right")],
+        *[F.sum(f"_{k}").over(upto).alias(k) for k in PARTS],
         F.lag("_b").over(order).isNull().alias("_first"),
         (F.lead("_b", 1, n_bins).over(order) - 1).alias("_to"),
     )
@@ -65,21 +67,23 @@ def insulation(
         "bin", F.explode(F.sequence(start, F.col("_to")))
     )
     present = F.col("bin") >= F.col("_b")
-    inside = F.when(present, F.col("diamond")).otherwise(F.lit(0.0)) / float(w * w)
-    flank = F.when(present, F.col("left") + F.col("right")).otherwise(F.lit(0.0)) / float(2 * w * w)
-    # differences of sums leave rounding noise where the true sum is zero
-    noise = 1e-9
+    inside = F.col("diamond") / float(w * w)
+    flank = F.col("flank") / float(2 * w * w)
     usable = (
-        (F.col("bin") >= w) & (F.col("bin") < n_bins - w) & (inside > noise) & (flank > noise)
+        present & (F.col("bin") >= w) & (F.col("bin") < n_bins - w)
+        & (F.col("diamond_n") > 0) & (F.col("flank_n") > 0) & (inside > 0) & (flank > 0)
     )
     score = F.when(usable, F.log2(inside / flank)).otherwise(F.lit(undefined).cast("double"))
     return filled.select(*keys, "bin", score.alias("score"))
 
 
-def _parts(kind: str, v: Column) -> list[Column]:
-    return [
-        (v if kind == k else F.lit(0.0)).cast("double").alias(k) for k in ("diamond", "left", "right")
-    ]
+def _parts(kind: str, v: Column, sign: int) -> list[Column]:
+    out = []
+    for k in ("diamond", "flank"):
+        filled = F.when(v != 0, F.lit(sign)).otherwise(F.lit(0)) if k == kind else F.lit(0)
+        out.append((v if k == kind else F.lit(0.0)).cast("double").alias(k))
+        out.append(filled.cast("long").alias(f"{k}_n"))
+    return out
 
 
 def join_maps(
@@ -249,7 +253,7 @@ def balance(
 
 
 def colour_scale(
-    pixels: DataFrame, keys: Sequence[str], lo: float = 1.0, hi: float = 98.0 + 1.0, value: str = "v"
+    pixels: DataFrame, keys: Sequence[str], lo: float = 1.0, hi: float = 98.0, value: str = "v"
 ) -> DataFrame:
     """Two percentiles of the positive pixels of all maps that share ``keys``."""
     p = percentiles(pixels.where(F.col(value) > 0), keys, value, [lo / 100.0, hi / 100.0])
