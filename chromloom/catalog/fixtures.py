@@ -91,7 +91,7 @@ def _pair(t):
 def _trace(t):
     numbered = row_numbers(
         t("events").select("user_id", "ts", "event_id", "value"),
-        ["user_id"], ["ts", "event_id"], F.floor(F.unix_micros("ts") / 3600000000),
+        ["user_id"], ["ts", "event_id"], F.unix_date(F.col("ts").cast("date")) * 24 + F.hour("ts"),
     )
     return numbered.select(
         F.col("user_id").alias("series"),

@@ -49,3 +49,310 @@ def convergent_pairs(
         *keys, F.col("a_bin").alias("anchor1"), F.col("b_bin").alias("anchor2"),
         (F.col("b_bin") - F.col("a_bin")).alias("size_bins"),
     )
+
+
+def adjacent_convergent(sites: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Number of forward sites directly followed by a reverse site in position order.
+
+    Sites of one type and locus are at most two per bin of the locus.
+    """
+    following = F.lead("ori").over(W.partitionBy(*keys).orderBy("bin", "ori"))
+    return sites.withColumn("_next", following).groupBy(*keys).agg(
+        F.count(F.when((F.col("ori") == 1) & (F.col("_next") == -1), 1)).alias("convergent")
+    )
+
+
+def conserved_sites(
+    sites: DataFrame, keys: Sequence[str], types: Sequence[str], type_column: str = "ctcf_type",
+    tol: int = 0,
+) -> DataFrame:
+    """Sites present in every type: (keys, bin, ori).
+
+    With ``tol`` the first type's sites are kept if every other type has a site of the same
+    orientation within ``tol`` bins.
+    """
+    keys = list(keys)
+    one = sites.select(*keys, type_column, "bin", "ori").distinct()
+    if tol <= 0:
+        return (
+            one.where(F.col(type_column).isin(list(types)))
+            .groupBy(*keys, "bin", "ori").agg(F.count(F.lit(1)).alias("_n"))
+            .where(F.col("_n") == len(types)).drop("_n")
+        )
+    kept = one.where(F.col(type_column) == types[0]).drop(type_column)
+    for other in types[1:]:
+        there = one.where(F.col(type_column) == other).drop(type_column)
+        near = pairs_within(kept, there, [*keys, "ori"], -tol, tol).select(
+            *keys, "ori", F.col("a_bin").alias("bin")
+        )
+        kept = kept.join(near.distinct(), [*keys, "ori", "bin"], "left_semi")
+    return kept.select(*keys, "bin", "ori")
+
+
+def shared_or_specific(
+    a: DataFrame, b: DataFrame, keys: Sequence[str], tol: int = 2
+) -> DataFrame:
+    """Sites of a with a neighbour in b within ``tol`` bins, of a alone and of b alone.
+
+    Orientation is not compared.
+    """
+    keys = list(keys)
+
+    def split(x: DataFrame, y: DataFrame, here: str, alone: str) -> DataFrame:
+        at = x.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_c"))
+        near = pairs_within(
+            at.select(*keys, "bin"), y.select(*keys, "bin").distinct(), keys, -tol, tol
+        ).select(*keys, F.col("a_bin").alias("bin")).distinct().withColumn("_near", F.lit(True))
+        return at.join(near, [*keys, "bin"], "left").groupBy(*keys).agg(
+            F.sum(F.when(F.col("_near"), F.col("_c")).otherwise(0)).alias(here),
+            F.sum(F.when(F.col("_near"), 0).otherwise(F.col("_c"))).alias(alone),
+        )
+
+    left = split(a, b, "shared", "a_only")
+    right = split(b, a, "_drop", "b_only").drop("_drop")
+    zero = F.lit(0).cast("long")
+    return left.join(right, keys, "full").select(
+        *keys, *[F.coalesce(c, zero).alias(c) for c in ("shared", "a_only", "b_only")]
+    )
+
+
+def site_signal(sites: DataFrame, peaks: DataFrame, keys: Sequence[str], line: str = "line") -> DataFrame:
+    """Signal of the peak a site came from, by name; the last line of a name wins.
+
+    Unmatched sites get the median of the matched ones of their ``keys``, or 1 if none match.
+    The median runs over distinct signals with counts.
+    """
+    keys = list(keys)
+    by_name = peaks.where(F.col("signal").isNotNull()).groupBy(*keys, "name").agg(
+        F.max_by("signal", line).alias("_signal")
+    )
+    joined = sites.join(by_name, [*keys, "name"], "left")
+    counted = joined.groupBy(*keys, "_signal").agg(F.count(F.lit(1)).alias("_c"))
+    middle = counted.groupBy(*keys).agg(F.percentile("_signal", 0.5, "_c").alias("_median"))
+    return joined.join(middle, keys).withColumn(
+        "signal", F.coalesce("_signal", "_median", F.lit(1.0))
+    ).drop("_signal", "_median")
+
+
+def anchor_overlap(loops: DataFrame, sites: DataFrame, bucket: int = 10_000) -> DataFrame:
+    """Loops (loop_id, chrom, a_start, a_end, b_start, b_end) marked convergent when the first
+    anchor overlaps a forward site and the second a reverse site (half-open intervals)."""
+    from chromloom.operators.checks import interval_pairs
+
+    flags = []
+    for side, strand, name in (("a", "+", "_plus"), ("b", "-", "_minus")):
+        anchors = loops.select(
+            "loop_id", "chrom", F.col(f"{side}_start").alias("start"), F.col(f"{side}_end").alias("end")
+        )
+        hit = interval_pairs(
+            anchors, sites.where(F.col("strand") == strand).select("chrom", "start", "end"),
+            bucket,
+        ).select("loop_id").distinct().withColumn(name, F.lit(True))
+        flags.append(hit)
+    no = F.lit(False)
+    return (
+        loops.join(flags[0], "loop_id", "left").join(flags[1], "loop_id", "left")
+        .withColumn("convergent", F.coalesce("_plus", no) & F.coalesce("_minus", no))
+        .drop("_plus", "_minus")
+    )
+
+
+def loop_site_change(calls: DataFrame) -> DataFrame:
+    """Per loop: convergent in the first and second type (a, b) gives kept, lost, gained or none."""
+    a, b = F.col("in_a"), F.col("in_b")
+    return calls.withColumn(
+        "change",
+        F.when(a & b, "kept").when(a, "lost").when(b, "gained").otherwise("none"),
+    )
+
+
+def change_share(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Number and share of loops per class of change."""
+    n = changes.groupBy(*keys, "change").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
+    return n.withColumn("share", F.col("n") / total)
+
+
+def rank_capture(
+    sites: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float
+) -> DataFrame:
+    """Signal to probability by rank: weakest ``lo``, strongest ``hi``, ties share their mean rank.
+
+    Equal signals, or a single site, get the midpoint. Ranks come from counts per distinct
+    value, summed in value order inside value buckets, so a type may hold any number of sites.
+    """
+    from chromloom.functions.skew import running_total, value_bucket
+
+    keys = list(keys)
+    counts = sites.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ends = running_total(counts, keys, ["_v"], value_bucket(F.col("_v")), F.col("_c"), "_end")
+    totals = counts.groupBy(*keys).agg(
+        F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_distinct")
+    )
+    mean_rank = F.col("_end") - F.col("_c") + (F.col("_c") - 1) / 2.0
+    p = F.when(F.col("_distinct") == 1, F.lit((lo + hi) / 2.0)).otherwise(
+        F.lit(lo) + F.lit(hi - lo) * F.try_divide(mean_rank, (F.col("_n") - 1).cast("double"))
+    )
+    ranked = ends.join(totals, keys).select(*keys, F.col("_v").alias(value), p.alias("p"))
+    return sites.join(ranked, [*keys, value])
+
+
+def stall_map(sites: DataFrame, keys: Sequence[str], p: str = "p") -> DataFrame:
+    """Highest probability per bin and side: forward sites stall the left leg, reverse the right."""
+    side = F.when(F.col("ori") == 1, "left").otherwise("right")
+    return sites.groupBy(*keys, "bin", side.alias("side")).agg(F.max(p).alias("p"))
+
+
+def signal_max_per_bin(peaks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Strongest signal per bin."""
+    return peaks.groupBy(*keys, "bin").agg(F.max("signal").alias("signal"))
+
+
+def factor_types(bound: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bins with their sorted factor list and type number; lists are numbered from 1 in order.
+
+    Type 0 is left for bins without factor. Distinct lists are few: subsets of the factors.
+    """
+    keys = list(keys)
+    sets = bound.select(*keys, "bin", "factor").distinct().groupBy(*keys, "bin").agg(
+        F.array_sort(F.collect_list("factor")).alias("factors")
+    )
+    kinds = sets.select(*keys, "factors").distinct()
+    order = W.partitionBy(*keys).orderBy("factors") if keys else W.partitionBy(F.lit(0)).orderBy("factors")
+    numbered = kinds.withColumn("type_id", F.row_number().over(order)).withColumn(
+        "label", F.concat_ws("+", "factors")
+    )
+    return sets.join(numbered, [*keys, "factors"]).select(*keys, "bin", "type_id", "label", "factors")
+
+
+def interaction_matrix(types: DataFrame, energies: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Strongest energy between the factors of every two types: (keys, type_a, type_b, energy).
+
+    ``energies`` rows (factor_a, factor_b, energy) hold own and cross pairs once; missing pairs
+    give 0. Only factor pairs with an energy are joined, then the matrix is completed with
+    zeros for the (few) types. Type 0 is included.
+    """
+    keys = list(keys)
+    kinds = types.select(*keys, "type_id", "factors").distinct()
+    member = kinds.select(*keys, "type_id", F.explode("factors").alias("f"))
+    both = energies.select("factor_a", "factor_b", "energy").unionByName(
+        energies.select(
+            F.col("factor_b").alias("factor_a"), F.col("factor_a").alias("factor_b"), "energy"
+        )
+    ).groupBy("factor_a", "factor_b").agg(F.max("energy").alias("energy"))
+    a = member.select(*keys, F.col("type_id").alias("type_a"), F.col("f").alias("factor_a"))
+    b = member.select(*keys, F.col("type_id").alias("type_b"), F.col("f").alias("factor_b"))
+    strongest = (
+        a.join(both, "factor_a").join(b, [*keys, "factor_b"])
+        .groupBy(*keys, "type_a", "type_b").agg(F.max("energy").alias("_e"))
+    )
+    top = kinds.groupBy(*keys).agg(F.max("type_id").alias("_k"))
+    ids = F.sequence(F.lit(0), F.col("_k"))
+    grid = top.withColumn("type_a", F.explode(ids)).withColumn("type_b", F.explode(ids)).drop("_k")
+    return grid.join(strongest, [*keys, "type_a", "type_b"], "left").select(
+        *keys, "type_a", "type_b",
+        F.greatest(F.coalesce("_e", F.lit(0.0)), F.lit(0.0)).alias("energy"),
+    )
+
+
+def longest_transcript(genes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per symbol: the longest transcript, the lowest start on ties."""
+    span = F.col("tx_end") - F.col("tx_start")
+    best = F.max_by(F.struct("strand", "tx_start", "tx_end"), F.struct(span, -F.col("tx_start")))
+    return genes.groupBy(*keys, "symbol").agg(best.alias("_g")).select(*keys, "symbol", "_g.*")
+
+
+def rank_probe_pairs(
+    sites: DataFrame, keys: Sequence[str], anchor: int, min_sep: int, max_sep: int,
+    convergent: bool = True, prefer_flanking: bool = True,
+) -> DataFrame:
+    """Candidate pairs within [min_sep, max_sep] bins with their rank: pairs around the anchor
+    first, then by distance of their middle from it, then by position."""
+    keys = list(keys)
+    pairs = pairs_within(sites, sites, keys, max(min_sep, 0), max_sep).where(
+        F.struct("a_bin", "a_ori") != F.struct("b_bin", "b_ori")
+    )
+    if convergent:
+        pairs = pairs.where((F.col("a_ori") == 1) & (F.col("b_ori") == -1))
+    a, b = F.col("a_bin"), F.col("b_bin")
+    flanks = (a < anchor) & (b > anchor)
+    return pairs.select(
+        *keys, a.alias("left"), b.alias("right"),
+        F.when(flanks & F.lit(prefer_flanking), 0).otherwise(1).alias("tier"),
+        F.abs((a + b) / 2.0 - anchor).alias("offset"),
+    ).distinct()
+
+
+def auto_probe_pairs(
+    candidates: DataFrame, keys: Sequence[str], n_pairs: int = 2, disjoint: bool = True
+) -> DataFrame:
+    """Best ``n_pairs`` candidates per group without shared anchors, filled up with the next best.
+
+    Picks one pair per round: the first pick drops every candidate that shares an anchor with
+    it, and so on. Each round is a grouped minimum, so candidates never meet in one task.
+    """
+    keys = list(keys)
+    rank = F.struct("tier", "offset", "left", "right")
+    left = candidates
+    chosen = None
+    for place in range(1, n_pairs + 1):
+        best = left.groupBy(*keys).agg(F.min(rank).alias("_r")).select(
+            *keys, F.lit(place).alias("place"), F.col("_r.left").alias("left"),
+            F.col("_r.right").alias("right"), F.col("_r.tier").alias("tier"),
+            F.col("_r.offset").alias("offset"),
+        )
+        chosen = best if chosen is None else chosen.unionByName(best)
+        taken = best.select(*keys, F.col("left").alias("_l"), F.col("right").alias("_r"))
+        l, r = F.col("left"), F.col("right")
+        clash = (
+            (l == F.col("_l")) | (l == F.col("_r")) | (r == F.col("_l")) | (r == F.col("_r"))
+            if disjoint else (l == F.col("_l")) & (r == F.col("_r"))
+        )
+        left = left.join(taken, keys).where(~clash).drop("_l", "_r")
+    have = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_have"))
+    rest = candidates.join(chosen.select(*keys, "left", "right"), [*keys, "left", "right"], "left_anti")
+    missing = rest.join(have, keys).where(F.col("_have") < n_pairs)
+    order = W.partitionBy(*keys).orderBy("tier", "offset", "left", "right")
+    fill = missing.withColumn("_k", F.row_number().over(order)).where(
+        F.col("_k") <= n_pairs - F.col("_have")
+    ).withColumn("place", (F.col("_have") + F.col("_k")).cast("int"))
+    return chosen.unionByName(fill.select(chosen.columns))
+
+
+def probe_pairs(explicit: DataFrame, auto: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Explicit pairs where a group has any, else the automatic ones, with labels."""
+    keys = list(keys)
+    label = F.concat_ws("-", "left", "right")
+    given = explicit.select(
+        *keys, "left", "right", F.coalesce(F.col("label"), label).alias("label")
+    )
+    other = auto.join(explicit.select(*keys).distinct(), keys, "left_anti").select(
+        *keys, "left", "right", F.concat(F.lit("auto:"), label).alias("label")
+    )
+    return given.unionByName(other)
+
+
+def near_anchor_counts(sites: DataFrame, keys: Sequence[str], anchor: int, halves: dict[str, int]) -> DataFrame:
+    """Sites in [anchor - half, anchor + half) bins for several half-widths."""
+    return sites.groupBy(*keys).agg(*[
+        F.count(F.when((F.col("bin") >= anchor - h) & (F.col("bin") < anchor + h), 1)).alias(name)
+        for name, h in halves.items()
+    ])
+
+
+def blocker_counts(sites: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bins that block the left leg, the right leg, and either."""
+    return sites.groupBy(*keys).agg(
+        F.countDistinct(F.when(F.col("ori") == 1, F.col("bin"))).alias("left_blockers"),
+        F.countDistinct(F.when(F.col("ori") == -1, F.col("bin"))).alias("right_blockers"),
+        F.countDistinct("bin").alias("occupied"),
+    )
+
+
+def same_sites(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows found in only one of two site tables, with multiplicity; empty when they agree."""
+    one, two = a.select(*columns), b.select(*columns)
+    return (
+        one.exceptAll(two).withColumn("only_in", F.lit("a"))
+        .unionByName(two.exceptAll(one).withColumn("only_in", F.lit("b")))
+    )

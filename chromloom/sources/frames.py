@@ -53,3 +53,12 @@ def chain_replicates(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
 def read_contact_map(spark: SparkSession, path: str) -> DataFrame:
     """A stored map of pixels (keys, i, j, v or n)."""
     return spark.read.parquet(path)
+
+
+def conform_map(pixels: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
+    """Upper-triangle pixels of a stored map, whichever triangle or both it was stored with.
+
+    The two copies of a symmetric pixel are equal, so the larger stands for both.
+    """
+    i, j = F.least("i", "j"), F.greatest("i", "j")
+    return pixels.groupBy(*keys, i.alias("i"), j.alias("j")).agg(F.max(value).alias(value))
