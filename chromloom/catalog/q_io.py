@@ -215,8 +215,7 @@ def _(t):
 
 
 @query("src9_genome_sizes_from_fasta", """
-SELECT 'seq' || doc_id AS chrom, CAST(list_sum(list_transform(string_split(text, chr(10)),
-   x -> length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')))) AS BIGINT) AS size FROM documents""")
+SELECT 'seq' || doc_id AS chrom, CAST(list_sum([length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) for x in string_split(text, chr(10))]) AS BIGINT) AS size FROM documents""")
 def _(t):
     records = t("documents").select(
         F.concat(F.lit("seq"), F.col("doc_id"), F.lit(" "), F.col("source"), F.lit("\n"), F.col("text")).alias("value")

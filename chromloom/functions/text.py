@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,36 +26,26 @@ def missing_to_null(c: Column) -> Column:
     return F.when(~F.lower(plain).isin(*MISSING_TOKENS), plain)
 
 
+def _formatter(spec: str):
+    """Vectorised number format. The exact binary value decides ties, as in C; the JVM formatter
+    works on the shortest decimal form and keeps trailing zeros, so it cannot express this."""
+
+    @F.pandas_udf("string")
+    def fmt(v: pd.Series) -> pd.Series:
+        return pd.Series([format(x, spec) for x in v.to_numpy(dtype=float)], dtype=object)
+
+    return fmt
+
+
 def fixed(c: Column, places: int) -> Column:
-    """Fixed number of decimals, exact ties to the even digit."""
-    return F.format_string(f"%.{places}f", F.bround(c.cast("double"), places))
+    """Fixed number of decimals, NULL for NULL."""
+    return F.when(c.isNotNull(), _formatter(f".{places}f")(c.cast("double")))
 
 
 def general(c: Column, digits: int) -> Column:
     """Shortest form with ``digits`` significant digits: trailing zeros dropped, exponent when
-    the number is below 1e-4 or has more whole digits than ``digits``."""
-    v = c.cast("double")
-    raw = F.format_string(f"%.{digits - 1}e", v)
-    exponent = F.regexp_extract(raw, r"e([+-]\d+)$", 1).try_cast("int")
-    places = F.lit(digits - 1) - exponent
-    plain, rounded = F.lit(None).cast("string"), v
-    for p in range(-12, digits + 4):
-        # ties go to the even digit, which the formatter alone would not do
-        if p >= 0:
-            plain = F.when(places == p, fixed(v, p)).otherwise(plain)
-        else:
-            rounded = F.when(places == p, F.bround(v, p)).otherwise(rounded)
-    scaled = F.format_string(f"%.{digits - 1}e", rounded)
-    mantissa = F.regexp_extract(scaled, r"^(.*)e", 1)
-    if digits > 1:
-        mantissa = F.regexp_replace(mantissa, r"\.?0+$", "")
-        plain = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
-    scientific = F.concat(mantissa, F.lit("e"), F.regexp_extract(scaled, r"e([+-]\d+)$", 1))
-    return (
-        F.when(v.isNull(), F.lit(None)).when(F.isnan(v), "nan").when(v == 0, "0")
-        .when((exponent < -4) | (exponent >= digits), scientific)
-        .otherwise(plain)
-    )
+    the number is below 1e-4 or has more whole digits than ``digits``. For small result tables."""
+    return F.when(c.isNotNull(), _formatter(f".{digits}g")(c.cast("double")))
 
 
 def table_cell(c: Column) -> Column:

@@ -153,7 +153,7 @@ def dwell_stats(runs: DataFrame, keys: Sequence[str], every: DataFrame | None =
     stats = counted.groupBy(*keys).agg(
         F.sum("_c").alias("n_dwells"),
         ratio(F.sum(F.col("length") * F.col("_c")), F.sum("_c")).alias("mean"),
-        F.percentile("length", 0.5, "_c").alias("median"),
+        F.percentile("length", 0.5, F.col("_c")).alias("median"),
         F.max("length").alias("max"),
     )
     if every is None:

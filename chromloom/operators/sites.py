@@ -120,16 +120,18 @@ def site_signal(sites: DataFrame, peaks: DataFrame, keys: Sequence[str], line: s
     """Signal of the peak a site came from, by name; the last line of a name wins.
 
     Unmatched sites get the median of the matched ones of their ``keys``, or 1 if none match.
-    The median runs over distinct signals with counts.
     """
+    from chromloom.functions.skew import percentiles
+
     keys = list(keys)
     by_name = peaks.where(F.col("signal").isNotNull()).groupBy(*keys, "name").agg(
         F.max_by("signal", line).alias("_signal")
     )
     joined = sites.join(by_name, [*keys, "name"], "left")
-    counted = joined.groupBy(*keys, "_signal").agg(F.count(F.lit(1)).alias("_c"))
-    middle = counted.groupBy(*keys).agg(F.percentile("_signal", 0.5, "_c").alias("_median"))
-    return joined.join(middle, keys).withColumn(
+    middle = percentiles(joined, keys, "_signal", [0.5]).select(
+        *keys, F.col("value").alias("_median")
+    )
+    return joined.join(middle, keys, "left").withColumn(
         "signal", F.coalesce("_signal", "_median", F.lit(1.0))
     ).drop("_signal", "_median")
 
