@@ -8,7 +8,7 @@ def load() -> None:
 
     for module in (
         "curves", "contacts", "maps", "loops", "dynamics", "sites", "io", "checks", "stats",
-        "summary", "runs", "text",
+        "summary", "runs", "text", "reports",
     ):
         importlib.import_module(f"chromloom.catalog.q_{module}")
 

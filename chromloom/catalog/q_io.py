@@ -60,7 +60,7 @@ def bed_lines(t):
                        F.lit(3), F.lit(2), off))
     )
     # a generated row keeps the long expression from being copied into every parsing step
-    return t("orders").select(
+    return t.spread("orders").select(
         k.alias("line"), F.col("o_orderstatus").alias("sample"), F.explode(F.array(value)).alias("value")
     )
 
@@ -297,7 +297,7 @@ def motif_hits(t):
         .otherwise(F.concat(F.lit("chr"), F.col("l_partkey") % 4 + 1))
     )
     at = F.when(kind == 1, F.col("l_linenumber") * 9).otherwise(start + F.col("l_linenumber"))
-    return t("lineitem").select(
+    return t.spread("lineitem").select(
         name.alias("sequence_name"),
         F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"),
         F.round(F.col("l_tax") + 0.001, 3).alias("p"), at.cast("int").alias("start"),

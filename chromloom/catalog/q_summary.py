@@ -41,7 +41,7 @@ def files(t):
     broken = F.when(k % 50 == 7, "{broken").otherwise(body)
     name = F.when(k % 50 == 8, F.concat(F.lit("other_"), k)).otherwise(F.concat(stem, suffix, F.lit(".json")))
     # a generated row keeps the long expressions from being copied into every parsing step
-    return t("orders").select(F.explode(F.array(F.struct(name.alias("name"), broken.alias("value")))).alias("f")).select("f.*")
+    return t.spread("orders").select(F.explode(F.array(F.struct(name.alias("name"), broken.alias("value")))).alias("f")).select("f.*")
 
 
 HARVEST = RUNS + """

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chromloom.functions.joins import attach
 from chromloom.functions.coords import other_chrom_style, overlaps
 from chromloom.functions.skew import percentiles
 
@@ -114,7 +115,7 @@ def upper_median_width(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     one = percentiles(width, keys, "w", [0.5])
     # the upper of two middle values is the smallest width not below their mean
     return (
-        width.join(one, keys).where(F.col("w") >= F.col("value"))
+        attach(width, one, keys).where(F.col("w") >= F.col("value"))
         .groupBy(*keys).agg(F.min("w").alias("width_median"))
     )
 

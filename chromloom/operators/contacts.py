@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from chromloom.functions.joins import attach
 from chromloom.functions.skew import row_numbers
 
 CONTACT_RADIUS = 3.0
@@ -229,7 +230,7 @@ def contact_map(
 
 
 def normalise(counts: DataFrame, subs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return counts.join(subs, list(keys)).withColumn("v", F.col("n") / F.col("n_sub"))
+    return attach(counts, subs, keys).withColumn("v", F.col("n") / F.col("n_sub"))
 
 
 def pool_replicates(counts: DataFrame, subs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -248,7 +249,7 @@ def mean_of_maps(pixels: DataFrame, keys: Sequence[str], member: str, value: str
         F.count(F.lit(1)).alias("_m")
     )
     total = pixels.groupBy(*keys, "i", "j").agg(F.sum(value).alias("_s"))
-    return total.join(members, keys).select(*keys, "i", "j", (F.col("_s") / F.col("_m")).alias(value))
+    return attach(total, members, keys).select(*keys, "i", "j", (F.col("_s") / F.col("_m")).alias(value))
 
 
 def merge_maps(pixels: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:

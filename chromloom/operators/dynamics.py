@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chromloom.functions.joins import attach
 from chromloom.functions.numeric import is_positive, ols, ratio
 from chromloom.functions.skew import percentiles
 
@@ -171,7 +172,7 @@ def distance_stats(trace: DataFrame, keys: Sequence[str], value: str = "dist") -
     )
     return trace.groupBy(*keys).agg(
         F.avg(value).alias("mean_d"), F.stddev_pop(value).alias("std_d")
-    ).join(median, keys)
+    ).transform(lambda d: attach(d, median, keys))
 
 
 def histogram(
@@ -203,7 +204,7 @@ def histogram(
         .otherwise(guess)
     )
     counts = (
-        df.join(ends, keys).where((v >= F.col("_lo")) & (v <= F.col("_hi")))
+        attach(df, ends, keys).where((v >= F.col("_lo")) & (v <= F.col("_hi")))
         .groupBy(*keys, k.alias("k")).agg(F.count(F.lit(1)).alias("_n"))
     )
     grid = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
@@ -228,7 +229,7 @@ def log_histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 40
 
     k = F.least(F.floor((F.log10(v) - F.col("_lo")) / step), F.lit(bins - 1)).cast("int")
     counts = (
-        df.join(ends, keys).where((v >= 1) & (F.log10(v) >= F.col("_lo")))
+        attach(df, ends, keys).where((v >= 1) & (F.log10(v) >= F.col("_lo")))
         .groupBy(*keys, k.alias("k")).agg(F.count(F.lit(1)).alias("_n"))
     )
     grid = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
@@ -273,7 +274,7 @@ def _lag_sums(
         span = trace.groupBy(*keys).agg((F.max(t) + 1).alias("_T")).withColumn(
             "_L", F.greatest(F.lit(1), F.floor(F.col("_T") * F.lit(lag_max_frac)))
         ).select(*keys, F.col("_L").cast("long").alias("_L"))
-        packed = packed.join(span, keys)
+        packed = attach(packed, span, keys)
     else:
         packed = packed.withColumn("_L", F.lit(int(lag_max)).cast("long"))
     reach = F.floor((F.col("_L") + block - 1) / block)
@@ -379,7 +380,7 @@ def autocorrelation(
     stats = trace.groupBy(*keys).agg(
         F.avg(value).alias("_m"), F.var_pop(value).alias("_var"), (F.max(t) + 1).alias("_T"),
     )
-    centred = trace.join(stats.select(*keys, "_m"), keys).select(
+    centred = attach(trace, stats.select(*keys, "_m"), keys).select(
         *keys, t, (F.col(value) - F.col("_m")).alias("_d")
     )
     sums = _lag_sums(centred, keys, t, ["_d"], True, 1, lag_max, lag_max_frac, block)
@@ -549,4 +550,4 @@ def coverage_depth(legs: DataFrame, keys: Sequence[str], chain: int) -> DataFram
         (F.sum(F.when(F.col("_d") > 0, F.col("_w")).otherwise(0)) / chain).alias("coverage")
     )
     sizes = legs.groupBy(*keys).agg(F.avg(F.col("r") - F.col("l")).alias("mean_size"))
-    return sizes.join(covered, keys)
+    return attach(sizes, covered, keys)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 GENOMIC_NAME = r"^([^:]+):(\d+)-(\d+)$"
 
 
-def match_hits(hits: DataFrame, windows: DataFrame, bucket: int = 1_000) -> DataFrame:
+def match_hits(hits: DataFrame, windows: DataFrame, bucket: int = 256) -> DataFrame:
     """Hits with the window (key) they lie in.
 
     A hit names its window directly (any ``::`` tail dropped), or gives ``chrom:a-b`` with
@@ -25,12 +25,17 @@ def match_hits(hits: DataFrame, windows: DataFrame, bucket: int = 1_000) -> Data
     offset = F.regexp_extract("sequence_name", GENOMIC_NAME, 2)
     relative = offset != ""
     shift = F.coalesce(offset.try_cast("int"), F.lit(0))
-    placed = other.select(
+    # inline makes one materialised row per hit: otherwise the broadcast join would run the
+    # regular expressions again for every candidate window
+    row = F.struct(
         F.when(relative, F.regexp_extract("sequence_name", GENOMIC_NAME, 1))
         .otherwise(F.col("sequence_name")).alias("chrom"),
         (F.col("start") + shift).alias("_s"), (F.col("stop") + shift).alias("_e"),
         "strand", "p", "line",
-    ).withColumn("_bk", F.floor(F.col("_s") / bucket))
+    )
+    placed = other.select(F.inline(F.array(row))).withColumn(
+        "_bk", F.floor(F.col("_s") / bucket)
+    )
     spread = windows.select(
         "chrom", F.col("start0").alias("_ws"), F.col("end").alias("_we"), "key"
     ).withColumn(

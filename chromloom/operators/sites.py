@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chromloom.functions.joins import attach
+from chromloom.functions.skew import percentiles, running_total, value_bucket
+
 LOOP_MIN_BINS, LOOP_MAX_BINS = 20, 1_000
 
 
@@ -121,8 +124,6 @@ def site_signal(sites: DataFrame, peaks: DataFrame, keys: Sequence[str], line: s
 
     Unmatched sites get the median of the matched ones of their ``keys``, or 1 if none match.
     """
-    from chromloom.functions.skew import percentiles
-
     keys = list(keys)
     by_name = peaks.where(F.col("signal").isNotNull()).groupBy(*keys, "name").agg(
         F.max_by("signal", line).alias("_signal")
@@ -131,7 +132,7 @@ def site_signal(sites: DataFrame, peaks: DataFrame, keys: Sequence[str], line: s
     middle = percentiles(joined, keys, "_signal", [0.5]).select(
         *keys, F.col("value").alias("_median")
     )
-    return joined.join(middle, keys, "left").withColumn(
+    return attach(joined, middle, keys, "left").withColumn(
         "signal", F.coalesce("_signal", "_median", F.lit(1.0))
     ).drop("_signal", "_median")
 
@@ -183,8 +184,6 @@ def rank_capture(
     Equal signals, or a single site, get the midpoint. Ranks come from counts per distinct
     value, summed in value order inside value buckets, so a type may hold any number of sites.
     """
-    from chromloom.functions.skew import running_total, value_bucket
-
     keys = list(keys)
     counts = sites.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     ends = running_total(counts, keys, ["_v"], value_bucket(F.col("_v")), F.col("_c"), "_end")
@@ -195,7 +194,7 @@ def rank_capture(
     p = F.when(F.col("_distinct") == 1, F.lit((lo + hi) / 2.0)).otherwise(
         F.lit(lo) + F.lit(hi - lo) * F.try_divide(mean_rank, (F.col("_n") - 1).cast("double"))
     )
-    ranked = ends.join(totals, keys).select(*keys, F.col("_v").alias(value), p.alias("p"))
+    ranked = attach(ends, totals, keys).select(*keys, F.col("_v").alias(value), p.alias("p"))
     return sites.join(ranked, [*keys, value])
 
 

@@ -24,8 +24,7 @@ MSD_NAMES = {
     "saturation_fit": {"J": "sat_J", "tau_c": "sat_tau_c", "alpha_sat": "sat_alpha"},
     "pair": {"sep_monomers": "sep_monomers"},
 }
-POOLED = r"^(.+)_(\d+)blk_pooled_(.+)\.json$"
-REPLICATE = r"^(.+)_(\d+)blk_rep(-?\d+)_(.+)\.json$"
+FILE_NAME = r"^(.+)_(\d+)blk_(pooled|rep(-?\d+))_(.+)\.json$"
 STRING_MAP = T.MapType(T.StringType(), T.StringType())
 
 
@@ -41,24 +40,15 @@ def parse_names(files: DataFrame) -> DataFrame:
 
     Files of other names, and unreadable ones, are left out.
     """
-    rep = F.regexp_extract("name", REPLICATE, 3)
-    pattern_hit = F.when(rep != "", F.lit(REPLICATE)).otherwise(F.lit(POOLED))
-    suffix = F.when(rep != "", F.regexp_extract("name", REPLICATE, 4)).otherwise(
-        F.regexp_extract("name", POOLED, 3)
-    )
-
-    def part(k: int) -> Column:
-        return F.when(pattern_hit == REPLICATE, F.regexp_extract("name", REPLICATE, k)).otherwise(
-            F.regexp_extract("name", POOLED, k)
-        )
-
+    suffix = F.regexp_extract("name", FILE_NAME, 5)
     label = F.regexp_extract(suffix, r"^msd_(.+)$", 1)
-    return files.select(
-        "name", "value", part(1).alias("condition"), part(2).try_cast("long").alias("n_blocks"),
-        rep.try_cast("int").alias("replicate"),
-        F.when(label != "", "msd").otherwise(suffix).alias("artefact"),
+    return files.where(F.col("name").rlike(FILE_NAME)).select(
+        "name", "value", F.regexp_extract("name", FILE_NAME, 1).alias("condition"),
+        F.regexp_extract("name", FILE_NAME, 2).try_cast("long").alias("n_blocks"),
+        F.regexp_extract("name", FILE_NAME, 4).try_cast("int").alias("replicate"),
+        F.when(suffix.startswith("msd_"), "msd").otherwise(suffix).alias("artefact"),
         F.nullif(label, F.lit("")).alias("label"),
-    ).where("condition <> ''")
+    )
 
 
 def _number(text: Column) -> Column:

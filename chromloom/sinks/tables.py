@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,18 +40,30 @@ def write_samplesheet(samples: DataFrame, path: str, mode: str = "error") -> Non
 def store_stage(
     df: DataFrame, path: str, partition_by: Sequence[str] = ("locus", "condition", "replicate")
 ) -> None:
-    """Store a heavy table, replacing only the partitions that ``df`` holds."""
+    """Store a heavy table, replacing only the partitions that ``df`` holds.
+
+    A note beside the table is written last, so a stage cut short is not taken for complete.
+    """
+    spark = df.sparkSession
     (
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by).parquet(path)
     )
+    spark.range(1).select(F.lit("done").alias("value")).coalesce(1).write.mode("overwrite").text(
+        _note(path)
+    )
+
+
+def _note(path: str) -> str:
+    return path.rstrip("/") + ".done"
 
 
 def stage_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a stage was completely written (its success marker is there)."""
-    jvm = spark._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    """Whether a stage was written to the end."""
+    try:
+        return spark.read.text(_note(path)).first() is not None
+    except AnalysisException:
+        return False
 
 
 def reuse_or_build(spark: SparkSession, path: str, build, partition_by: Sequence[str], reuse: bool = True) -> DataFrame:
