@@ -119,6 +119,26 @@ def _(t):
     return K.size_agreement(hic, sizes(t))
 
 
+@query("ag57_input_check_report", SIZES + """
+, ls AS (SELECT sample, chrom, max("end") AS last FROM fx_peaks WHERE NOT (sample = 'P' AND chrom = 'chr3') GROUP BY ALL)
+, ins AS (SELECT DISTINCT p.sample, l.name FROM fx_peaks p JOIN fx_loci l ON p.chrom = l.chrom AND p."end" > region_start AND p."start" < region_end
+   WHERE NOT (p.sample = 'P' AND p.chrom = 'chr3'))
+SELECT 'window' AS "check", name AS subject, l.chrom AS detail, CASE WHEN size IS NULL OR region_end > size THEN 'FAIL' ELSE 'PASS' END AS status
+  FROM fx_loci l LEFT JOIN sz ON sz.chrom = l.chrom
+UNION ALL SELECT 'peaks in window', s.sample, l.name, CASE WHEN ls.last IS NULL THEN 'FAIL' WHEN ins.name IS NOT NULL THEN 'PASS' ELSE 'WARN' END
+  FROM fx_loci l CROSS JOIN (SELECT DISTINCT sample FROM ls) s LEFT JOIN ls ON ls.sample = s.sample AND ls.chrom = l.chrom
+  LEFT JOIN ins ON ins.sample = s.sample AND ins.name = l.name
+UNION ALL SELECT 'peaks inside chromosomes', ls.sample, '', CASE WHEN bool_or(coalesce(last > size, false)) THEN 'FAIL' ELSE 'PASS' END FROM ls LEFT JOIN sz ON sz.chrom = ls.chrom GROUP BY ls.sample
+UNION ALL SELECT 'chromosome length', hc.chrom, '', CASE WHEN size IS NULL THEN 'WARN' WHEN size = m THEN 'PASS' ELSE 'FAIL' END
+  FROM (SELECT chrom, max("end") AS m FROM fx_peaks GROUP BY chrom) hc LEFT JOIN sz ON sz.chrom = hc.chrom""", LOCI)
+def _(t):
+    peaks = t.fx("fx_peaks")
+    hic = peaks.groupBy("chrom").agg(F.max("end").cast("bigint").alias("size"))
+    return K.input_check_report(
+        t.fx("fx_loci"), sizes(t), peaks.where("NOT (sample = 'P' AND chrom = 'chr3')"), hic
+    )
+
+
 @query("ag58_locus_checks", """
 WITH lo AS (SELECT c_name AS name, 'chr' || (c_custkey % 3) AS chrom,
    CASE WHEN c_custkey % 11 = 0 THEN '64.21Mb' ELSE CAST(c_custkey * 500 AS VARCHAR) END AS region_start,

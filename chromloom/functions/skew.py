@@ -18,8 +18,14 @@ BUCKETS_PER_OCTAVE = 4096
 
 
 def value_bucket(v: Column) -> Column:
-    """A bucket number that never decreases with the value; relative width about 0.02 %."""
-    return F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * BUCKETS_PER_OCTAVE).cast("long")
+    """A bucket number that never decreases with the value.
+
+    Buckets have the same relative width (about 0.02 %) at every magnitude, so they cut tiny
+    probabilities as finely as large distances.
+    """
+    # the shift keeps the logarithm of every double above zero
+    size = F.floor((F.log2(F.abs(v)) + 1100) * BUCKETS_PER_OCTAVE)
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("long")
 
 
 def running_total(

@@ -258,6 +258,48 @@ def size_agreement(hic: DataFrame, genome: DataFrame) -> DataFrame:
     )
 
 
+def input_check_report(
+    loci: DataFrame, genome: DataFrame, peaks: DataFrame, hic: DataFrame, sample: str = "sample",
+    bucket: int = 100_000,
+) -> DataFrame:
+    """All input checks as (check, subject, detail, status) rows.
+
+    Loci must fit their chromosome; every sample needs peaks on a locus' chromosome (FAIL) and in
+    its window (WARN); no peak may end past its chromosome; Hi-C and genome lengths must agree.
+    """
+    fit = chromosome_checks(
+        loci.select("name", "chrom", F.col("region_end").alias("end")), genome
+    ).select(F.lit("window").alias("check"), F.col("name").alias("subject"), F.col("chrom").alias("detail"), "status")
+    counted = peaks.groupBy(sample, "chrom", "start", "end").agg(F.count(F.lit(1)).alias("copies"))
+    windows = loci.select(
+        "name", "chrom", F.col("region_start").alias("start"), F.col("region_end").alias("end")
+    )
+    inside = interval_pairs(counted, windows, bucket).groupBy(sample, F.col("r_name").alias("name")).agg(
+        F.sum("copies").alias("_n")
+    )
+    listed = peaks.groupBy(sample, "chrom").agg(F.max("end").alias("_last"))
+    names = listed.agg(F.sort_array(F.collect_set(sample)).alias("s"))
+    grid = windows.select("name", "chrom").withColumn(sample, F.explode(names.scalar()))
+    placed = (
+        grid.join(listed, [sample, "chrom"], "left").join(inside, [sample, "name"], "left")
+        .select(
+            F.lit("peaks in window").alias("check"), F.col(sample).alias("subject"),
+            F.col("name").alias("detail"),
+            F.when(F.col("_last").isNull(), "FAIL").when(F.col("_n") > 0, "PASS").otherwise("WARN").alias("status"),
+        )
+    )
+    past = listed.join(genome, "chrom", "left").groupBy(sample).agg(
+        F.max(F.coalesce(F.col("_last") > F.col("size"), F.lit(False))).alias("_bad")
+    ).select(
+        F.lit("peaks inside chromosomes").alias("check"), F.col(sample).alias("subject"),
+        F.lit("").alias("detail"), F.when(F.col("_bad"), "FAIL").otherwise("PASS").alias("status"),
+    )
+    lengths = size_agreement(hic, genome).select(
+        F.lit("chromosome length").alias("check"), F.col("chrom").alias("subject"), F.lit("").alias("detail"), "status"
+    )
+    return fit.unionByName(placed).unionByName(past).unionByName(lengths)
+
+
 def check_summary(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Numbers of passed, warned and failed checks."""
     return rows.groupBy(*keys).agg(*[

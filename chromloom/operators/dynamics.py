@@ -257,33 +257,38 @@ def _lag_sums(
     trace: DataFrame, keys: Sequence[str], t: str, values: Sequence[str], product: bool,
     lag_min: int, lag_max: int | None, lag_max_frac: float, block: int,
 ) -> DataFrame:
-    """Per lag the sum over frames of squared differences (or products) and the pair count.
+    """Per lag the sum over frames of squared differences, or of products of centred values, and
+    the pair count.
 
     Frames are packed into blocks of ``block``; block b meets blocks b..b+k for as many k as the
     longest lag needs. A row then holds two blocks, and NumPy takes all their lags at once.
+    What holds for a whole series (its longest lag, its mean) is joined per block through a
+    small index, so the packed frames are never shuffled by series.
     """
     keys, values = list(keys), list(values)
-    packed = (
-        trace.withColumn("_b", F.floor(F.col(t) / block).cast("long"))
-        .groupBy(*keys, "_b")
-        .agg(F.collect_list(F.struct(
-            F.col(t).cast("long").alias("t"), *[F.col(v).cast("double").alias(v) for v in values]
-        )).alias("_f"))
-    )
-    if lag_max is None:
-        span = trace.groupBy(*keys).agg((F.max(t) + 1).alias("_T")).withColumn(
-            "_L", F.greatest(F.lit(1), F.floor(F.col("_T") * F.lit(lag_max_frac)))
-        ).select(*keys, F.col("_L").cast("long").alias("_L"))
-        packed = attach(packed, span, keys)
-    else:
-        packed = packed.withColumn("_L", F.lit(int(lag_max)).cast("long"))
+    blocked = trace.withColumn("_b", F.floor(F.col(t) / block).cast("long"))
+    packed = blocked.groupBy(*keys, "_b").agg(F.collect_list(F.struct(
+        F.col(t).cast("long").alias("t"), *[F.col(v).cast("double").alias(v) for v in values]
+    )).alias("_f"))
+    index = blocked.groupBy(*keys, "_b").agg(
+        F.max(t).alias("_last"), F.sum(values[0]).alias("_sum"), F.count(values[0]).alias("_count")
+    )
+    longest = (
+        F.lit(int(lag_max)) if lag_max is not None
+        else F.greatest(F.lit(1), F.floor((F.max("_last") + 1) * F.lit(lag_max_frac)))
+    )
+    centre = ratio(F.sum("_sum"), F.sum("_count")) if product else F.lit(0.0)
+    series = index.groupBy(*keys).agg(
+        F.max("_last").alias("_end"), longest.cast("long").alias("_L"), centre.alias("_m")
+    ).drop("_end")
+    packed = packed.join(attach(index.select(*keys, "_b"), series, keys), [*keys, "_b"])
     reach = F.floor((F.col("_L") + block - 1) / block)
     left = packed.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), reach))).withColumn(
         "_p", F.col("_b") + F.col("_k")
     )
     right = packed.select(*keys, F.col("_b").alias("_p"), F.col("_f").alias("_g"))
     work = left.join(right, [*keys, "_p"]).select(
-        *keys, "_b", "_k", "_L",
+        *keys, "_b", "_k", "_L", "_m",
         *[F.col("_f")[c].alias(f"_a_{c}") for c in ("t", *values)],
         *[F.col("_g")[c].alias(f"_c_{c}") for c in ("t", *values)],
     )
@@ -292,7 +297,8 @@ def _lag_sums(
         + [T.StructField("lag", T.LongType()), T.StructField("_s", T.DoubleType()),
            T.StructField("_n", T.LongType())]
     )
-    index = {c: i for i, c in enumerate(work.columns)}
+    place = {c: i for i, c in enumerate(work.columns)}
+    index_m = place["_m"]
 
     def dense(times, columns, origin):
         out = np.full((len(columns), block), np.nan)
@@ -317,22 +323,22 @@ def _lag_sums(
 
         for pdf in batches:
             for r in pdf.itertuples(index=False, name=None):
-                key = tuple(r[index[k]] for k in keys)
-                k, top = int(r[index["_k"]]), int(r[index["_L"]])
+                key = tuple(r[place[k]] for k in keys)
+                k, top = int(r[place["_k"]]), int(r[place["_L"]])
                 if key not in held:
                     held[key] = [np.zeros(top + 1), np.zeros(top + 1, dtype=np.int64)]
                     size += top + 1
                 s, n = held[key]
-                origin = int(r[index["_b"]]) * block
-                a = dense(r[index["_a_t"]], [r[index[f"_a_{v}"]] for v in values], origin)
-                c = dense(r[index["_c_t"]], [r[index[f"_c_{v}"]] for v in values], origin + k * block)
+                origin = int(r[place["_b"]]) * block
+                a = dense(r[place["_a_t"]], [r[place[f"_a_{v}"]] for v in values], origin)
+                c = dense(r[place["_c_t"]], [r[place[f"_c_{v}"]] for v in values], origin + k * block)
                 first, last = max(lag_min, (k - 1) * block + 1), min(top, (k + 1) * block - 1)
                 for lag in range(first, last + 1):
                     shift = lag - k * block
                     lo, hi = max(0, -shift), min(block, block - shift)
                     now, later = a[:, lo:hi], c[:, lo + shift:hi + shift]
                     if product:
-                        part = (now * later).sum(axis=0)
+                        part = ((now - r[index_m]) * (later - r[index_m])).sum(axis=0)
                     else:
                         gap = later - now
                         part = (gap * gap).sum(axis=0)
@@ -378,12 +384,9 @@ def autocorrelation(
     """Normalised autocorrelation per series and lag: 1 at lag 0, all zero without variance."""
     keys = list(keys)
     stats = trace.groupBy(*keys).agg(
-        F.avg(value).alias("_m"), F.var_pop(value).alias("_var"), (F.max(t) + 1).alias("_T"),
-    )
-    centred = attach(trace, stats.select(*keys, "_m"), keys).select(
-        *keys, t, (F.col(value) - F.col("_m")).alias("_d")
+        F.var_pop(value).alias("_var"), (F.max(t) + 1).alias("_T"),
     )
-    sums = _lag_sums(centred, keys, t, ["_d"], True, 1, lag_max, lag_max_frac, block)
+    sums = _lag_sums(trace, keys, t, [value], True, 1, lag_max, lag_max_frac, block)
     top = (
         F.lit(int(lag_max)) if lag_max is not None
         else F.greatest(F.lit(1), F.floor(F.col("_T") * F.lit(lag_max_frac)))
