@@ -332,6 +332,18 @@ def _(t):
     return H.longest_chromosome(hic_bins(t))
 
 
+@query("ag7_ps_longest_chromosome", "WITH x AS (SELECT 1)" + HIC_SQL + """
+, lc AS (SELECT chrom, max("end") AS size FROM hb GROUP BY chrom ORDER BY size DESC, chrom LIMIT 1)
+, w AS (SELECT floor(b."start" / 1000) - floor(a."start" / 1000) AS d, coalesce(n * a.weight * b.weight, 0.0) AS v
+  FROM hp JOIN hb a ON a.bin = bin1 JOIN hb b ON b.bin = bin2 WHERE a.chrom = (SELECT chrom FROM lc) AND b.chrom = (SELECT chrom FROM lc))
+, s AS (SELECT d, sum(v) AS sv FROM w GROUP BY d)
+SELECT lc.chrom AS region, CAST(g.d AS INTEGER) AS d, CASE WHEN g.d >= 2 THEN round(coalesce(sv, 0.0) / (ceil(size / 1000) - g.d), 6) + 0.0 END AS p
+FROM lc CROSS JOIN (SELECT unnest(range((SELECT CAST(ceil(size / 1000) AS BIGINT) FROM lc))) AS d) g LEFT JOIN s ON s.d = g.d""")
+def _(t):
+    c = H.ps_experimental(hic_pixels(t), hic_bins(t), 1000, column="weight")
+    return c.withColumn("p", round6(F.col("p")))
+
+
 @query("prj15_balance_column", """
 SELECT bin, round(weight, 6) AS by_true, round(weight, 6) AS by_auto, round(kr, 6) AS by_name,
        CAST(1.0 AS DOUBLE) AS by_false

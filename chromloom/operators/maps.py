@@ -159,49 +159,72 @@ def scc(diagonals: DataFrame, keys: Sequence[str], n_bins: int, compat: bool = T
 def ps_curve_corr(sim: DataFrame, exp: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Correlation of log curves where both are positive; 0 for fewer than three points."""
     on = [*keys, "d"]
-    x, y = F.log10(F.col("sim") + 1e-10), F.log10(F.col("exp") + 1e-10)
-    both = is_positive(F.col("sim")) & is_positive(F.col("exp"))
-    joined = sim.select(*on, F.col("p").alias("sim")).join(
-        exp.select(*on, F.col("p").alias("exp")), on
-    )
-    a, b = F.when(both, x), F.when(both, y)
+    wide = sim.select(*on, F.col("p").alias("_s")).join(exp.select(*on, F.col("p").alias("_e")), on)
+    return _curve_corr(wide, keys)
+
+
+def _curve_corr(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    both = is_positive(F.col("_s")) & is_positive(F.col("_e"))
+    a = F.when(both, F.log10(F.col("_s") + 1e-10))
+    b = F.when(both, F.log10(F.col("_e") + 1e-10))
     r = F.when(F.count(a) > 2, _corr(F.count(a), a, b))
-    return joined.groupBy(*keys).agg(F.coalesce(r, F.lit(0.0)).alias("ps_curve_corr"))
+    return wide.groupBy(*keys).agg(F.coalesce(r, F.lit(0.0)).alias("ps_curve_corr"))
 
 
 def insulation_corr(sim: DataFrame, exp: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Correlation of insulation over bins valid in both; 0 unless more than ten."""
     on = [*keys, "bin"]
-    joined = sim.select(*on, F.col("score").alias("sim")).join(
-        exp.select(*on, F.col("score").alias("exp")), on
+    wide = sim.select(*on, F.col("score").alias("_s")).join(
+        exp.select(*on, F.col("score").alias("_e")), on
     )
-    both = is_finite(F.col("sim")) & is_finite(F.col("exp"))
-    a, b = F.when(both, F.col("sim")), F.when(both, F.col("exp"))
+    return _score_corr(wide, keys)
+
+
+def _score_corr(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    both = is_finite(F.col("_s")) & is_finite(F.col("_e"))
+    a, b = F.when(both, F.col("_s")), F.when(both, F.col("_e"))
     r = F.when(F.count(a) > 10, _corr(F.count(a), a, b))
-    return joined.groupBy(*keys).agg(F.coalesce(r, F.lit(0.0)).alias("insulation_corr"))
+    return wide.groupBy(*keys).agg(F.coalesce(r, F.lit(0.0)).alias("insulation_corr"))
 
 
 def compare_maps(
     sim: DataFrame, exp: DataFrame, keys: Sequence[str], n_bins: int, resolution: int,
-    max_diag: int | None = None, window: int = INSULATION_WINDOW,
+    max_diag: int | None = None, window: int = INSULATION_WINDOW, value: str = "v",
 ) -> DataFrame:
-    """Every agreement measure of a simulated and an experimental map, one row per ``keys``."""
+    """Every agreement measure of a simulated and an experimental map, one row per ``keys``.
+
+    Curves, their metrics and insulation are computed for both maps at once, told apart by a
+    ``side`` key, and laid side by side by aggregation instead of joins.
+    """
     keys = list(keys)
     sim, exp = limit_distance(sim, max_diag), limit_distance(exp, max_diag)
-    cells = join_maps(sim, exp, keys)
-    curve = {k: curves.ps_curve(m, keys, n_bins) for k, m in (("sim", sim), ("exp", exp))}
-    score = {k: insulation(m, keys, n_bins, window) for k, m in (("sim", sim), ("exp", exp))}
-    out = overall_pearson(cells, keys).join(
-        scc(diag_pearson(cells, keys, n_bins, max_diag), keys, n_bins), keys, "left"
+    cells = join_maps(sim, exp, keys, value=value)
+    on = [*keys, "side"]
+    columns = [*keys, "i", "j", value]
+    both = sim.select(*columns).withColumn("side", F.lit("sim")).unionByName(
+        exp.select(*columns).withColumn("side", F.lit("exp"))
     )
-    out = out.join(ps_curve_corr(curve["sim"], curve["exp"], keys), keys, "left")
-    out = out.join(insulation_corr(score["sim"], score["exp"], keys), keys, "left")
-    for side in ("sim", "exp"):
-        m = curves.ps_metrics(curve[side], keys, resolution)
-        out = out.join(
-            m.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in m.columns if c not in keys]),
-            keys, "left",
-        )
+    curve = curves.ps_curve(both, on, n_bins, value)
+    score = insulation(both, on, n_bins, window, value)
+
+    def of(side: str, c: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(c)))
+
+    wide_curve = curve.groupBy(*keys, "d").agg(of("sim", "p").alias("_s"), of("exp", "p").alias("_e"))
+    wide_score = score.groupBy(*keys, "bin").agg(
+        of("sim", "score").alias("_s"), of("exp", "score").alias("_e")
+    )
+    metrics = curves.ps_metrics(curve, on, resolution)
+    names = [c for c in metrics.columns if c not in on]
+    wide_metrics = metrics.groupBy(*keys).agg(*[
+        of(side, c).alias(f"{side}_{c}") for side in ("sim", "exp") for c in names
+    ])
+    out = overall_pearson(cells, keys)
+    for part in (
+        scc(diag_pearson(cells, keys, n_bins, max_diag), keys, n_bins),
+        _curve_corr(wide_curve, keys), _score_corr(wide_score, keys), wide_metrics,
+    ):
+        out = out.join(part, keys, "left")
     return out
 
 

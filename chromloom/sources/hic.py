@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chromloom.operators.curves import ps_curve
 from chromloom.operators.maps import balance
 
 # fixed values: normalisation columns tried in this order
@@ -72,3 +73,20 @@ def hic_region(
         divisive = column.upper() in {"KR", "VC", "VC_SQRT"}
     weights = inside.select(F.col("_at").alias("bin"), F.col("_w").alias("w"))
     return balance(window, weights, [], "w", divisive)
+
+
+def ps_experimental(
+    pixels: DataFrame, bins: DataFrame, resolution: int, region: tuple[str, int, int] | None = None,
+    column: str | None = None, min_diag: int = 2, divisive: bool | None = None,
+) -> DataFrame:
+    """Distance curve of a balanced window, or of the longest chromosome: (region, d, p).
+
+    Unusable bins count as zero; the first ``min_diag`` distances are NULL.
+    """
+    if region is None:
+        top = longest_chromosome(bins).first()
+        region = (top["chrom"], 0, top["size"])
+    chrom, start, end = region
+    window = hic_region(pixels, bins, chrom, start, end, resolution, column, divisive)
+    n_bins = -(-(end - start) // resolution)
+    return ps_curve(window.withColumn("region", F.lit(chrom)), ["region"], n_bins, min_diag=min_diag)
