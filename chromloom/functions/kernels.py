@@ -93,15 +93,14 @@ def student_two_sided(t, df) -> np.ndarray:
 
 def mann_whitney_counts(nx: int, ny: int) -> np.ndarray:
     """Number of arrangements giving each U = 0..nx*ny without ties."""
+    nx, ny = min(nx, ny), max(nx, ny)
     counts = np.zeros(nx * ny + 1)
     counts[0] = 1.0
     # generating function of the Gaussian binomial: multiply by (1-q^(ny+k)), divide by (1-q^k)
     for k in range(1, nx + 1):
-        up = ny + k
-        if up < len(counts):
-            counts[up:] = counts[up:] - counts[:-up].copy()
-        for u in range(k, len(counts)):
-            counts[u] += counts[u - k]
+        counts[ny + k:] = counts[ny + k:] - counts[:max(len(counts) - ny - k, 0)].copy()
+        for r in range(k):
+            counts[r::k] = np.cumsum(counts[r::k])
     return counts
 
 
