@@ -139,25 +139,26 @@ def site_signal(sites: DataFrame, peaks: DataFrame, keys: Sequence[str], line: s
 
 def anchor_overlap(loops: DataFrame, sites: DataFrame, bucket: int = 10_000) -> DataFrame:
     """Loops (loop_id, chrom, a_start, a_end, b_start, b_end) marked convergent when the first
-    anchor overlaps a forward site and the second a reverse site (half-open intervals)."""
+    anchor overlaps a forward site and the second a reverse site (half-open intervals).
+
+    Distinct anchors meet distinct sites; the answer per anchor is then looked up by the loops.
+    """
     from chromloom.operators.checks import interval_pairs
 
-    flags = []
+    place = ["chrom", "start", "end"]
+    out, no = loops, F.lit(False)
     for side, strand, name in (("a", "+", "_plus"), ("b", "-", "_minus")):
-        anchors = loops.select(
-            "loop_id", "chrom", F.col(f"{side}_start").alias("start"), F.col(f"{side}_end").alias("end")
+        at = [F.col("chrom"), F.col(f"{side}_start").alias("start"), F.col(f"{side}_end").alias("end")]
+        there = sites.where(F.col("strand") == strand).select(*place).distinct()
+        hit = interval_pairs(loops.select(*at).distinct(), there, bucket).select(*place).distinct()
+        out = out.join(
+            hit.select("chrom", F.col("start").alias(f"{side}_start"), F.col("end").alias(f"{side}_end"),
+                       F.lit(True).alias(name)),
+            ["chrom", f"{side}_start", f"{side}_end"], "left",
         )
-        hit = interval_pairs(
-            anchors, sites.where(F.col("strand") == strand).select("chrom", "start", "end"),
-            bucket,
-        ).select("loop_id").distinct().withColumn(name, F.lit(True))
-        flags.append(hit)
-    no = F.lit(False)
-    return (
-        loops.join(flags[0], "loop_id", "left").join(flags[1], "loop_id", "left")
-        .withColumn("convergent", F.coalesce("_plus", no) & F.coalesce("_minus", no))
-        .drop("_plus", "_minus")
-    )
+    return out.withColumn(
+        "convergent", F.coalesce("_plus", no) & F.coalesce("_minus", no)
+    ).drop("_plus", "_minus")
 
 
 def loop_site_change(calls: DataFrame) -> DataFrame:
