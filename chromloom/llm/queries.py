@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromloom.llm import mixing, sharding, url_filter
+from chromloom.llm import decontam, minhash, mixing, quality, sharding, url_filter
 from chromloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,47 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# --- 1: near duplicates ----------------------------------------------------------------------
+
+DEDUP_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x20\x09-\x0D]+') AS a FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) > 1 THEN list_transform(range(1, len(a)), lambda k: concat(a[k], ' ', a[k + 1]))
+                      ELSE a END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    o AS (SELECT x.doc_id AS p, y.doc_id AS q, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    l AS (SELECT p, q FROM o JOIN n a ON a.doc_id = p JOIN n b ON b.doc_id = q WHERE 100 * c >= 80 * (a.n + b.n - c)),
+    e AS (SELECT p, q FROM l UNION ALL SELECT q, p FROM l),
+    r(p, q) AS (SELECT p, p FROM e UNION SELECT r.p, e.q FROM r JOIN e ON e.p = r.q),
+    m AS (SELECT p, min(q) AS c FROM r GROUP BY p)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id,
+       d.doc_id = coalesce(m.c, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.p = d.doc_id
+"""
+
+
+@query("op1_near_duplicates", DEDUP_SQL)
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+# --- 2: quality classifier -------------------------------------------------------------------
+
+
+@query("op2_quality_trees")
+def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+# --- 5: benchmark decontamination ------------------------------------------------------------
+
+
+@query("op5_decontaminate")
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 # --- 6: mixing -------------------------------------------------------------------------------
 
 #: Fixed values of the production mix: whole-number weights of domains and languages.
