@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromloom.llm import decontam, minhash, mixing, quality, sharding, url_filter
+from chromloom.llm import decontam, html_text, minhash, mixing, neighbours, quality, secrets, sharding, url_filter, warc
 from chromloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,22 @@ def op2_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+# --- 3: HTML extraction ----------------------------------------------------------------------
+
+
+@query("op3_main_text")
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+# --- 4: WARC ---------------------------------------------------------------------------------
+
+
+@query("op4_warc_round_trip")
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 # --- 5: benchmark decontamination ------------------------------------------------------------
 
 
@@ -133,6 +149,22 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_query(read_table(spark, sf_dir, "documents")).select("doc_id", "domain", "lang", "source", "tokens", "copies")
 
 
+# --- 7: nearest neighbours -------------------------------------------------------------------
+
+
+@query("op7_nearest_multiprobe")
+def op7_nearest_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+# --- 8: secret scan --------------------------------------------------------------------------
+
+
+@query("op8_scan_secrets")
+def op8_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # --- 9: sharding -----------------------------------------------------------------------------
 
 N_SHARDS = 40
