@@ -4,15 +4,19 @@
    ``BANDS * ROWS`` hash functions, the low ``BITS`` bits of each minimum packed into 64-bit
    words, and one key a band.
 2. Equal sets are one class, whatever their number; only one document of a class goes on.
-3. In each band bucket the class with the smallest digest is the hub, and every other member is
-   paired with it: pairs grow with members, not with their square. Pairs are counted once, then
-   the packed signatures estimate the similarity, corrected for chance collisions of low bits;
-   only pairs far below the threshold are left out. The rest are confirmed on full sets.
-4. Links join classes to components. Where a bucket still holds several components, the members
-   outside its largest component are paired with all members of others, so that no link is lost
-   through a hub that is not similar itself. New links join components again.
-
-With 40 bands of 5 rows a pair at similarity 0.8 shares a band but for one case in 8 million.
+3. In each band bucket one class is the hub, and every other member is paired with it: pairs grow
+   with members, not with their square. Packed signatures estimate a pair's similarity, corrected
+   for chance collisions of low bits; only pairs far below the threshold are left out. The rest are
+   confirmed on full sets, and links join classes to components.
+4. The first hub is the class of the smallest digest. A second round takes, in buckets that still
+   hold several components, the member that most hubs have linked to: the middle of its group.
+5. What is left is done in full, so that no link is lost through the choice of a hub. A class that
+   shares a bucket with a component of ``LARGE`` classes or more is compared with all of that
+   component, in blocks of bounded size on both sides, on full sets; only links come out. Other
+   classes of a bucket in different components meet in a join that compares packed signatures
+   itself, and pairs it lets through are confirmed.
+
+With 50 bands of 6 rows a pair at similarity 0.8 shares a band but for one case in 4 million.
 Components come from rounds of star contraction over links; each round is a stored table.
 """
 
@@ -22,22 +26,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromloom.llm.common import bound_batches, stored
 from chromloom.llm.words import by_text, byte_pieces, mix64, word_values
 
-BANDS, ROWS, BITS = 40, 5, 4
-#: Estimates this far below the threshold are not confirmed: over six standard errors of the
-#: estimate at similarity 0.8 with 200 minima of 4 bits.
-SLACK = 0.2
+BANDS, ROWS, BITS = 50, 6, 4
+#: Estimates this far below the threshold are not confirmed: over five standard errors of the
+#: estimate at similarity 0.8 with 300 minima of 4 bits.
+SLACK = 0.13
 
 _U = np.uint64
 #: Salts of the two 64-bit halves of a set's digest; the first half names its class.
 NODE, CHECK = 0x6A09E667F3BCC909, 0x3C6EF372FE94F82B
 _MULTIPLY = (mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> _U(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (mix64(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64)) >> _U(32)).astype(np.uint32)
+#: Classes that make a component large; classes of one block on each side.
+LARGE, BLOCK_MEMBERS, BLOCK_ASKED = 64, 512, 2048
 #: Shingles hashed at a time: the block of all functions by shingles stays in the cache.
 _BLOCK = 1024
 
@@ -148,16 +154,22 @@ def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy() - column.offsets[0].as_py()
 
 
-def _estimated(least: float):
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                sides = [_rows(batch.column(k))[0].reshape(n, -1) for k in (2, 3)]
-                keep = pa.array(estimate(*sides) >= least)
-                yield batch.select([0, 1]).filter(keep)
+def similar(left: list[Column], right: list[Column], least: float) -> Column:
+    """Whether two packed signatures, given by words, are estimated at ``least`` or more."""
+    ones = sum(1 << (BITS * k) for k in range(64 // BITS))
+    differ = F.lit(0)
+    for a, b in zip(left, right):
+        x, shift = a.bitwiseXOR(b), 1
+        while shift < BITS:
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+            shift *= 2
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(ones)))
+    chance, n = 2.0 ** -BITS, BANDS * ROWS
+    return differ <= int(n - n * (least * (1 - chance) + chance))
 
-    return near
+
+def _words(packed: str) -> list[Column]:
+    return [F.col(packed)[k] for k in range(-(-BANDS * ROWS * BITS // 64))]
 
 
 def _confirmed(percent: int):
@@ -174,22 +186,74 @@ def _confirmed(percent: int):
     return linked
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose full sets are similar enough.
+def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of classes that their signatures don't rule out."""
+    sides = [reps.select(F.col("node").alias(k), F.col("packed").alias(f"packed_{k}")) for k in ("a", "b")]
+    fits = similar(_words("packed_a"), _words("packed_b"), percent / 100 - SLACK)
+    return stored(pairs.join(sides[0], "a").join(sides[1], "b").filter(fits).select("a", "b"), "op1-near")
+
+
+def _full_sets(nodes: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, shingles)`` of the classes in ``nodes``, and of others that share an id with one."""
+    ids = stored(reps.join(nodes, "node", "left_semi").select("id"), "op1-wanted")
+    return stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "op1-sets")
+
+
+def confirmed(near: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets are similar enough.
 
-    ``reps``: ``node, id, packed`` of each class; ``texts``: ``id, text``.
+    ``reps``: ``node, id`` of each class; ``texts``: ``id, text``.
     """
-    sides = [reps.select(F.col("node").alias(k), F.col("packed").alias(f"packed_{k}")) for k in ("a", "b")]
-    met = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "packed_a", "packed_b")
-    near = stored(met.mapInArrow(_estimated(percent / 100 - SLACK), "a long, b long"), "op1-near")
-    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    ids = reps.join(wanted, "node", "left_semi").select("id")
-    # another text of such an id gives another node, which no pair asks for
-    full = stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "op1-sets")
+    if near.isEmpty():
+        return near
+    full = _full_sets(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), reps, texts)
     left = full.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     right = full.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     both = near.join(left, "b").join(right, "a").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(_confirmed(percent), "a long, b long")
+    return stored(both.mapInArrow(_confirmed(percent), "a long, b long"), "op1-links")
+
+
+def _linked_blocks(percent: int):
+    def block(members: pa.Table, asked: pa.Table) -> pa.Table:
+        """For each class asked one member of the block that it links to, if there is one."""
+        found = []
+        if members.num_rows and asked.num_rows:
+            nodes = members.column("node").to_numpy()
+            values, at = _rows(members.column("shingles"))
+            size = np.diff(at)
+            order = np.argsort(values, kind="stable")
+            owner, values = np.repeat(np.arange(len(nodes)), size)[order], values[order]
+            shingles, ends = _rows(asked.column("pairs"))
+            for k, node in enumerate(asked.column("asker").to_numpy()):
+                mine = shingles[ends[k]:ends[k + 1]]
+                lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+                many = hi - lo
+                places = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+                common = np.bincount(owner[places], minlength=len(nodes))
+                links = np.flatnonzero(100 * common >= percent * (size + len(mine) - common))
+                if len(links):
+                    found.append((node, nodes[links[0]]))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return block
+
+
+def _against_large(asks: DataFrame, large: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` of the classes in ``asks(node, large)`` to members of ``large(node, root)``:
+    one for each class and block of the component that holds any."""
+    members = large.join(asks.select(F.col("large").alias("root")).distinct(), "root", "left_semi")
+    full = _full_sets(asks.select("node").union(members.select("node")).distinct(), reps, texts)
+    parts = lambda df, key, rows: df.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    of_members = parts(members, "root", BLOCK_MEMBERS).withColumnRenamed("parts", "m_parts")
+    of_asks = parts(asks.withColumnRenamed("large", "root"), "root", BLOCK_ASKED).withColumnRenamed("parts", "a_parts")
+    blocks = stored(of_members.join(of_asks, "root"), "op1-blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = members.join(blocks, "root").select("root", own("m_parts").alias("m"), every("a_parts").alias("a"), "node").join(full, "node")
+    right = asks.withColumnRenamed("large", "root").join(blocks, "root").select("root", every("m_parts").alias("m"), own("a_parts").alias("a"), "node").join(full, "node")
+    place = ["root", "m", "a"]
+    left, right = left.select(*place, "node", "shingles"), right.select(*place, "node", "shingles").toDF("of", "x", "y", "asker", "pairs")
+    return stored(left.groupBy(*place).cogroup(right.groupBy("of", "x", "y")).applyInArrow(_linked_blocks(percent), "a long, b long"), "op1-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,21 +262,34 @@ def components(links: DataFrame) -> DataFrame:
     Alternating star rounds: every node hands all larger neighbours to its smallest neighbour, then
     all smaller ones; links become stars. Each round is stored, so a lost executor repeats one.
     """
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
     edges = stored(links.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "op1-edges")
-    before = None
-    while True:
+    before, now = None, state(edges)
+    while before != now and now[0]:
         around = edges.select(F.col("lo").alias("v"), F.col("hi").alias("w")).union(edges.select("hi", "lo"))
         least = around.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m"))
-        large = around.join(least, "v").filter("w > v").select(F.col("m").alias("lo"), F.col("w").alias("hi")).filter("lo <> hi").distinct()
+        large = around.join(least, "v").filter("w > v").select(F.col("m").alias("lo"), F.col("w").alias("hi"))
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
-            large.join(down, "hi").select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi")).filter("lo <> hi").distinct()
-        )
+        small = large.join(down, "hi").select(F.col("m").alias("lo"), F.explode(F.array("hi", "lo")).alias("hi")).filter("lo <> hi").distinct()
         edges = stored(small, "op1-round")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
-        if now == before:
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct())
-        before = now
+        before, now = now, state(edges)
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select("lo", "lo").distinct())
+
+
+def _open_buckets(rooted: DataFrame) -> DataFrame:
+    """Rows ``(key, node, root, ...)`` of buckets that hold several components."""
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    return rooted.join(open_, "key", "left_semi")
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """``(root, new)``: what components ``links(root_a, root_b)`` join to; others keep their root."""
+    joined = components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    return stored(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "op1-roots")
+
+
+def _renamed(rooted: DataFrame, names: DataFrame) -> DataFrame:
+    return rooted.join(names, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -224,8 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     are each judged by their own text. Repeated rows get equal results; a component's id is its
     smallest doc_id. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sketches = stored(
         texts.mapInArrow(_sketch, "id long, n long, node long, other long, packed array<long>, keys array<long>"), "op1-sketches")
@@ -237,26 +313,52 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     members = reps.select("node", F.explode("keys").alias("key"))
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").drop("last")
     shared = stored(members.join(hubs, "key").select("key", "node", "hub"), "op1-buckets")
+
     first = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(confirm(first, reps, texts, percent), "op1-links")
+    links = confirmed(plausible(first, reps, percent), reps, texts, percent)
     roots = stored(components(links), "op1-roots")
-    rooted = stored(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "op1-rooted")
-    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("size"))
-    main = (
-        parts.groupBy("key").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count("*").alias("parts"))
-        .filter("parts > 1").drop("parts")
+    degree = links.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("hubs"))
+    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = _open_buckets(placed).join(degree, "node", "left").withColumn("hubs", F.coalesce("hubs", F.lit(0)))
+    open_ = stored(open_.select("key", "node", "hub", "root", "hubs"), "op1-open")
+
+    middle = open_.filter("node <> hub").groupBy("key").agg(F.max(F.struct("hubs", "node", "root")).alias("m"))
+    second = (
+        open_.join(middle.select("key", F.col("m.node").alias("a"), F.col("m.root").alias("root_a")), "key")
+        .filter("root <> root_a AND node <> hub").select("a", "root_a", F.col("node").alias("b"), F.col("root").alias("root_b")).distinct()
     )
-    several = stored(rooted.join(main, "key"), "op1-several")
-    rest = several.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"))
-    # a pair with the hub has been looked at before
-    left_over = (
-        rest.join(several.filter("node <> hub"), "key").filter("root_x <> root AND (root = main OR x < node)")
-        .join(first.select(F.col("a").alias("x"), F.col("b").alias("node")), ["x", "node"], "left_anti")
-        .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    second = stored(second, "op1-second")
+    more = confirmed(plausible(second.select("a", "b"), reps, percent), reps, texts, percent)
+    names = _contracted(more.join(second, ["a", "b"]))
+    merged = stored(_renamed(open_, names), "op1-merged")
+
+    one = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    two = stored(_renamed(one, names), "op1-two")
+    size = two.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") >= LARGE)
+    large = stored(two.join(size, "root").select("node", "root"), "op1-large")
+    last = stored(_open_buckets(merged).select("key", "node", "root"), "op1-last")
+    reached = last.join(large.select("root").distinct(), "root", "left_semi").select(F.col("key"), F.col("root").alias("large")).distinct()
+    is_large = large.select("node", F.lit(True).alias("in_large"))
+    # of two large components only the one with the larger root asks
+    asks = (
+        last.join(is_large, "node", "left").join(reached, "key").filter((F.col("root") > F.col("large")) | (F.col("in_large").isNull() & (F.col("root") != F.col("large"))))
+        .select("node", "root", "large").distinct()
     )
-    more = stored(confirm(left_over, reps, texts, percent), "op1-more")
-    final = stored(components(links.union(more)), "op1-final")
-    joined = classes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    asks = stored(asks, "op1-asks")
+    blocks = _against_large(asks.select("node", "large"), large, reps, texts, percent) if not asks.isEmpty() else asks.selectExpr("node AS a", "large AS b")
+    side = lambda c: two.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    names_2 = _contracted(blocks.join(side("a"), "a").join(side("b"), "b"))
+
+    # both classes outside large components, as those of the last step have met all of them
+    small = _open_buckets(_renamed(last, names_2).join(is_large, "node", "left_anti"))
+    signed = stored(small.join(reps.select("node", "packed"), "node"), "op1-signed")
+    sides = [signed.select(*[F.col(c).alias(f"{c}_{k}") for c in ("key", "node", "root", "packed")]) for k in ("a", "b")]
+    fits = similar(_words("packed_a"), _words("packed_b"), percent / 100 - SLACK)
+    met = sides[0].join(sides[1], (F.col("key_a") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b")) & fits)
+    left_over = stored(met.select(F.col("node_a").alias("a"), "root_a", F.col("node_b").alias("b"), "root_b").distinct(), "op1-left")
+    final = confirmed(left_over.select("a", "b"), reps, texts, percent)
+    names_3 = _contracted(final.join(left_over, ["a", "b"]))
+    joined = stored(_renamed(_renamed(two, names_2), names_3), "op1-final")
     smallest = joined.groupBy("root").agg(F.min("id").alias("component"))
     named = joined.join(smallest, "root").select(*digest, "component")
     out = sketches.select("id", *digest).join(named, digest, "left")
