@@ -79,11 +79,6 @@ def _(t):
     return K.merge_maps(t.fx("fx_pixels"), ["cond"])
 
 
-SHARDS = """
-SELECT user_id AS run, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS dummy,
-"""
-
-
 @query("ag4_merge_shards", """
 WITH e AS (SELECT user_id AS run, event_type AS shard, event_id AS frame FROM events)
 SELECT run, shard, frame AS source_frame,

@@ -41,7 +41,7 @@ def files(t):
     broken = F.when(k % 50 == 7, "{broken").otherwise(body)
     name = F.when(k % 50 == 8, F.concat(F.lit("other_"), k)).otherwise(F.concat(stem, suffix, F.lit(".json")))
     # a generated row keeps the long expressions from being copied into every parsing step
-    return t.spread("orders").select(F.explode(F.array(F.struct(name.alias("name"), broken.alias("value")))).alias("f")).select("f.*")
+    return t("orders").select(F.explode(F.array(F.struct(name.alias("name"), broken.alias("value")))).alias("f")).select("f.*")
 
 
 HARVEST = RUNS + """
@@ -141,15 +141,20 @@ def metrics(t):
     )
 
 
+def pooled(t):
+    """The mean over all replicates of a condition."""
+    return metrics(t).groupBy("condition", "group", "metric").agg(F.avg("value").alias("value"))
+
+
 def columns(expr: str, names=CONDS) -> str:
     return ", ".join(f"""{expr.format(c=c)} AS "{c}" """ for c in names)
 
 
 @query("ag52_summary_pivot", METRICS + """
-SELECT "group", metric, """ + columns("round(max(value) FILTER (condition = '{c}' AND replicate = 0), 6)") + """,
+SELECT "group", metric, """ + columns("round(avg(value) FILTER (condition = '{c}'), 6)") + """,
  CASE "group" WHEN 'MSD' THEN 6 WHEN 'P(s)' THEN 3 ELSE 9 END AS group_place FROM mx GROUP BY "group", metric""", ("fx_metrics",))
 def _(t):
-    wide = P.summary_pivot(metrics(t).where("replicate = 0"), CONDS)
+    wide = P.summary_pivot(pooled(t), CONDS)
     return r6(wide, *CONDS)
 
 
@@ -165,10 +170,10 @@ def _(t):
 
 
 @query("snk5_write_metric_tables", METRICS + """
-SELECT "group", metric, """ + columns("coalesce(printf('%.4f', max(value) FILTER (condition = '{c}' AND replicate = 0)), '')") + """
+SELECT "group", metric, """ + columns("coalesce(printf('%.4f', avg(value) FILTER (condition = '{c}')), '')") + """
 FROM mx GROUP BY "group", metric""", ("fx_metrics",))
 def _(t):
-    wide = P.summary_pivot(metrics(t).where("replicate = 0"), CONDS).drop("group_place")
+    wide = P.summary_pivot(pooled(t), CONDS).drop("group_place")
     return P.formatted(wide, CONDS)
 
 
@@ -193,7 +198,7 @@ def _(t):
 # significance uses resampling: rows-only here, parts of it have SQL forms above
 @query("bnd4_significance_table")
 def _(t):
-    return P.significance_cells(P.significance(metrics(t), n_boot=2_000))
+    return P.significance_cells(P.significance(metrics(t)))
 
 
 @query("bnd4_build_summary", HARVEST + """

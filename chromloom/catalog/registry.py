@@ -18,12 +18,6 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table ready for costly work per row: re-dealt only if it arrives in fewer pieces
-        than there are cores, as the small single-block test files do."""
-        df, cores = self(name), self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
     def fx(self, name: str) -> DataFrame:
         return fixtures.VIEWS[name](self)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,10 +22,6 @@ def is_finite(c: Column) -> Column:
     )
 
 
-def finite_or(c: Column, default: float | None) -> Column:
-    return F.when(is_finite(c), c).otherwise(F.lit(default).cast("double"))
-
-
 def log10_pos(c: Column) -> Column:
     """log10 of positive finite values, NULL otherwise."""
     return F.when(is_positive(c), F.log10(c))
@@ -71,10 +65,3 @@ def ols(x: Column, y: Column) -> dict[str, Column]:
             var * (F.try_divide(F.lit(1.0), n.cast("double")) + F.try_divide(mean_x * mean_x, sxx))
         ),
     }
-
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from chromloom.functions.joins import attach
+from chromloom.functions.numeric import is_finite
 from chromloom.functions.skew import row_numbers
 
 CONTACT_RADIUS = 3.0
@@ -89,6 +90,8 @@ def _pair_codes(pos: np.ndarray, region: np.ndarray, bead: np.ndarray, radius: f
     cell = np.floor(pos / radius).astype(np.int64)
     cell -= cell.min(axis=0) - 1
     span = cell.max(axis=0) + 2
+    if int(region.max() + 1) * int(span[0]) * int(span[1]) * int(span[2]) >= 1 << 62:
+        raise ValueError("coordinates lie too far apart for cells of this radius")
     strides = np.array([span[1] * span[2], span[2], 1], dtype=np.int64)
     key = region * (span[0] * span[1] * span[2]) + cell @ strides
     order = np.argsort(key, kind="stable")
@@ -158,11 +161,16 @@ def _count_kernel(keys: list[str], radius: float, n_bins: int, tile: tuple[int,
                     offsets[start:stop] - offsets[start], lengths[start:stop]
                 )
                 region = row
-                if tile is not None:
+                keep = np.isfinite(xyz).all(axis=1)
+                if tile is None:
+                    keep &= bead < n_bins
+                    xyz, bead, row = xyz[keep], bead[keep], row[keep]
+                    region = row
+                else:
                     size, padding, n_tiles = tile
                     copy, local = np.divmod(bead, size)
                     local = local - padding
-                    keep = (local >= 0) & (local < n_bins) & (copy < n_tiles)
+                    keep &= (local >= 0) & (local < n_bins) & (copy < n_tiles)
                     region = (row * n_tiles + copy)[keep]
                     xyz, bead, row = xyz[keep], local[keep], row[keep]
                 owner = ids[start:stop][row]
@@ -188,7 +196,8 @@ def count_contacts(
     """Contacts per pixel, (keys, i, j, n), from frames with ``pos`` arrays.
 
     ``keys`` name the map a frame belongs to. ``strategy``: ``kernel`` (NumPy per Arrow batch)
-    or ``grid`` (JVM equi-join); both return the same rows.
+    or ``grid`` (JVM equi-join); both return the same rows. Beads from ``n_bins`` on and beads
+    without finite coordinates take no part.
     """
     keys = list(keys)
     if strategy == "kernel":
@@ -209,7 +218,10 @@ def count_contacts(
     # rows without a tile column are told apart by their frame alone
     region = [*keys, *[c for c in frames.columns if c not in (*keys, "pos")]]
     beads = explode_beads(frames, region)
-    if tile_size is not None:
+    beads = beads.where(is_finite(F.col("x")) & is_finite(F.col("y")) & is_finite(F.col("z")))
+    if tile_size is None:
+        beads = beads.where(F.col("bead") < n_bins)
+    else:
         beads = untile_beads(beads, tile_size, padding, n_bins, n_tiles)
         region.append("tile")
     pairs = contacts_within_radius(beads, region, radius)

@@ -39,10 +39,11 @@ def ps_curve(
 
     Diagonal d of an n-bin map has n-d cells, whatever number of pixels is stored. Distances
     without a pixel are filled from the gap to the next stored one, so no grid is joined. The
-    first ``min_diag`` distances become NULL (experimental maps).
+    first ``min_diag`` distances become NULL (experimental maps). Pixels of later bins than
+    ``n_bins`` are cropped.
     """
     keys = list(keys)
-    sums = pixels.groupBy(*keys, (F.col("j") - F.col("i")).cast("int").alias("_d")).agg(
+    sums = pixels.where(F.col("j") < n_bins).groupBy(*keys, (F.col("j") - F.col("i")).cast("int").alias("_d")).agg(
         F.sum(value).alias("_s")
     )
     w = W.partitionBy(*keys).orderBy("_d")

@@ -27,14 +27,14 @@ def insulation(
     """log2 of the diamond mean over the mean of the two on-diagonal blocks, per bin.
 
     NULL (or ``undefined``) within ``window`` of the ends and where either mean is not above
-    zero. Each pixel closer than 2*window to the diagonal feeds three ranges of bins: the
+    zero. Bins from ``n_bins`` on are cropped. Each pixel closer than 2*window to the diagonal feeds three ranges of bins: the
     diamond it lies in and the flanks left and right of it. Ranges are summed as differences
     (+v where a range starts, -v after its end), so a pixel costs six rows whatever the window.
     Whether a block is empty is decided by whole-number counts, free of rounding.
     """
     keys = list(keys)
     i, j, w = F.col("i"), F.col("j"), window
-    near = pixels.where((j - i) < 2 * w).select(*keys, "i", "j", F.col(value).alias("_v"))
+    near = crop(pixels, n_bins).where((j - i) < 2 * w).select(*keys, "i", "j", F.col(value).alias("_v"))
     twice = F.when(i == j, F.col("_v")).otherwise(2 * F.col("_v"))
     ranges = [
         ("diamond", F.greatest(i + 1, j - w + 1), F.least(j, i + w), F.col("_v"), i < j),
@@ -86,6 +86,11 @@ def _parts(kind: str, v: Column, sign: int) -> list[Column]:
     return out
 
 
+def crop(pixels: DataFrame, n_bins: int) -> DataFrame:
+    """Pixels of the first ``n_bins`` bins; in an upper triangle the later bin decides."""
+    return pixels.where(F.col("j") < n_bins)
+
+
 def join_maps(
     sim: DataFrame, exp: DataFrame, keys: Sequence[str], n_bins: int | None = None, value: str = "v"
 ) -> DataFrame:
@@ -193,11 +198,12 @@ def compare_maps(
 ) -> DataFrame:
     """Every agreement measure of a simulated and an experimental map, one row per ``keys``.
 
+    Both maps are cropped to ``n_bins``, the smaller of their sizes, before anything is measured.
     Curves, their metrics and insulation are computed for both maps at once, told apart by a
     ``side`` key, and laid side by side by aggregation instead of joins.
     """
     keys = list(keys)
-    sim, exp = limit_distance(sim, max_diag), limit_distance(exp, max_diag)
+    sim, exp = (limit_distance(crop(m, n_bins), max_diag) for m in (sim, exp))
     cells = join_maps(sim, exp, keys, value=value)
     on = [*keys, "side"]
     columns = [*keys, "i", "j", value]

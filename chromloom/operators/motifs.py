@@ -76,8 +76,3 @@ def orient_peaks(
         .withColumn("orientation", F.when(F.col("strand") == "+", 1).otherwise(-1))
         .drop("_all", "_strand")
     )
-
-
-def unoriented(peaks: DataFrame, oriented: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Peaks that found no orientation, for a report or an error."""
-    return peaks.join(oriented.select(*keys).distinct(), list(keys), "left_anti")

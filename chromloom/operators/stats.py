@@ -139,11 +139,11 @@ def mann_whitney_u(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def permutation_exact(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of all regroupings whose mean difference is at least the observed one.
 
-    Subsets are bit masks of the joined values; for pairs of at most sixteen values.
+    Subsets are bit masks of the joined values, so a pair may have ``EXACT_LIMIT`` values at most;
+    ``permutation_test`` takes pairs of any size.
     """
     ids = [*keys, "cond_x", "cond_y"]
-    n = F.col("n_x") + F.col("n_y")
-    small = pairs.where(n <= EXACT_LIMIT).select(
+    small = pairs.select(
         *ids, "n_x", "n_y", F.concat("x", "y").alias("v"),
         F.abs(F.col("mean_x") - F.col("mean_y")).alias("_obs"),
     )
@@ -164,6 +164,25 @@ def permutation_exact(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def permutation_test(
+    pairs: DataFrame, keys: Sequence[str], n_perm: int = N_RESAMPLES, seed: int = SEED
+) -> DataFrame:
+    """(keys, conditions, p_perm, n_perm, exact) of every pair.
+
+    The published rule: all regroupings where there are at most ``n_perm`` of them, else that
+    many seeded ones; ``exact`` tells which. Pairs of up to ``EXACT_LIMIT`` values with few
+    enough regroupings are enumerated in the JVM, the others in NumPy tasks, with equal results.
+    """
+    ids = [*keys, "cond_x", "cond_y"]
+    n = F.col("n_x") + F.col("n_y")
+    few = F.least(n, F.lit(EXACT_LIMIT)).cast("int")
+    ways = F.factorial(few) / (F.factorial(F.least("n_x", few).cast("int")) * F.factorial((few - F.least("n_x", few)).cast("int")))
+    listed = (n <= EXACT_LIMIT) & (ways <= n_perm)
+    masks = permutation_exact(pairs.where(listed), keys).withColumn("exact", F.lit(True))
+    drawn = resampling_tests(pairs.where(~listed), n_perm, seed).select(*ids, "p_perm", "n_perm", "exact")
+    return masks.unionByName(drawn)
+
+
 def _resample(x: np.ndarray, y: np.ndarray, n_boot: int, seed: int) -> dict:
     """Bootstrap interval, permutation p and rank-sum p of one pair of vectors."""
     from math import comb

@@ -101,7 +101,7 @@ def quick_report(
     both = [*keys, "target", "reference"]
     targets = runs.select(*both).distinct()
     exp = references.join(targets, "reference")
-    cells = maps.join_maps(runs, exp, both)
+    cells = maps.join_maps(runs, exp, both, n_bins)
     out = maps.overall_pearson(cells, both).join(
         maps.scc(maps.diag_pearson(cells, both, n_bins), both, n_bins), both, "left"
     )

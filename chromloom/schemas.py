@@ -1,4 +1,4 @@
-"""Explicit schemas; nothing is inferred from file content."""
+"""The schema of bead positions; tables are read with stated columns, never inferred ones."""
 
 from __future__ import annotations
 
@@ -7,21 +7,3 @@ from pyspark.sql import types as T
 POSITION = T.ArrayType(
     T.StructType([T.StructField(a, T.DoubleType()) for a in ("x", "y", "z")])
 )
-
-FRAMES = T.StructType([
-    T.StructField("locus", T.StringType()),
-    T.StructField("condition", T.StringType()),
-    T.StructField("replicate", T.IntegerType()),
-    T.StructField("shard", T.IntegerType()),
-    T.StructField("frame", T.LongType()),
-    T.StructField("pos", POSITION),
-])
-
-PIXELS = T.StructType([
-    T.StructField("map_id", T.StringType()),
-    T.StructField("i", T.IntegerType()),
-    T.StructField("j", T.IntegerType()),
-    T.StructField("n", T.LongType()),
-])
-
-EXPERIMENTAL_MSD = ("dt_s", "msd_um2")

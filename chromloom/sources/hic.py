@@ -30,10 +30,13 @@ def balance_column(columns: Sequence[str], asked: bool | str) -> str | None:
 def resolution_check(bins: DataFrame, resolution: int) -> DataFrame:
     """Smallest and largest bin width and whether both are the wanted resolution.
 
-    The last bin of a chromosome may be shorter; give bins without it if so.
+    The last bin of a chromosome may be shorter: it only counts if it is wider, or the only one.
     """
+    ends = ["sample", "chrom"] if "sample" in bins.columns else ["chrom"]
+    of_chrom = bins.groupBy(*ends).agg(F.max("start").alias("_last"), F.count(F.lit(1)).alias("_n"))
     width = F.col("end") - F.col("start")
-    return bins.agg(F.min(width).alias("bin_lo"), F.max(width).alias("bin_hi")).withColumn(
+    inner = (F.col("start") < F.col("_last")) | (F.col("_n") == 1) | (width > resolution)
+    return bins.join(of_chrom, ends).where(inner).agg(F.min(width).alias("bin_lo"), F.max(width).alias("bin_hi")).withColumn(
         "ok", (F.col("bin_lo") == resolution) & (F.col("bin_hi") == resolution)
     )
 
@@ -52,12 +55,14 @@ def hic_region(
 ) -> DataFrame:
     """Pixels (i, j, v) of one window, bins counted from its start.
 
-    The window filter reaches the bins scan; pixels keep only rows whose two ends are in it.
+    The window filter reaches the bins scan; pixels keep only rows whose two ends are in it. The
+    window has (end - start) // resolution bins; a part of a bin at its end is left out.
     Balanced values that are not finite are zero, and missing pixels mean zero.
     """
     weight = F.col(column).alias("_w") if column else F.lit(1.0).alias("_w")
+    at = F.floor((F.col("start") - start) / resolution)
     inside = bins.where(
-        (F.col("chrom") == chrom) & (F.col("start") >= start) & (F.col("start") < end)
+        (F.col("chrom") == chrom) & (F.col("start") >= start) & (at < (end - start) // resolution)
     ).select(
         F.col("bin").alias("_bin"),
         F.floor((F.col("start") - start) / resolution).cast("int").alias("_at"), weight,

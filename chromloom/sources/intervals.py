@@ -83,6 +83,15 @@ def parse_peaks(lines: DataFrame, region: tuple[str, int, int] | None = None) ->
     return rows if region is None else in_region(rows, *region, closed=True)
 
 
+def unreadable_lines(lines: DataFrame, least_fields: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    """How many lines have too few fields or no whole-number ends, and so give no row: ``n_lines,
+    n_bad`` for each of ``keys``. Comments and headers don't count as lines."""
+    bad = (F.col("n_fields") < least_fields) | _int(1).isNull() | _int(2).isNull()
+    return _fields(lines, ("#", "track"), True).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(bad).alias("n_bad")
+    )
+
+
 def in_region(df: DataFrame, chrom: str, start: int, end: int, closed: bool) -> DataFrame:
     return df.where(
         (F.col("chrom") == chrom) & overlaps(F.col("start"), F.col("end"), start, end, closed)
@@ -90,7 +99,7 @@ def in_region(df: DataFrame, chrom: str, start: int, end: int, closed: bool) ->
 
 
 def read_peaks(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None) -> DataFrame:
-    return parse_peaks(read_lines(spark, path), region).orderBy("chrom", "summit")
+    return parse_peaks(read_lines(spark, path), region)
 
 
 def parse_signal_peaks(

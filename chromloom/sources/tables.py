@@ -123,10 +123,14 @@ def read_experimental_msd(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_job_benchmarks(spark: SparkSession, path: str) -> DataFrame:
-    """Job timing tables (TSV) with rule and job taken from the file name ``rule_job.tsv``."""
+    """Job timing tables (TSV) with rule and job taken from the file name ``rule_job.tsv``.
+
+    Every column but the clock time ``h:m:s`` is a number; ``-`` and ``NA`` become NULL.
+    """
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.tsv$", 1)
     rows = spark.read.csv(path, sep="\t", header=True, inferSchema=False)
-    return label_jobs(rows.select("*", stem.alias("_stem")))
+    typed = [F.col(f"`{c}`") if c == "h:m:s" else F.col(f"`{c}`").try_cast("double").alias(c) for c in rows.columns]
+    return label_jobs(rows.select(*typed, stem.alias("_stem")))
 
 
 def label_jobs(rows: DataFrame, stem: str = "_stem") -> DataFrame:
