@@ -26,6 +26,7 @@ MSD_NAMES = {
 }
 FILE_NAME = r"^(.+)_(\d+)blk_(pooled|rep(-?\d+))_(.+)\.json$"
 STRING_MAP = T.MapType(T.StringType(), T.StringType())
+LEAVES = "array<struct<group:string,metric:string,value:double>>"
 
 
 def read_metric_json(spark: SparkSession, path: str) -> DataFrame:
@@ -55,20 +56,27 @@ def _number(text: Column) -> Column:
     return text.try_cast("double")
 
 
+def _leaf(value: Column) -> Column:
+    """A JSON number, or a boolean as 1 or 0; quoted numbers are text and give NULL."""
+    return F.when(F.schema_of_variant(value) != "STRING", F.try_variant_get(value, "$", "double"))
+
+
 def _entries(json: Column, group: Column | str, key: Column | None = None) -> Column:
     """Numeric leaves of a flat JSON object as (group, metric, value) structs."""
     group = F.lit(group) if isinstance(group, str) else group
-    found = F.map_entries(F.coalesce(F.from_json(json, STRING_MAP), F.create_map().cast(STRING_MAP)))
-    return F.transform(found, lambda e: F.struct(
+    found = F.map_entries(F.from_json(json, "map<string,variant>"))
+    leaves = F.transform(found, lambda e: F.struct(
         group.alias("group"), (e["key"] if key is None else F.concat(key, e["key"])).alias("metric"),
-        _number(e["value"]).alias("value"),
+        _leaf(e["value"]).alias("value"),
     ))
+    return F.coalesce(leaves, F.array().cast(LEAVES))
 
 
 def _named(json: Column, names: dict[str, Column], group: str) -> Column:
+    parsed = F.try_parse_json(json)
     return F.array(*[
         F.struct(F.lit(group).alias("group"), metric.alias("metric"),
-                 _number(F.get_json_object(json, f"$.{name}")).alias("value"))
+                 _leaf(F.try_variant_get(parsed, f"$.{name}", "variant")).alias("value"))
         for name, metric in names.items()
     ])
 

@@ -92,3 +92,10 @@ def test_unreadable_peak_lines_are_counted(spark):
     lines = spark.createDataFrame([("chr1\t1\t5",), ("chr1\tx\t5",), ("chr1\t1",), ("# note",), ("chr2\t1\t9\tn\t3",)], "value string")
     assert tuple(intervals.unreadable_lines(lines).first()) == (4, 2)
     assert intervals.parse_peaks(lines).count() == 2
+
+
+def test_harvest_keeps_json_types(spark):
+    body = '{"metrics": {"a": 1.5, "b": "2.5", "c": true, "dlogP_dlogs_at_10kb": -1, "n": null}, "fit": {"exponent": "3", "log_intercept": 4}}'
+    files = spark.createDataFrame([("wt_5blk_pooled_ps_metrics.json", body), ("wt_6blk_pooled_ps_metrics.json", "no json")], "name string, value string")
+    got = {(r.group, r.metric): r.value for r in summary.harvest(files).collect() if r.group != "provenance"}
+    assert got == {("P(s)", "a"): 1.5, ("P(s)", "c"): 1.0, ("P(s)_derivative", "dlogP_dlogs_at_10kb"): -1.0, ("P(s)", "fit_log_intercept"): 4.0}
