@@ -58,8 +58,8 @@ def _(t):
 # two conditions are compared: R stands for the simulated map, A for the experimental one;
 # the grouping key is the replicate, so that several comparisons run in one job
 CELLS = """
-, sm AS (SELECT rep AS cond, i, j, v FROM fx_pixels WHERE cond = 'R')
-, ex AS (SELECT rep AS cond, i, j, v FROM fx_pixels WHERE cond = 'A')
+, sm AS (SELECT concat(cond, '-', rep) AS cond, i, j, v FROM fx_pixels WHERE cond <> 'A')
+, ex AS (SELECT concat(o.cond, '-', e.rep) AS cond, i, j, v FROM fx_pixels e JOIN (VALUES ('R'), ('N')) o(cond) ON e.cond = 'A')
 , cells AS (SELECT cond, i, j, coalesce(sm.v, 0) AS sim, coalesce(ex.v, 0) AS exp
             FROM sm FULL JOIN ex USING (cond, i, j))
 """
@@ -76,10 +76,10 @@ DIAG = f"""
 
 
 def sides(t):
-    px = t.fx("fx_pixels")
-    return [
-        px.where(F.col("cond") == c).select(F.col("rep").alias("cond"), "i", "j", "v") for c in "RA"
-    ]
+    """Maps of every condition, and the reference condition's beside each."""
+    px, named = t.fx("fx_pixels"), lambda c: F.concat_ws("-", c, "rep").alias("cond")
+    exp = px.where("cond = 'A'").withColumn("other", F.explode(F.array(F.lit("R"), F.lit("N"))))
+    return px.where("cond <> 'A'").select(named("cond"), "i", "j", "v"), exp.select(named("other"), "i", "j", "v")
 
 
 def cells(t):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chromloom.catalog.registry import query
+from chromloom.catalog.registry import ORACLES, query
 from chromloom.functions import coords as G
 from chromloom.functions.numeric import round6
 from chromloom.operators import sites as S
@@ -65,29 +65,38 @@ def _(t):
     return S.conserved_sites(t.fx("fx_sites"), ["locus"], TYPES, tol=2)
 
 
-SHARED = """
-, x AS (SELECT a.locus, a.ctcf_type, EXISTS (SELECT 1 FROM fx_sites b WHERE b.locus = a.locus AND abs(b.bin - a.bin) <= 2
-   AND b.ctcf_type = CASE a.ctcf_type WHEN 'T0' THEN 'T1' ELSE 'T0' END) AS near FROM fx_sites a WHERE a.ctcf_type IN ('T0', 'T1'))
-SELECT locus, count(*) FILTER (ctcf_type = 'T0' AND near) AS shared, count(*) FILTER (ctcf_type = 'T0' AND NOT near) AS a_only,
-  count(*) FILTER (ctcf_type = 'T1' AND NOT near) AS b_only FROM x GROUP BY locus"""
+TYPE_PAIRS = """
+, tp(pair, a, b) AS (VALUES ('T0/T1', 'T0', 'T1'), ('T0/T2', 'T0', 'T2'), ('T1/T2', 'T1', 'T2'))
+, sa AS (SELECT pair, locus, bin, ori FROM fx_sites JOIN tp ON ctcf_type = a), sb AS (SELECT pair, locus, bin, ori FROM fx_sites JOIN tp ON ctcf_type = b)
+"""
 
 
-def two_types(t):
-    sites = t.fx("fx_sites")
-    return [sites.where(F.col("ctcf_type") == k).select("locus", "bin", "ori") for k in TYPES[:2]]
+def type_pairs(t):
+    """Sites of the first and of the second type of every pair of types, told apart by ``pair``."""
+    sites, pairs = t.fx("fx_sites"), [(a, b) for k, a in enumerate(TYPES) for b in TYPES[k + 1:]]
+    out = []
+    for side in (0, 1):
+        names = F.array(*[F.struct(F.lit(f"{p[0]}/{p[1]}").alias("pair"), F.lit(p[side]).alias("of")) for p in pairs])
+        every = sites.withColumn("p", F.explode(F.filter(names, lambda p: p["of"] == F.col("ctcf_type"))))
+        out.append(every.select("p.pair", "locus", "bin", "ori"))
+    return out
 
 
-@query("jn6_shared_or_specific", SHARED, FX)
+@query("jn6_shared_or_specific", TYPE_PAIRS + """
+, x AS (SELECT pair, locus, 'a' AS side, EXISTS (SELECT 1 FROM sb WHERE sb.pair = sa.pair AND sb.locus = sa.locus AND abs(sb.bin - sa.bin) <= 2) AS near FROM sa
+  UNION ALL SELECT pair, locus, 'b', EXISTS (SELECT 1 FROM sa WHERE sb.pair = sa.pair AND sb.locus = sa.locus AND abs(sb.bin - sa.bin) <= 2) FROM sb)
+SELECT pair, locus, count(*) FILTER (side = 'a' AND near) AS shared, count(*) FILTER (side = 'a' AND NOT near) AS a_only,
+  count(*) FILTER (side = 'b' AND NOT near) AS b_only FROM x GROUP BY ALL""", FX)
 def _(t):
-    return S.shared_or_specific(*two_types(t), ["locus"], 2)
+    return S.shared_or_specific(*type_pairs(t), ["pair", "locus"], 2)
 
 
-@query("set3_specific_sites", """
-SELECT DISTINCT locus, bin FROM fx_sites a WHERE ctcf_type = 'T0' AND NOT EXISTS (
-  SELECT 1 FROM fx_sites b WHERE b.ctcf_type = 'T1' AND b.locus = a.locus AND b.bin = a.bin)""", FX)
+@query("set3_specific_sites", TYPE_PAIRS + """
+SELECT DISTINCT pair, locus, bin FROM sa WHERE NOT EXISTS (
+  SELECT 1 FROM sb WHERE sb.pair = sa.pair AND sb.locus = sa.locus AND sb.bin = sa.bin)""", FX)
 def _(t):
-    a, b = two_types(t)
-    return a.join(b, ["locus", "bin"], "left_anti").select("locus", "bin").distinct()
+    a, b = type_pairs(t)
+    return a.join(b, ["pair", "locus", "bin"], "left_anti").select("pair", "locus", "bin").distinct()
 
 
 @query("jn7_site_signal", """
@@ -261,6 +270,24 @@ def _(t):
     return S.auto_probe_pairs(candidates(t), ["locus"], 2).select("locus", "place", "left", "right")
 
 
+@query("win12_four_pairs", CAND + """
+, so AS (SELECT locus, l, r, row_number() OVER (PARTITION BY locus ORDER BY tier, o, l, r) AS k FROM cd)
+, pk AS (SELECT locus, l, r, k, [l, r] AS used, 1 AS place FROM so WHERE k = 1
+  UNION ALL SELECT locus, l, r, k, used, place FROM (SELECT so.locus, so.l, so.r, so.k, list_concat(pk.used, [so.l, so.r]) AS used, place + 1 AS place,
+     row_number() OVER (PARTITION BY so.locus ORDER BY so.k) AS f FROM pk JOIN so ON so.locus = pk.locus AND so.k > pk.k AND place < 4
+     AND NOT list_contains(pk.used, so.l) AND NOT list_contains(pk.used, so.r)) WHERE f = 1)
+, hv AS (SELECT locus, max(place) AS n FROM pk GROUP BY locus)
+, fl AS (SELECT so.locus, l, r, n + row_number() OVER (PARTITION BY so.locus ORDER BY k) AS place FROM so JOIN hv ON hv.locus = so.locus
+  WHERE NOT EXISTS (SELECT 1 FROM pk WHERE pk.locus = so.locus AND pk.k = so.k))
+SELECT locus, CAST(place AS INTEGER) AS place, l AS "left", r AS "right" FROM pk
+UNION ALL SELECT locus, CAST(place AS INTEGER), l, r FROM fl WHERE place <= 4""", FX)
+def _(t):
+    return S.auto_probe_pairs(candidates(t), ["locus"], 4).select("locus", "place", "left", "right")
+
+
+ORACLES["win12_four_pairs"] = ORACLES["win12_four_pairs"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query("win13_probe_pairs", CAND + """
 , ex AS (SELECT DISTINCT locus, 1 AS l, 40 AS r FROM fx_sites WHERE locus % 3 = 0)
 , r1 AS (SELECT locus, l, r FROM (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY tier, o, l, r) AS k FROM cd) WHERE k = 1)
@@ -287,12 +314,11 @@ def _(t):
     return S.blocker_counts(t.fx("fx_sites"), KEYS)
 
 
-@query("ag74_loader_crosscheck", """
-, a AS (SELECT locus, bin, ori FROM fx_sites WHERE ctcf_type = 'T0'), b AS (SELECT locus, bin, ori FROM fx_sites WHERE ctcf_type = 'T1')
-SELECT *, 'a' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL
-SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""", FX)
+@query("ag74_loader_crosscheck", TYPE_PAIRS + """
+SELECT *, 'a' AS only_in FROM (SELECT * FROM sa EXCEPT ALL SELECT * FROM sb) UNION ALL
+SELECT *, 'b' FROM (SELECT * FROM sb EXCEPT ALL SELECT * FROM sa)""", FX)
 def _(t):
-    return S.same_sites(*two_types(t), ["locus", "bin", "ori"])
+    return S.same_sites(*type_pairs(t), ["pair", "locus", "bin", "ori"])
 
 
 @query("srt1_sites_in_order", """

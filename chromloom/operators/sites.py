@@ -285,40 +285,68 @@ def rank_probe_pairs(
     ).distinct()
 
 
+def relaxed_candidates(
+    conserved: DataFrame, every: DataFrame, keys: Sequence[str], anchor: int, min_sep: int, max_sep: int,
+    prefer_flanking: bool = True, strict: bool = True,
+) -> DataFrame:
+    """Ranked candidates of each group under the tightest rule that gives any, with its ``step``.
+
+    Step 1: convergent pairs of conserved sites; 2: convergent pairs of all sites; 3: pairs of all
+    sites in any orientation. A group of ``every`` without a pair under all of them is an error
+    where ``strict``, else it has no rows.
+    """
+    keys = list(keys)
+    ranked = [
+        rank_probe_pairs(sites, keys, anchor, min_sep, max_sep, convergent, prefer_flanking).withColumn("step", F.lit(k))
+        for k, (sites, convergent) in enumerate(((conserved, True), (every, True), (every, False)), 1)
+    ]
+    found = ranked[0].unionByName(ranked[1]).unionByName(ranked[2])
+    first = found.groupBy(*keys).agg(F.min("step").alias("step"))
+    kept = found.join(first, [*keys, "step"])
+    if not strict:
+        return kept
+    named = F.concat(F.lit("no pair of sites fits the separation in "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
+    checked = every.select(*keys).distinct().join(first, keys, "left").select(
+        *keys, F.when(F.col("step").isNull(), F.raise_error(named).cast("int")).otherwise(F.col("step")).alias("step")
+    )
+    return found.join(checked, [*keys, "step"])
+
+
 def auto_probe_pairs(
     candidates: DataFrame, keys: Sequence[str], n_pairs: int = 2, disjoint: bool = True
 ) -> DataFrame:
     """Best ``n_pairs`` candidates per group without shared anchors, filled up with the next best.
 
-    Picks one pair per round: the first pick drops every candidate that shares an anchor with
-    it, and so on. Each round is a grouped minimum, so candidates never meet in one task.
+    Only a short list of a group can matter. Choosing uses up at most 2 (n - 1) anchors, so of
+    the candidates with one left anchor (or one right anchor) the best 2n - 1 are enough, and of
+    those left the first that a used anchor can't have blocked; filling up needs the best 2n.
+    The list is walked once per group.
     """
     keys = list(keys)
-    rank = F.struct("tier", "offset", "left", "right")
-    left = candidates
-    chosen = None
-    for place in range(1, n_pairs + 1):
-        best = left.groupBy(*keys).agg(F.min(rank).alias("_r")).select(
-            *keys, F.lit(place).alias("place"), F.col("_r.left").alias("left"),
-            F.col("_r.right").alias("right"), F.col("_r.tier").alias("tier"),
-            F.col("_r.offset").alias("offset"),
-        )
-        chosen = best if chosen is None else chosen.unionByName(best)
-        taken = best.select(*keys, F.col("left").alias("_l"), F.col("right").alias("_r"))
-        l, r = F.col("left"), F.col("right")
-        clash = (
-            (l == F.col("_l")) | (l == F.col("_r")) | (r == F.col("_l")) | (r == F.col("_r"))
-            if disjoint else (l == F.col("_l")) & (r == F.col("_r"))
-        )
-        left = left.join(taken, keys).where(~clash).drop("_l", "_r")
-    have = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_have"))
-    rest = candidates.join(chosen.select(*keys, "left", "right"), [*keys, "left", "right"], "left_anti")
-    missing = rest.join(have, keys).where(F.col("_have") < n_pairs)
-    order = W.partitionBy(*keys).orderBy("tier", "offset", "left", "right")
-    fill = missing.withColumn("_k", F.row_number().over(order)).where(
-        F.col("_k") <= n_pairs - F.col("_have")
-    ).withColumn("place", (F.col("_have") + F.col("_k")).cast("int"))
-    return chosen.unionByName(fill.select(chosen.columns))
+    n, rank = n_pairs, ["tier", "offset", "left", "right"]
+    best = lambda *by: F.row_number().over(W.partitionBy(*keys, *by).orderBy(*rank))
+    fill = candidates.withColumn("_k", best()).where(F.col("_k") <= 2 * n).drop("_k")
+    if disjoint:
+        by_left = candidates.withColumn("_k", best("left")).where(F.col("_k") < 2 * n).drop("_k")
+        by_both = by_left.withColumn("_k", best("right")).where(F.col("_k") < 2 * n).drop("_k")
+        enough = n + 2 * (n - 1) * 2 * (2 * n - 1)
+        some = by_both.withColumn("_k", best()).where(F.col("_k") <= enough).drop("_k")
+        fill = fill.unionByName(some).distinct()
+    short = fill.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*rank))).alias("_c"))
+    nothing = F.array().cast(short.schema["_c"].dataType)
+
+    def pick(chosen: Column, c: Column) -> Column:
+        taken = F.exists(chosen, lambda x: x["left"].isin(c["left"], c["right"]) | x["right"].isin(c["left"], c["right"]))
+        return F.when((F.size(chosen) < n) & ~taken, F.concat(chosen, F.array(c))).otherwise(chosen)
+
+    def add(chosen: Column, c: Column) -> Column:
+        return F.when((F.size(chosen) < n) & ~F.array_contains(chosen, c), F.concat(chosen, F.array(c))).otherwise(chosen)
+
+    first = F.aggregate("_c", nothing, pick) if disjoint else F.slice("_c", 1, n)
+    picked = short.withColumn("_first", first).withColumn("_all", F.aggregate("_c", F.col("_first"), add))
+    return picked.select(*keys, F.posexplode("_all").alias("_p", "_r")).select(
+        *keys, (F.col("_p") + 1).cast("int").alias("place"), "_r.left", "_r.right", "_r.tier", "_r.offset"
+    )
 
 
 def probe_pairs(explicit: DataFrame, auto: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chromloom.operators import contacts, curves, maps, stats
+from chromloom.operators import contacts, curves, maps, sites, stats
 from chromloom.plans import summary
 from chromloom.plans.condition_report import quick_report
 from chromloom.sources import hic, intervals
@@ -99,3 +99,43 @@ def test_harvest_keeps_json_types(spark):
     files = spark.createDataFrame([("wt_5blk_pooled_ps_metrics.json", body), ("wt_6blk_pooled_ps_metrics.json", "no json")], "name string, value string")
     got = {(r.group, r.metric): r.value for r in summary.harvest(files).collect() if r.group != "provenance"}
     assert got == {("P(s)", "a"): 1.5, ("P(s)", "c"): 1.0, ("P(s)_derivative", "dlogP_dlogs_at_10kb"): -1.0, ("P(s)", "fit_log_intercept"): 4.0}
+
+
+def greedy(cands, n):
+    """The published choice, by walking all candidates."""
+    chosen, used = [], set()
+    for c in cands:
+        if len(chosen) < n and not used & set(c[2:]):
+            chosen.append(c)
+            used |= set(c[2:])
+    for c in cands:
+        if len(chosen) < n and c not in chosen:
+            chosen.append(c)
+    return [c[2:] for c in chosen]
+
+
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_probe_pairs_equal_a_walk_over_all_candidates(spark, n):
+    rng = np.random.default_rng(n)
+    rows = {(k, int(rng.integers(0, 2)), float(rng.integers(0, 6)), int(a), int(b)) for k in range(30) for a, b in rng.integers(0, 9 if k % 2 else 30, (k * 4, 2)) if a < b}
+    df = spark.createDataFrame(sorted(rows), "locus int, tier int, offset double, left int, right int")
+    got = {}
+    for r in sites.auto_probe_pairs(df, ["locus"], n).orderBy("locus", "place").collect():
+        got.setdefault(r.locus, []).append((r.left, r.right))
+    want = {}
+    for k in {r[0] for r in rows}:
+        want[k] = greedy(sorted(r[1:] for r in rows if r[0] == k), n)
+    # a pair of anchors may be ranked twice here; the walk takes it as two candidates too
+    assert got == want
+
+
+def test_candidates_relax_step_by_step(spark):
+    conserved = [("a", 5, 1), ("a", 20, -1), ("b", 5, 1)]
+    every = [*conserved, ("b", 20, -1), ("c", 5, -1), ("c", 20, 1)]
+    df = lambda rows: spark.createDataFrame(rows, "locus string, bin int, ori int")
+    got = sites.relaxed_candidates(df(conserved), df(every), ["locus"], 12, 5, 40).collect()
+    assert {(r.locus, r.step, r.left, r.right) for r in got} == {("a", 1, 5, 20), ("b", 2, 5, 20), ("c", 3, 5, 20)}
+    lonely = df([*every, ("d", 5, 1)])
+    assert sites.relaxed_candidates(df(conserved), lonely, ["locus"], 12, 5, 40, strict=False).count() == 3
+    with pytest.raises(Exception, match="no pair of sites fits"):
+        sites.relaxed_candidates(df(conserved), lonely, ["locus"], 12, 5, 40).collect()
