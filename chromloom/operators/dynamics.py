@@ -525,7 +525,9 @@ def snapshot_scores(
     snaps = legs.select(*keys, "snap").distinct().groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_snaps")
     )
-    every = snaps.withColumn("_j", F.lit(0)).join(loops.withColumn("_j", F.lit(0)), "_j").drop("_j")
+    # one row a loop and group is the result: groups (conditions and the like) are a short list
+    groups = snaps.agg(F.collect_list(F.struct(*keys, "_snaps")).alias("_g"))
+    every = loops.withColumn("_g", F.explode(groups.scalar())).select("anchor1", "anchor2", "_g.*")
     return every.join(held, [*keys, "anchor1", "anchor2"], "left").select(
         *keys, "anchor1", "anchor2",
         (F.coalesce("_held", F.lit(0)) / (F.col("_snaps") * len(offsets))).alias("looped"),

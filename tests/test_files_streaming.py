@@ -178,6 +178,8 @@ def test_running_dwell_in_any_order(spark, tmp_path):
     running_dwell.start_running_dwell(
         stream, str(tmp_path / "runs"), str(tmp_path / "ck"), ["series"], "t", F.col("hit")
     ).awaitTermination()
-    got = sorted((r.start, r.length) for r in running_dwell.running_runs(spark, str(tmp_path / "runs"), ["series"]).collect())
+    runs = lambda **k: sorted((r.start, r.length) for r in running_dwell.running_runs(spark, str(tmp_path / "runs"), ["series"], **k).collect())
+    got = runs()
+    assert runs(chunk=3) == got == runs(chunk=1)
     want = sorted((r.start, r.length) for r in D.contact_runs(df, ["series"], "t", F.col("hit")).collect())
     assert got == want
