@@ -11,8 +11,8 @@ from chromloom.catalog.q_contacts import PAIRS
 from chromloom.catalog.q_curves import METRICS_SQL, WIDE
 from chromloom.catalog.q_dynamics import MSD
 from chromloom.catalog.q_loops import ABLE, CUT, DISK, FX as LOOP_FX, LOCAL, PAD, site_loops
-from chromloom.catalog.q_maps import WIN
-from chromloom.catalog.registry import query
+from chromloom.catalog.q_maps import WIN, sides
+from chromloom.catalog.registry import ORACLES, query
 from chromloom.functions.numeric import round6
 from chromloom.operators import curves as C
 from chromloom.operators import loops as L
@@ -47,6 +47,14 @@ def _(t):
     return rows.select("cond", "group", "metric", (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
+@query("bnd1_comparison_report", f"""
+SELECT cond, 'sim_vs_exp' AS "group", metric, value FROM (
+  UNPIVOT (SELECT cond, CAST(COLUMNS(* EXCLUDE (cond)) AS DOUBLE) FROM ({ORACLES['ag19_compare_maps']})) ON COLUMNS(* EXCLUDE (cond)) INTO NAME metric VALUE value)""")
+def _(t):
+    rows = R.comparison_report(*sides(t), ["cond"], N_BINS, RES, WIN).where("value IS NOT NULL")
+    return rows.select("cond", "group", "metric", round6(F.col("value")).alias("value"))
+
+
 @query("bnd2_strength_on_probe_pairs", ABLE + """
 SELECT anchor1, anchor2, """ + ", ".join(
     f"max(CASE WHEN NOT near THEN round(disk - c * bg, 4) + 0.0 END) FILTER (cond = '{c}') AS strength_{c}" for c in "ANR"

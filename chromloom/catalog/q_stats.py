@@ -47,11 +47,15 @@ def _(t):
 
 
 # two-sided p: one less twice the density's integral from 0 to |t|, by Simpson's rule
-@query("ag44_welch_p", WELCH + """
+SIMPSON = """
 , fx AS (SELECT metric, cond_x, cond_y, abs(t) / 2000 AS h, k, CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
     * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi() * df) * pow(1 + (k * abs(t) / 2000) * (k * abs(t) / 2000) / df, -(df + 1) / 2) AS y
   FROM wt, range(2001) g(k))
-SELECT metric, cond_x, cond_y, round(1 - 2 * sum(y ORDER BY k) * any_value(h) / 3, 6) AS p_welch FROM fx GROUP BY ALL""", FX)
+, pw AS (SELECT metric, cond_x, cond_y, 1 - 2 * sum(y ORDER BY k) * any_value(h) / 3 AS p_welch FROM fx GROUP BY ALL)
+"""
+
+
+@query("ag44_welch_p", WELCH + SIMPSON + "SELECT metric, cond_x, cond_y, round(p_welch, 6) AS p_welch FROM pw", FX)
 def _(t):
     w = S.welch_p(S.welch_t(pairs(t)))
     return w.select(*IDS, F.round("p_welch", 6).alias("p_welch"))
@@ -100,16 +104,23 @@ def _(t):
     return c.select(*IDS, (F.round("cohens_d", 5) + F.lit(0.0)).alias("d"))
 
 
-@query("ag49_compare_vectors", MOM.replace("avg(value)", "avg(log10(value))").replace("var_samp(value)", "var_samp(log10(value))") + """
-SELECT metric, cond_x, cond_y, nx AS n_x, ny AS n_y, round(mx - my, 6) + 0.0 AS diff_mean,
-  round((mx - my) / sqrt(((nx - 1) * vx + (ny - 1) * vy) / (nx + ny - 2)), 5) + 0.0 AS cohens_d FROM pr""", FX)
+LOGS = "\n, fx_logs AS (SELECT metric, cond, rep, log10(value) AS value FROM fx_metrics WHERE value > 0)"
+BATTERY = LOGS + (WELCH + SIMPSON + PERM[len(MOM):] + """
+, uu AS (SELECT a.metric, a.cond AS cond_x, b.cond AS cond_y, CAST(sum(CASE WHEN a.value > b.value THEN 1.0 WHEN a.value = b.value THEN 0.5 ELSE 0 END) AS DOUBLE) AS u
+  FROM fx_metrics a JOIN fx_metrics b ON a.metric = b.metric AND a.cond <> b.cond GROUP BY ALL)
+, pp AS (SELECT metric, cond_x, cond_y, avg(CASE WHEN gap >= obs - 1e-12 THEN 1.0 ELSE 0.0 END) AS p, count(*) AS n FROM pm GROUP BY ALL)
+SELECT metric, cond_x, cond_y, nx AS n_x, ny AS n_y, round(mx, 6) + 0.0 AS mean_x, round(my, 6) + 0.0 AS mean_y, round(mx - my, 6) + 0.0 AS diff_mean,
+  round(t, 5) + 0.0 AS t, round(df, 5) AS df, round(p_welch, 6) AS p_welch, round(d, 5) + 0.0 AS cohens_d, u, round(p, 6) AS p_perm, n AS n_perm, true AS exact
+FROM wt JOIN pw USING (metric, cond_x, cond_y) JOIN uu USING (metric, cond_x, cond_y) JOIN pp USING (metric, cond_x, cond_y)""").replace("fx_metrics", "fx_logs")
+
+
+# the bootstrap interval and the rank-sum p of the battery are held against published numbers in the tests
+@query("ag49_compare_vectors", BATTERY, FX)
 def _(t):
-    v = S.clean_values(t.fx("fx_metrics"), log10=True)
-    c = S.cohens_d(S.condition_pairs(v, ["metric"]))
-    return c.select(
-        *IDS, "n_x", "n_y", round6(F.col("mean_x") - F.col("mean_y")).alias("diff_mean"),
-        (F.round("cohens_d", 5) + F.lit(0.0)).alias("cohens_d"),
-    )
+    c = S.compare_conditions(t.fx("fx_metrics").withColumn("metric", F.concat(F.lit("K_alpha"), "metric")))
+    five = [(F.round(k, 5) + F.lit(0.0)).alias(k) for k in ("t", "df", "cohens_d")]
+    six = [round6(F.col(k)).alias(k) for k in ("mean_x", "mean_y", "diff_mean", "p_welch", "p_perm")]
+    return c.select(F.substring("metric", 8, 99).alias("metric"), "cond_x", "cond_y", "n_x", "n_y", *five, *six, "u", "n_perm", "exact")
 
 
 @query("ag50_pairs_vs_reference", """
