@@ -45,7 +45,9 @@ _NOISE = set(
     "comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations trending "
     "menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar widget widgets "
-    "skip hidden offscreen sr complementary contentinfo search".split())
+    "skip hidden offscreen sr complementary contentinfo search adbox adslot adunit adsense adsbygoogle rail copyright".split())
+#: Whole names of a site's head; inside an article such a name is the article's own.
+_SITE_HEAD = {"header", "site-header", "page-header", "main-header", "top-header", "siteheader", "pageheader"}
 _PARTS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACES = re.compile(r"\s+")
@@ -70,12 +72,14 @@ class Block:
         self.text, self.linked, self.around, self.head = text, linked, around, head
 
 
-def _noisy(attributes: str) -> bool:
+def _noisy(attributes: str, in_article: bool) -> bool:
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role") and _NOISE & set(_PARTS.split(_CAMEL.sub("-", value).lower())):
             return True
+        if name in ("class", "id") and not in_article and _SITE_HEAD & set(value.lower().split()):
+            return True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
     return False
@@ -166,8 +170,9 @@ def blocks_of(page: str) -> tuple[list[Block], list[str], list[int]]:
         if tag in _VOID or m[4].rstrip().endswith("/") and tag not in _BLOCK:
             continue
         inside = stack[-1][1]
-        dropped = tag in _DROP or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack) or (
-            bool(m[4]) and tag not in ("html", "body", "article", "main") and _noisy(m[4]))
+        in_article = any(t in ("article", "main") for t, _, _ in stack)
+        dropped = tag in _DROP or tag == "header" and not in_article or (
+            bool(m[4]) and tag not in ("html", "body", "article", "main") and _noisy(m[4], in_article))
         if tag in _BLOCK and tag != "p" and tag not in _HEADS and not out and not dropped:
             paths.append(f"{paths[inside]}/{_step(tag, m[4])}")
             parents.append(inside)

@@ -1,7 +1,7 @@
 from chromloom.llm import html_text
 
 ARTICLE = (
-    "<html><head><title>T</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav>"
+    "<html><head><title>T</title><style>p{{}}</style><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav>"
     "<div class='ad'>Buy now, this is an advert of some length.</div>{start}<h1>Title &amp; more</h1><p>First   paragraph,\n with <b>bold</b> text that is "
     "long enough.<br><p>Second &lt;para&gt; &#8212; it has an entity &eacute; too.</p>{end}<footer>&copy; all rights</footer></body></html>")
 WANT = "Title & more\nFirst paragraph, with bold text that is long enough.\nSecond <para> — it has an entity é too."
@@ -29,6 +29,13 @@ def test_long_words_of_noise_names_stay():
     assert html_text.extract("<div class='header-adapter loading'><p>Some words that are a real text.</p></div>") == "Some words that are a real text."
 
 
+def test_heads_of_the_site_and_of_the_article():
+    page = "<body><div class='header'><p>A site name and a motto of some length.</p></div>{}<p>The text of the page, long enough to count.</p>{}</body>"
+    assert html_text.extract(page.format("", "")) == "The text of the page, long enough to count."
+    own = page.format("<article><header class='header'><h1>Its title</h1></header>", "</article>")
+    assert html_text.extract(own) == "Its title\nThe text of the page, long enough to count."
+
+
 def test_lists_tables_and_broken_markup():
     assert html_text.extract("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table><p>x<p>y</article>") == "one\ntwo\na\nb\nx\ny"
     assert html_text.extract("a < b and c > d") == "a < b and c > d"
