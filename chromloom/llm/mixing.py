@@ -50,9 +50,9 @@ def fill(nodes: DataFrame, family: Sequence[str], name: str) -> DataFrame:
     ratio = F.col("__room") / F.col("__weight")
     level = (F.col("__budget") - F.col("__taken")) / F.col("__left")
     full = nodes.withColumn("__taken", F.coalesce(F.sum("__room").over(before), F.lit(0.0))).withColumn("__left", F.sum("__weight").over(rest))
-    # the level at the first member that is not filled holds for all that follow
-    open_level = F.min(F.when(ratio > level, F.struct(ratio.alias("r"), level.alias("v")))).over(Window.partitionBy(*family))
-    shared = full.withColumn("__level", open_level["v"])
+    # the level at the first member that is not filled holds for all that follow; it falls from
+    # there on, so it is the highest of those that are not filled, ties of the ratio included
+    shared = full.withColumn("__level", F.max(F.when(ratio > level, level)).over(Window.partitionBy(*family)))
     share = F.when(F.col("__level").isNull(), F.col("__room")).otherwise(F.least(F.col("__room"), F.col("__weight") * F.col("__level")))
     return shared.withColumn("__share", share).drop("__taken", "__left", "__level")
 

@@ -120,7 +120,7 @@ def _fill_sql(depth: int) -> str:
         sum(w) OVER ({by} ORDER BY room / w, {levels[depth - 1]} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
         FROM n{depth} {parent}),
     v{depth} AS (SELECT *, (b - taken) / rest AS level FROM s{depth}),
-    o{depth} AS (SELECT {(', '.join(family) + ',') if family else ''} arg_min(level, r) AS flat FROM v{depth} WHERE r > level {('GROUP BY ' + ', '.join(family)) if family else ''}),
+    o{depth} AS (SELECT {(', '.join(family) + ',') if family else ''} max(level) AS flat FROM v{depth} WHERE r > level {('GROUP BY ' + ', '.join(family)) if family else ''}),
     g{depth} AS (SELECT {of}, CASE WHEN flat IS NULL THEN room ELSE least(room, w * flat) END AS b
                  FROM v{depth} LEFT JOIN o{depth} {('USING (' + ', '.join(family) + ')') if family else 'ON true'})"""
 

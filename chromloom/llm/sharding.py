@@ -54,6 +54,8 @@ def assign_shards(docs: DataFrame, n_shards: int, text: str = "text", order: tup
     rows each get a slot of their own. Null order columns come first. An empty table gives no
     rows. Input columns with one of the added names give way.
     """
+    named = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in named])
     body = F.coalesce(F.col(text), F.lit(""))
     # two texts of one 64-bit hash would only stay together; the sign keeps bundles apart
     group = F.xxhash64(body).bitwiseAND(F.lit((1 << 62) - 1))
@@ -91,8 +93,7 @@ def assign_shards(docs: DataFrame, n_shards: int, text: str = "text", order: tup
     )
     within = Window.partitionBy(*cell).orderBy(*order, "text_crc32", "size")
     done = celled(base).withColumn("__row", F.row_number().over(within)).join(offsets, cell)
-    named = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
     return done.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in named], "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        *[F.col(f"`{c}`") for c in docs.columns], "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("__before") + F.col("__row") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

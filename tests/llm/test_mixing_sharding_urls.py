@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from chromloom.llm import mixing, sharding, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string"
-LEVELS = {"domain": F.substring("source", 1, 1), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def levels():
+    return {"domain": F.substring("source", 1, 1), "lang": F.col("lang"), "source": F.col("source")}
 
 
 def fill(budget, members):
@@ -80,10 +83,10 @@ def test_mix_against_plain_loops(spark, monkeypatch):
     for percent, epochs in ((0, 1), (35, 1), (70, 2), (150, 2), (400, 3)):
         df = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", copies string")
         got = Counter()
-        for r in mixing.mix(df, LEVELS, weights, percent, epochs, 9).collect():
+        for r in mixing.mix(df, levels(), weights, percent, epochs, 9).collect():
             got[r.doc_id, r.tokens, r.source or ""] += r.copies
         assert +got == +brute_mix(rows, percent, epochs, 9, weights), (percent, epochs)
-    assert mixing.mix(spark.createDataFrame([], DOCS), LEVELS, weights).count() == 0
+    assert mixing.mix(spark.createDataFrame([], DOCS), levels(), weights).count() == 0
 
 
 def test_heap_schedule():
