@@ -2,13 +2,17 @@
 
 1. Every page is read once into text blocks, each with the containers it stands in; menus, forms,
    scripts and the like are left out by tag, and adverts, comments or notices by class, id or role.
-2. The page's containers are scored by the text of their blocks, less link text, and the smallest
-   container with most of the page's score is the page's vote: its generalised tag-class path
-   (numbers in class names dropped, positions left out).
+   What a name marks outside an article is set apart, as the voted container may still turn out to
+   be around it.
+2. The page's containers are scored by the text of their blocks, less link text. From the smallest
+   container with most of the page's score the vote climbs to the article around it, or as far as
+   containers hold text of the article only; it is given to that container's generalised tag-class
+   path (numbers in class names dropped, positions left out).
 3. Spark adds up the votes by host and path. A host's winning paths are those with a fair part of
    its votes.
-4. Every page is read again and its text is what its host's winning paths hold. A page that the
-   winners miss falls back on its own best container.
+4. Every page is read again. Its text is what its host's winning paths hold, each climbing as the
+   vote does, with the headline and paragraphs that stand in the containers around them. A page
+   that the winners miss falls back on its own best container.
 
 Votes are summed with partial aggregation and are one small row a host and path; pages meet their
 host's paths in an equi-join that Spark broadcasts by size or splits where a host is hot.
@@ -46,6 +50,16 @@ _NOISE = set(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations trending "
     "menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar widget widgets "
     "skip hidden offscreen sr complementary contentinfo search adbox adslot adunit adsense adsbygoogle rail copyright".split())
+#: Names that an article's own blocks bear as well.
+_OWN_NAMES = set("discussion notice notices alert alerts".split())
+#: Parts of a class name that say nothing beside a noise name.
+_FURNITURE = set(
+    "area article articles bar block body bottom box boxes button buttons col container content form group header icon icons inner item items "
+    "label left line link links list lists main media module only outer page post posts primary right row secondary section site slot stories "
+    "story text thread title top unit wrap wrapper".split())
+#: Whole class names of hidden text, and whole ids of comments.
+_HIDDEN_NAMES = {"hidden", "sr-only", "offscreen", "visually-hidden"}
+_COMMENT_IDS = {"comments", "respond", "disqus_thread"}
 #: Whole names of a site's head; inside an article such a name is the article's own.
 _SITE_HEAD = {"header", "site-header", "page-header", "main-header", "top-header", "siteheader", "pageheader"}
 _PARTS = re.compile(r"[^a-z]+")
@@ -63,26 +77,51 @@ MOST = 0.8
 FAIR, NEAR_BEST = 0.2, 0.5
 
 
+#: What a block's names mean: it is text, it is noise unless the article is around it, it is noise.
+_TEXT, _APART, _OUT = 0, 1, 2
+
+
 class Block:
-    """A piece of text with the containers around it, outermost first."""
+    """A piece of text with the containers around it, outermost first.
+
+    ``head`` is the heading's level or 0. ``apart`` is the container around the outermost element
+    that is noise unless the article is around it, or -1; ``by`` is that element's tag.
+    """
+
+    __slots__ = ("text", "linked", "around", "head", "apart", "by")
+
+    def __init__(self, text: str, linked: int, around: tuple[int, ...], head: int, apart: int = -1, by: str = ""):
+        self.text, self.linked, self.around, self.head, self.apart, self.by = text, linked, around, head, apart, by
+
+
+def _parts(name: str) -> set[str]:
+    return set(_PARTS.split(_CAMEL.sub("-", name).lower())) - {""}
 
-    __slots__ = ("text", "linked", "around", "head")
 
-    def __init__(self, text: str, linked: int, around: tuple[int, ...], head: bool):
-        self.text, self.linked, self.around, self.head = text, linked, around, head
+def _whole(names: str) -> bool:
+    """Whether one of the names is a noise name as a whole, and none that an article's own bear."""
+    return any((p := _parts(n)) & _NOISE and not p & _OWN_NAMES and p <= _NOISE | _FURNITURE for n in names.split())
 
 
-def _noisy(attributes: str, in_article: bool) -> bool:
+def _noisy(tag: str, attributes: str, in_article: bool) -> int:
+    """What the attributes say of an element: ``_TEXT``, ``_APART`` or ``_OUT``."""
+    found, block = _TEXT, tag in _BLOCK and tag not in _HEADS
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role") and _NOISE & set(_PARTS.split(_CAMEL.sub("-", value).lower())):
-            return True
-        if name in ("class", "id") and not in_article and _SITE_HEAD & set(value.lower().split()):
-            return True
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return _OUT
+        if name not in ("class", "id", "role"):
+            continue
+        if in_article and _NOISE & _parts(value):
+            return _OUT
+        if name != "id" and _whole(value) and (block or tag not in _BLOCK and not in_article) or name == "class" and _HIDDEN_NAMES & set(value.lower().split()):
+            return _OUT
+        if name == "id" and in_article and tag in ("div", "ul", "ol") and value.lower() in _COMMENT_IDS:
+            return _OUT
+        if not in_article and tag in _BLOCK and (_NOISE & _parts(value) or name != "role" and _SITE_HEAD & set(value.lower().split())):
+            found = _APART
+    return found
 
 
 def _step(tag: str, attributes: str) -> str:
@@ -96,7 +135,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[str], list[int]]:
     """``(blocks, path of each container, parent of each container)`` of a page, noise left out."""
     found: list[Block] = []
     paths, parents = [""], [-1]
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, left out
+    stack: list[tuple[str, int, int]] = [("", 0, _TEXT)]  # tag, container, what its names mean
     parts: list[str] = []
     linked, out = 0, 0
 
@@ -109,18 +148,20 @@ def blocks_of(page: str) -> tuple[list[Block], list[str], list[int]]:
                 while k >= 0:
                     around.append(k)
                     k = parents[k]
-                found.append(Block(text, linked, tuple(around[::-1]), any(t in _HEADS for t, _, _ in stack)))
+                head = next((int(t[1]) for t, _, _ in stack if t in _HEADS), 0)
+                at = next((n for n, (_, _, means) in enumerate(stack) if means == _APART), 0)
+                found.append(Block(text, linked, tuple(around[::-1]), head, *((stack[at - 1][1], stack[at][0]) if at else ())))
             parts.clear()
         linked = 0
 
     def close(upto: int) -> None:
         nonlocal out
         while len(stack) > upto:
-            tag, _, dropped = stack[-1]
+            tag, _, means = stack[-1]
             if tag in _BLOCK:
                 flush()
             stack.pop()
-            out -= dropped
+            out -= means == _OUT
 
     def text(s: str) -> None:
         nonlocal linked
@@ -171,14 +212,15 @@ def blocks_of(page: str) -> tuple[list[Block], list[str], list[int]]:
             continue
         inside = stack[-1][1]
         in_article = any(t in ("article", "main") for t, _, _ in stack)
-        dropped = tag in _DROP or tag == "header" and not in_article or (
-            bool(m[4]) and tag not in ("html", "body", "article", "main") and _noisy(m[4], in_article))
-        if tag in _BLOCK and tag != "p" and tag not in _HEADS and not out and not dropped:
+        means = _OUT if tag in _DROP else _noisy(tag, m[4], in_article) if m[4] and tag not in ("html", "body", "article", "main") else _TEXT
+        if tag == "header" and not in_article:
+            means = max(means, _APART)
+        if tag in _BLOCK and tag != "p" and tag not in _HEADS and not out and means != _OUT:
             paths.append(f"{paths[inside]}/{_step(tag, m[4])}")
             parents.append(inside)
             inside = len(paths) - 1
-        stack.append((tag, inside, dropped))
-        out += dropped
+        stack.append((tag, inside, means))
+        out += means == _OUT
     if last < len(page):
         text(page[last:])
     close(1)
@@ -197,6 +239,8 @@ def best_container(blocks: list[Block]) -> tuple[int, float]:
     score: dict[int, float] = defaultdict(float)
     total = 0.0
     for b in blocks:
+        if b.apart >= 0:
+            continue
         w = _worth(b)
         total += w
         for k in b.around:
@@ -208,8 +252,22 @@ def best_container(blocks: list[Block]) -> tuple[int, float]:
     return max(inner), total
 
 
-def _inside(blocks: list[Block], chosen: set[int]) -> list[Block]:
-    return [b for b in blocks if chosen.intersection(b.around)]
+def _tag(path: str) -> str:
+    return path.rsplit("/", 1)[-1].split(".", 1)[0]
+
+
+def _is_page(path: str) -> bool:
+    """Whether a container is the whole page and not a part of it."""
+    return _tag(path) in ("", "html", "body")
+
+
+def _chain(k: int, parents: list[int]) -> list[int]:
+    """A container and those around it, from the inside out."""
+    chain = []
+    while k >= 0:
+        chain.append(k)
+        k = parents[k]
+    return chain
 
 
 def _link_lists(blocks: list[Block]) -> set[int]:
@@ -222,23 +280,68 @@ def _link_lists(blocks: list[Block]) -> set[int]:
     return {k for k, (n, linked) in size.items() if linked > 0.6 * n}
 
 
+def _holds_article_only(blocks: list[Block], k: int, around: int, lists: set[int]) -> bool:
+    """Whether all that ``around`` holds besides ``k`` may be the article's own."""
+    more = [b for b in blocks if around in b.around and k not in b.around]
+    # the only headline of the page stands in the article's own header, not in the site's
+    headless = not any(b.head == 1 and k in b.around for b in blocks)
+    for b in more:
+        if b.apart >= 0:
+            if b.by in _HEADS or b.by == "p":
+                continue
+            if not (headless and b.by == "header" and any(o.head == 1 and 2 * o.linked <= len(o.text) for o in more if o.by == "header" and o.apart == b.apart)):
+                return False
+        elif lists.intersection(b.around) or 2 * b.linked > len(b.text) and not b.head:
+            return False
+    return True
+
+
+def climbed(k: int, blocks: list[Block], paths: list[str], parents: list[int], lists: set[int]) -> int:
+    """The article around a container, and as far out as containers hold the article's text only."""
+    chain = _chain(k, parents)
+    named = [c for c in chain if _tag(paths[c]) == "article"] or [c for c in chain if _tag(paths[c]) == "main"]
+    k = named[-1] if named else k
+    for around in _chain(k, parents)[1:]:
+        if _is_page(paths[around]) or not _holds_article_only(blocks, k, around, lists):
+            break
+        k = around
+    return k
+
+
+def _inside(blocks: list[Block], chosen: set[int], paths: list[str], parents: list[int]) -> list[bool]:
+    """Which blocks the chosen containers hold; a whole page has no part in blocks set apart."""
+    parts = {k for k in chosen if not _is_page(paths[k])}
+    return [bool(chosen.intersection(b.around) if b.apart < 0 else parts.intersection(_chain(b.apart, parents))) for b in blocks]
+
+
 def extract(page: str | None, winners: list[str] | None = None) -> str:
-    """Main text of a page: the blocks that the winning paths hold, or else its own best container."""
+    """Main text of a page: what the winning paths hold, or else its own best container."""
     if not page:
         return ""
     blocks, paths, parents = blocks_of(page)
     own, total = best_container(blocks)
     if own < 0:
         return ""
-    chosen = set()
-    if winners:
-        wanted = set(winners)
-        chosen = {k for k, p in enumerate(paths) if p in wanted}
-    held = _inside(blocks, chosen)
-    if sum(map(_worth, held)) < 0.5 * total:
-        held = _inside(blocks, {own})
-    lists = _link_lists(blocks) - {own} - chosen
-    return "\n".join(b.text for b in held if not lists.intersection(b.around))
+    lists = _link_lists(blocks)
+    wanted = set(winners or ())
+    chosen = {climbed(k, blocks, paths, parents, lists) for k, p in enumerate(paths) if p in wanted}
+    held = _inside(blocks, chosen, paths, parents)
+    if sum(_worth(b) for b, is_held in zip(blocks, held) if is_held and b.apart < 0) < 0.5 * total:
+        chosen = {climbed(own, blocks, paths, parents, lists)}
+        held = _inside(blocks, chosen, paths, parents)
+    lists -= chosen
+    outer = {c for k in chosen for c in _chain(k, parents)} - chosen
+    text = []
+    follows = False
+    for b, is_held in zip(reversed(blocks), reversed(held)):
+        if is_held:
+            keep = not lists.intersection(b.around)
+        else:  # a headline or paragraph right in a container around the chosen ones
+            keep = b.apart < 0 and b.around[-1] in outer and (follows if b.head else 2 * b.linked <= len(b.text))
+        if keep:
+            text.append(b.text)
+        follows = keep
+    return "\n".join(reversed(text))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,10 +350,10 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             page = page.as_py()
             if page:
-                blocks, paths, _ = blocks_of(page)
+                blocks, paths, parents = blocks_of(page)
                 own, total = best_container(blocks)
                 if own >= 0:
-                    votes[host, paths[own]] += 1
+                    votes[host, paths[climbed(own, blocks, paths, parents, _link_lists(blocks))]] += 1
         hosts, found = [h for h, _ in votes], [p for _, p in votes]
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.string()), pa.array(list(votes.values()), pa.float64())], ["host", "path", "votes"])
 

@@ -80,3 +80,42 @@ def test_all_pages_against_their_markup(spark):
         inner = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1].replace("<br>", " ")
         parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1)>", inner)]
         assert r.text == "\n".join(x for x in parts if x) and r.n_chars == len(r.text)
+
+
+PROSE = "A sentence of the article that is long enough to count as prose, number {}."
+
+
+def test_headline_and_lead_outside_the_body_container(spark):
+    body = "".join(f"<p>{PROSE.format(k)}</p>" for k in range(12))
+    want = "Headline\nThe lead of it.\n" + "\n".join(PROSE.format(k) for k in range(12))
+    starts = [
+        ("<article><h1>Headline</h1><p>The lead of it.</p><div class=body>", "</div></article>"),
+        ("<main><div class=hero><h1>Headline</h1><p>The lead of it.</p></div><div class=body>", "</div></main>"),
+        ("<div class=story><h1>Headline</h1><p>The lead of it.</p><div class=body>", "</div></div>"),
+        ("<div class=post><header><h1>Headline</h1><p>The lead of it.</p></header><div class=body>", "</div></div>"),
+        ("<h1>Headline</h1><p>The lead of it.</p><div class=body>", "</div><h3>More</h3><ul><li><a href=1>Another story to read</a></ul>"),
+    ]
+    rows = []
+    for n, (start, end) in enumerate(starts):
+        page = f"<body><nav>Menu</nav><div class=menu><a href=/>Home page of the site</a></div>{start}{body}{end}<footer>end</footer></body>"
+        assert html_text.extract(page) == want
+        rows += [(10 * n + k, f"http://h{n}.example/{k}", page) for k in range(4)]
+    assert {t for t, _ in run(spark, rows).values()} == {want}
+
+
+def test_sections_of_an_article_are_kept_whatever_the_host_votes_for(spark):
+    """Nine pages have one section only; the tenth has a second one of another class."""
+    first, second = ("".join(f"<p>{PROSE.format(k)}</p>" for k in range(*r)) for r in ((0, 6), (6, 10)))
+    for tag in ("article", "main", "div class=wrap"):
+        page = f"<body><{tag}><section class=one>{first}</section>{{}}</{tag.split()[0]}></body>"
+        rows = [(k, "http://h.example/a", page.format("")) for k in range(9)] + [(9, "http://h.example/b", page.format(f"<section class=two>{second}</section>"))]
+        got = run(spark, rows)
+        assert got[0][0] == "\n".join(PROSE.format(k) for k in range(6))
+        assert got[9][0] == "\n".join(PROSE.format(k) for k in range(10))
+
+
+def test_site_header_and_side_column_stay_out():
+    body = "".join(f"<p>{PROSE.format(k)}</p>" for k in range(12))
+    page = ("<body><div class=page><header><h1>The site</h1><p>Its motto, which is the same on every page.</p></header><div id=sidebar-x><p>Side text of "
+            f"some length that is no article.</p></div><div class=content><h1>Headline</h1>{body}</div></div></body>")
+    assert html_text.extract(page) == "Headline\n" + "\n".join(PROSE.format(k) for k in range(12))
