@@ -2,8 +2,9 @@
 
 1. Every page is read once into text blocks, each with the containers it stands in; menus, forms,
    scripts and the like are left out by tag, and adverts, comments or notices by class, id or role.
-   What a name marks outside an article is set apart, as the voted container may still turn out to
-   be around it.
+   Inside an article only whole class names and roles of its blocks count: ids and parts of names
+   are often made from headings. What a name marks outside an article is set apart, as the voted
+   container may still turn out to be around it.
 2. The page's containers are scored by the text of their blocks, less link text. From the smallest
    container with most of the page's score the vote climbs to the article around it, or as far as
    containers hold text of the article only; it is given to that container's generalised tag-class
@@ -33,8 +34,8 @@ from chromloom.llm.common import bound_batches, stored, with_columns
 from chromloom.llm.url_filter import host_of
 
 # Tags by their role in a page.
-_RAW = "script style noscript template textarea iframe svg math object canvas title select".split()
-_DROP = {*_RAW, *"head nav footer aside form button input label fieldset dialog menu audio video figure figcaption map".split()}
+_RAW = "script style noscript template textarea iframe svg object canvas title select".split()
+_DROP = {*_RAW, *"head nav footer aside form button input label fieldset dialog menu video annotation annotation-xml".split()}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -113,8 +114,6 @@ def _noisy(tag: str, attributes: str, in_article: bool) -> int:
             return _OUT
         if name not in ("class", "id", "role"):
             continue
-        if in_article and _NOISE & _parts(value):
-            return _OUT
         if name != "id" and _whole(value) and (block or tag not in _BLOCK and not in_article) or name == "class" and _HIDDEN_NAMES & set(value.lower().split()):
             return _OUT
         if name == "id" and in_article and tag in ("div", "ul", "ol") and value.lower() in _COMMENT_IDS:
@@ -329,7 +328,10 @@ def extract(page: str | None, winners: list[str] | None = None) -> str:
     if sum(_worth(b) for b, is_held in zip(blocks, held) if is_held and b.apart < 0) < 0.5 * total:
         chosen = {climbed(own, blocks, paths, parents, lists)}
         held = _inside(blocks, chosen, paths, parents)
-    lists -= chosen
+    # lists of links are the article's own inside it
+    inner = [k for k, p in enumerate(paths) if k in chosen and not _is_page(p) or _tag(p) in ("article", "main")]
+    ours = set(inner)
+    lists = {k for k in lists if not ours.intersection(_chain(k, parents))} - chosen
     outer = {c for k in chosen for c in _chain(k, parents)} - chosen
     text = []
     follows = False

@@ -119,3 +119,27 @@ def test_site_header_and_side_column_stay_out():
     page = ("<body><div class=page><header><h1>The site</h1><p>Its motto, which is the same on every page.</p></header><div id=sidebar-x><p>Side text of "
             f"some length that is no article.</p></div><div class=content><h1>Headline</h1>{body}</div></div></body>")
     assert html_text.extract(page) == "Headline\n" + "\n".join(PROSE.format(k) for k in range(12))
+
+
+def test_names_made_from_headings_are_no_noise_inside_the_article():
+    inner = ("<h1>A study</h1><h2 id=search-methods>Search methods</h2><p>How the papers of the study were found and read.</p><h2 id=related-work>Related work</h2>"
+             "<p id=notice-period>The period of notice is three months from the first.</p><div class=social-history><p>The social history of the town, told at length.</p></div>"
+             "<section id=discussion><p>What the results mean, discussed at some length.</p></section><div class='alert warning'><p>A warning of the text itself, not of the site.</p></div>")
+    want = ("A study\nSearch methods\nHow the papers of the study were found and read.\nRelated work\nThe period of notice is three months from the first.\n"
+            "The social history of the town, told at length.\nWhat the results mean, discussed at some length.\nA warning of the text itself, not of the site.")
+    noise = ("<div class=related-posts><p>Another story that is worth to be read as well.</p></div><div class='ad-slot'>Buy this now, it is cheap and good.</div>"
+             "<ol class='commentlist'><li>A comment of a reader, some words long.</ol><div id=comments><p>One more comment of a reader, some words long.</p></div>"
+             "<div class=share-buttons>Share it</div><p class=newsletter>Subscribe to our letter, it is for free.</p>")
+    for tag in ("article", "main", "div class=text"):
+        more = noise if tag != "div class=text" else noise.replace(" id=comments", " class=comments")
+        assert html_text.extract(f"<body><nav>Menu</nav><{tag}>{inner}{more}</{tag.split()[0]}><footer>end</footer></body>") == want
+    for name in ("class=ad", "id=comments-area", "class=site-search", "role=banner"):
+        assert html_text.extract(f"<body><div {name}><p>A box beside the article with a few words.</p></div><article>{inner}</article></body>") == want
+
+
+def test_captions_formulas_and_lists_of_links_are_kept():
+    page = ("<body><ul><li><a href=/a>The first page of the site</a><li><a href=/b>The second page of the site</a></ul><article><p>The text of the page, long enough to count.</p>"
+            "<figure><img src=x><figcaption>A caption of the figure.</figcaption></figure><p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> here.</p>"
+            "<audio src=y>A spoken word</audio><h2>References</h2><ol><li><a href=1>The first work that is cited</a><li><a href=2>The second work that is cited</a></ol></article></body>")
+    assert html_text.extract(page) == (
+        "The text of the page, long enough to count.\nA caption of the figure.\nWe have x=2 here.\nA spoken word\nReferences\nThe first work that is cited\nThe second work that is cited")
