@@ -1,8 +1,8 @@
 """Near-duplicate documents by b-bit MinHash.
 
-1. Each text becomes its set of distinct word pairs, a 128-bit digest of that set, the minima of
-   ``BANDS * ROWS`` hash functions, the low ``BITS`` bits of each minimum packed into 64-bit
-   words, and one key a band.
+1. Each text becomes its set of distinct runs of ``n_words`` words, a 128-bit digest of that set,
+   the minima of ``BANDS * ROWS`` hash functions, the low ``BITS`` bits of each minimum packed into
+   64-bit words, and one key a band.
 2. Equal sets are one class, whatever their number; only one document of a class goes on.
 3. In each band bucket one class is the hub, and every other member is paired with it: pairs grow
    with members, not with their square. Packed signatures estimate a pair's similarity, corrected
@@ -127,25 +127,31 @@ def _digest(sets: list[np.ndarray], salt: int) -> np.ndarray:
     return np.array([np.add.reduce(mix64((s ^ _U(salt)) * _U(0xBB67AE8584CAA73B))) for s in sets], np.uint64).view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, sets in shingle_sets(batch.column(1)):
-            n = len(sets)
-            size = np.array([len(s) for s in sets], np.int64)
-            least = np.stack([minima(s) for s in sets])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, n), pa.array(size), pa.array(_digest(sets, NODE)), pa.array(_digest(sets, CHECK)),
-                 _lists(pack(least)), _lists(band_keys(least))],
-                ["id", "n", "node", "other", "packed", "keys"])
+def _sketch(n_words: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, sets in shingle_sets(batch.column(1), n_words):
+                n = len(sets)
+                size = np.array([len(s) for s in sets], np.int64)
+                least = np.stack([minima(s) for s in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, n), pa.array(size), pa.array(_digest(sets, NODE)), pa.array(_digest(sets, CHECK)),
+                     _lists(pack(least)), _lists(band_keys(least))],
+                    ["id", "n", "node", "other", "packed", "keys"])
+
+    return sketch
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, sets in shingle_sets(batch.column(1)):
-            ends = np.cumsum([0, *[len(s) for s in sets]]).astype(np.int32)
-            values = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_digest(sets, NODE)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "shingles"])
+def _sets(n_words: int):
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in shingle_sets(batch.column(1), n_words):
+                ends = np.cumsum([0, *[len(s) for s in sets]]).astype(np.int32)
+                values = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_digest(sets, NODE)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "shingles"])
+
+    return full
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -193,20 +199,20 @@ def plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return stored(pairs.join(sides[0], "a").join(sides[1], "b").filter(fits).select("a", "b"), "op1-near")
 
 
-def _full_sets(nodes: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _full_sets(nodes: DataFrame, reps: DataFrame, texts: DataFrame, n_words: int) -> DataFrame:
     """``(node, shingles)`` of the classes in ``nodes``, and of others that share an id with one."""
     ids = stored(reps.join(nodes, "node", "left_semi").select("id"), "op1-wanted")
-    return stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "op1-sets")
+    return stored(texts.join(ids, "id", "left_semi").mapInArrow(_sets(n_words), "node long, shingles array<long>").dropDuplicates(["node"]), "op1-sets")
 
 
-def confirmed(near: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirmed(near: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, n_words: int = 2) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough.
 
     ``reps``: ``node, id`` of each class; ``texts``: ``id, text``.
     """
     if near.isEmpty():
         return near
-    full = _full_sets(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), reps, texts)
+    full = _full_sets(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), reps, texts, n_words)
     left = full.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     right = full.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     both = near.join(left, "b").join(right, "a").select("a", "b", "set_a", "set_b")
@@ -238,11 +244,11 @@ def _linked_blocks(percent: int):
     return block
 
 
-def _against_large(asks: DataFrame, large: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _against_large(asks: DataFrame, large: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, n_words: int) -> DataFrame:
     """Links ``(a, b)`` of the classes in ``asks(node, large)`` to members of ``large(node, root)``:
     one for each class and block of the component that holds any."""
     members = large.join(asks.select(F.col("large").alias("root")).distinct(), "root", "left_semi")
-    full = _full_sets(asks.select("node").union(members.select("node")).distinct(), reps, texts)
+    full = _full_sets(asks.select("node").union(members.select("node")).distinct(), reps, texts, n_words)
     parts = lambda df, key, rows: df.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
     of_members = parts(members, "root", BLOCK_MEMBERS).withColumnRenamed("parts", "m_parts")
     of_asks = parts(asks.withColumnRenamed("large", "root"), "root", BLOCK_ASKED).withColumnRenamed("parts", "a_parts")
@@ -292,19 +298,19 @@ def _renamed(rooted: DataFrame, names: DataFrame) -> DataFrame:
     return rooted.join(names, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", n_words: int = 2) -> DataFrame:
     """Every row with n_shingles, component_id and kept; input columns are those two only.
 
-    Rows link when 100 * intersection >= ``percent`` * union of their sets of word pairs. A text
-    without words (or null) has an empty set and links with nothing. Rows without an id are
-    returned with null component_id and kept, and take no part. Rows of one id with several texts
-    are each judged by their own text. Repeated rows get equal results; a component's id is its
-    smallest doc_id. An empty table gives no rows.
+    Rows link when 100 * intersection >= ``percent`` * union of their sets of runs of ``n_words``
+    words; a shorter text is one run. A text without words (or null) has an empty set and links
+    with nothing. Rows without an id are returned with null component_id and kept, and take no
+    part. Rows of one id with several texts are each judged by their own text. Repeated rows get
+    equal results; a component's id is its smallest doc_id. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sketches = stored(
-        texts.mapInArrow(_sketch, "id long, n long, node long, other long, packed array<long>, keys array<long>"), "op1-sketches")
+        texts.mapInArrow(_sketch(n_words), "id long, n long, node long, other long, packed array<long>, keys array<long>"), "op1-sketches")
     digest = ["node", "other", "n"]
     classes = stored(sketches.filter("n > 0 AND id IS NOT NULL").groupBy(*digest).agg(F.min("id").alias("id")), "op1-classes")
     # one row a class; of rows with one id and set any will do
@@ -315,7 +321,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     shared = stored(members.join(hubs, "key").select("key", "node", "hub"), "op1-buckets")
 
     first = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = confirmed(plausible(first, reps, percent), reps, texts, percent)
+    links = confirmed(plausible(first, reps, percent), reps, texts, percent, n_words)
     roots = stored(components(links), "op1-roots")
     degree = links.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("hubs"))
     placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -328,7 +334,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         .filter("root <> root_a AND node <> hub").select("a", "root_a", F.col("node").alias("b"), F.col("root").alias("root_b")).distinct()
     )
     second = stored(second, "op1-second")
-    more = confirmed(plausible(second.select("a", "b"), reps, percent), reps, texts, percent)
+    more = confirmed(plausible(second.select("a", "b"), reps, percent), reps, texts, percent, n_words)
     names = _contracted(more.join(second, ["a", "b"]))
     merged = stored(_renamed(open_, names), "op1-merged")
 
@@ -345,7 +351,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
         .select("node", "root", "large").distinct()
     )
     asks = stored(asks, "op1-asks")
-    blocks = _against_large(asks.select("node", "large"), large, reps, texts, percent) if not asks.isEmpty() else asks.selectExpr("node AS a", "large AS b")
+    blocks = _against_large(asks.select("node", "large"), large, reps, texts, percent, n_words) if not asks.isEmpty() else asks.selectExpr("node AS a", "large AS b")
     side = lambda c: two.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     names_2 = _contracted(blocks.join(side("a"), "a").join(side("b"), "b"))
 
@@ -356,7 +362,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     fits = similar(_words("packed_a"), _words("packed_b"), percent / 100 - SLACK)
     met = sides[0].join(sides[1], (F.col("key_a") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b")) & fits)
     left_over = stored(met.select(F.col("node_a").alias("a"), "root_a", F.col("node_b").alias("b"), "root_b").distinct(), "op1-left")
-    final = confirmed(left_over.select("a", "b"), reps, texts, percent)
+    final = confirmed(left_over.select("a", "b"), reps, texts, percent, n_words)
     names_3 = _contracted(final.join(left_over, ["a", "b"]))
     joined = stored(_renamed(_renamed(two, names_2), names_3), "op1-final")
     smallest = joined.groupBy("root").agg(F.min("id").alias("component"))

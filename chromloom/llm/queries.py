@@ -45,7 +45,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.p = d.doc_id
 
 @query("op1_near_duplicates", DEDUP_SQL)
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), n_words=2)
 
 
 # --- 2: quality classifier -------------------------------------------------------------------

@@ -10,6 +10,8 @@ from chromloom.llm import decontam, minhash, quality, queries, sharding
 from chromloom.llm.common import read_table, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of a shingle of the near-copy stage; operator 1 alone is bound to two.
+NEAR_COPY_WORDS = 5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, n_words=NEAR_COPY_WORDS)
     gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select("doc_id")
     gone = stored(gone, "pipeline-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)

@@ -79,3 +79,30 @@ def test_odd_documents_pass_all_stages(spark, tmp_path):
         found = at.collect()
         assert not empty or not found
         assert 3 not in {r.doc_id for r in found}
+
+
+def test_near_copies_go_by_runs_of_five_words(spark):
+    """The stage against a comparison of all pairs in plain Python."""
+    import re
+
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets, root = {}, {}
+    for r in docs.select("doc_id", "text").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        root[r.doc_id] = r.doc_id
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i < j and x and y and 100 * len(x & y) >= 80 * len(x | y):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    kept = sorted(r.doc_id for r in p.drop_near_copies(spark, docs, SF).collect())
+    assert kept == sorted({find(i) for i in sets}) and len(kept) < len(sets)
