@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromloom.llm import decontam, html_text, minhash, mixing, neighbours, quality, secrets, sharding, url_filter, warc
+from chromloom.llm import centroids, decontam, html_text, minhash, mixing, neighbours, quality, secrets, sharding, url_filter, warc
 from chromloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,36 @@ def op10_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.filter(F.col("url").rlike(LISTED)).select("url")
     return url_filter.filter_urls(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+# --- 13: centroid clustering -----------------------------------------------------------------
+
+
+def _round_sql(k: int) -> str:
+    """One round: all vectors to the nearest centroid, then floors of the means."""
+    return f"""
+    m{k} AS MATERIALIZED (SELECT row, any_value(v.a) AS a, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (v.a[i] - c.a[i]) * (v.a[i] - c.a[i]))), 'c': c.c}}) AS b
+        FROM v, c{k} c GROUP BY row),
+    c{k + 1} AS MATERIALIZED (WITH s AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT b.c AS c, unnest(a) AS x, generate_subscripts(a, 1) AS j FROM m{k}) GROUP BY ALL),
+        f AS (SELECT c, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY j) AS a FROM s GROUP BY c)
+        SELECT o.c, coalesce(f.a, o.a) AS a FROM c{k} o LEFT JOIN f USING (c))"""
+
+
+CENTROID_SQL = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS a
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, a) - 1 AS c, a
+        FROM (SELECT sha256(concat('3:', vec_id)) AS h, a FROM v ORDER BY h, a LIMIT 8)),
+    {','.join(_round_sql(k) for k in range(10))},
+    m AS MATERIALIZED (SELECT row, any_value(vec_id) AS vec_id, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (v.a[i] - c.a[i]) * (v.a[i] - c.a[i]))), 'c': c.c}}) AS b
+        FROM v, c10 c GROUP BY row)
+SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.a, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM m JOIN c10 c ON c.c = m.b.c
+"""
+
+
+@query("op13_centroid_clusters", CENTROID_SQL)
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
