@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromloom.llm import centroids, decontam, html_text, minhash, mixing, neighbours, quality, secrets, sharding, url_filter, warc
+from chromloom.llm import centroids, decontam, html_text, minhash, mixing, neighbours, personal_data, quality, secrets, sharding, url_filter, warc
 from chromloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,6 +215,15 @@ def op10_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+# --- 11: personal data -----------------------------------------------------------------------
+
+
+@query("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal_data.scan(docs).select("doc_id", *personal_data.COLUMNS)
+
+
 # --- 13: centroid clustering -----------------------------------------------------------------
 
 
