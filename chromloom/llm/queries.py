@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromloom.llm import centroids, decontam, html_text, minhash, mixing, neighbours, personal_data, quality, secrets, sharding, url_filter, warc
+from chromloom.llm import centroids, decontam, filter_audit, html_text, minhash, mixing, neighbours, personal_data, quality, secrets, sharding, url_filter, warc
 from chromloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,6 +224,38 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.scan(docs).select("doc_id", *personal_data.COLUMNS)
 
 
+# --- 12: filter interaction audit ------------------------------------------------------------
+
+AUDIT_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    first AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 'C' ELSE '' END
+            || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > least THEN 'E' ELSE '' END AS fails,
+            coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM d JOIN first USING (text) LEFT JOIN l ON l.doc_id = d.doc_id),
+    c AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o(o) AS (SELECT '' UNION ALL SELECT o || x FROM o, letters WHERE NOT contains(o, x)),
+    s AS (SELECT o AS filter_order, k AS step, o[k] AS x, o[1:k - 1] AS before FROM o, range(1, 6) r(k) WHERE length(o) = 5),
+    p AS (SELECT part, filter_order, step, x, n, good, toxic, fails, contains(fails, x) AS hit,
+            translate(fails, before, '') <> fails AS gone FROM c, s),
+    t AS (SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0) AS removed,
+            coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = x), 0) AS unique_fails,
+            coalesce(sum(n) FILTER (hit AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (hit AND NOT gone AND toxic), 0) AS toxic_lost
+          FROM p GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM t
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", read_table(spark, sf_dir, "labels"))
+
+
 # --- 13: centroid clustering -----------------------------------------------------------------
 
 
