@@ -298,15 +298,8 @@ def _renamed(rooted: DataFrame, names: DataFrame) -> DataFrame:
     return rooted.join(names, "root", "left").withColumn("root", F.coalesce("new", "root")).drop("new")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", n_words: int = 2) -> DataFrame:
-    """Every row with n_shingles, component_id and kept; input columns are those two only.
-
-    Rows link when 100 * intersection >= ``percent`` * union of their sets of runs of ``n_words``
-    words; a shorter text is one run. A text without words (or null) has an empty set and links
-    with nothing. Rows without an id are returned with null component_id and kept, and take no
-    part. Rows of one id with several texts are each judged by their own text. Repeated rows get
-    equal results; a component's id is its smallest doc_id. An empty table gives no rows.
-    """
+def _judged(docs: DataFrame, percent: int, doc_id: str, text: str, n_words: int) -> DataFrame:
+    """``id, n, node, other, root, component, kept`` of every row; see :func:`near_duplicates`."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     sketches = stored(
@@ -366,8 +359,52 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     names_3 = _contracted(final.join(left_over, ["a", "b"]))
     joined = stored(_renamed(_renamed(two, names_2), names_3), "op1-final")
     smallest = joined.groupBy("root").agg(F.min("id").alias("component"))
-    named = joined.join(smallest, "root").select(*digest, "component")
+    named = joined.join(smallest, "root").select(*digest, "root", "component")
     out = sketches.select("id", *digest).join(named, digest, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(
-        F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select("id", "n", "node", "other", "root", component.alias("component"), (F.col("id") == component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", n_words: int = 2) -> DataFrame:
+    """Every row with n_shingles, component_id and kept; input columns are those two only.
+
+    Rows link when 100 * intersection >= ``percent`` * union of their sets of runs of ``n_words``
+    words; a shorter text is one run. A text without words (or null) has an empty set and links
+    with nothing. Rows without an id are returned with null component_id and kept, and take no
+    part. Rows of one id with several texts are each judged by their own text. Repeated rows get
+    equal results; a component's id is its smallest doc_id. An empty table gives no rows.
+
+    Two losses are possible, both by chance and both rare: a pair at exactly the limit shares no
+    band with a chance of 1 in 4 million, and one whose estimate falls short of the limit by more
+    than ``SLACK`` is not confirmed where signatures are compared first.
+    """
+    found = _judged(docs, percent, doc_id, text, n_words)
+    return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", n_words: int = 5) -> DataFrame:
+    """Rows of ``docs``, with all columns, of which one stays of each group of near copies.
+
+    It is the row of the smallest id. Of several rows of that id the one with the smallest hash of
+    its text stays, so repeated rows become one; texts of one id that belong to different groups
+    are judged apart. Rows without an id and the first text without words of each id stay.
+    """
+    digest = ["node", "other", "n"]
+    found = stored(_judged(docs, percent, doc_id, text, n_words).filter("id IS NOT NULL"), "op1-judged")
+    several = stored(found.groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select(F.col("id").alias("several")), "op1-several")
+    gone = found.filter("NOT kept").select("id").distinct().unionByName(several.select(F.col("several").alias("id"))).distinct()
+    gone = stored(gone, "op1-gone")
+    own = F.col(f"`{doc_id}`").cast("long")
+    single = docs.join(gone, own == F.col("id"), "left_anti")
+
+    @F.arrow_udf("struct<node:long,other:long,n:long>")
+    def digests(texts: pa.Array) -> pa.Array:
+        parts = [(_digest(sets, NODE), _digest(sets, CHECK), np.array([len(x) for x in sets], np.int64)) for _, sets in shingle_sets(texts, n_words)]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64)) for k in range(3)], digest)
+
+    # few rows: those of ids that several rows share
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = rows.join(several, F.col("id") == F.col("several"), "left_semi").withColumn("d", digests("text")).select("row", "id", "text", "d.*")
+    groups = found.filter("kept").join(several, F.col("id") == F.col("several"), "left_semi").select("id", *digest, F.coalesce("root", "node").alias("root")).distinct()
+    first = rows.join(groups, ["id", *digest]).groupBy("id", "root").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
+    return single.unionByName(first.select("row.*"))

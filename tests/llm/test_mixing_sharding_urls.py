@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -50,10 +51,10 @@ def test_shortages_go_to_siblings_first(spark):
         assert sum(got.values()) == pytest.approx(min(budget, sum(tokens.values())))
 
 
-def brute_mix(rows, percent, epochs, seed, weights):
+def brute_mix(rows, percent, epochs, seed, weights, domain=lambda s: (s or "")[:1]):
     import hashlib
 
-    rows = [(i, len((t or "").split()), (s or "")[:1], x or "", s or "") for i, t, x, s in rows]
+    rows = [(i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), domain(s), x or "", s or "") for i, t, x, s in rows]
     total = sum(r[1] for r in rows)
     leaf = defaultdict(list)
     for r in rows:
@@ -61,7 +62,7 @@ def brute_mix(rows, percent, epochs, seed, weights):
     room = lambda *p: sum(sum(r[1] for r in v) for k, v in leaf.items() if k[:len(p)] == p) * epochs
     out = Counter()
     for d, given in fill(total * percent // 100, {d: (room(d), weights["domain"].get(d, 1)) for d in {k[0] for k in leaf}}).items():
-        for x, part in fill(given, {x: (room(d, x), 1) for x in {k[1] for k in leaf if k[0] == d}}).items():
+        for x, part in fill(given, {x: (room(d, x), weights.get("lang", {}).get(x, 1)) for x in {k[1] for k in leaf if k[0] == d}}).items():
             for s, goal in fill(part, {k[2]: (room(*k), 1) for k in leaf if k[:2] == (d, x)}).items():
                 mine, left, e = leaf[d, x, s], int(goal + 1e-9), 0
                 size = sum(r[1] for r in mine)
