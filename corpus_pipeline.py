@@ -21,11 +21,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    found = minhash.near_duplicates(docs, n_words=NEAR_COPY_WORDS)
-    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select("doc_id")
-    gone = stored(gone, "pipeline-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies, that of the smallest doc_id; rows that repeat a doc_id
+    are judged by their own text."""
+    return minhash.one_of_each(docs, n_words=NEAR_COPY_WORDS).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
