@@ -38,6 +38,11 @@ BATCHES = 4
 TEXTS_PER_CELL, ROWS_PER_PARTITION = 512, 1_000_000
 #: State on local disk, so that it need not fit in memory.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk set aside in advance is more than what a small partition of state ever holds.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 DELTAS = "part string, mask int, n long"
 
@@ -142,7 +147,7 @@ def start(docs: DataFrame, labels: DataFrame, folder: str, rows: int) -> Streami
     cells = max(1, rows // TEXTS_PER_CELL)
     settings = {
         "spark.sql.shuffle.partitions": str(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_PARTITION))),
-        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+        **STATE_SETTINGS,
     }
     # a null id has no label: such rows are dealt by their text instead of going to one task
     deal = F.coalesce(F.col("doc_id"), F.xxhash64("key"))

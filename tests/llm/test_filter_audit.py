@@ -129,7 +129,7 @@ def test_edges(spark, tmp_path):
 
 
 def test_settings_of_the_session_stay(spark, tmp_path):
-    keys = ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.providerClass")
+    keys = ("spark.sql.shuffle.partitions", *fa.STATE_SETTINGS)
     before = [spark.conf.get(k, None) for k in keys]
     path = in_files(spark, str(tmp_path / "docs"), [[(1, "a", "s")]])
     fa.audit(spark, path, spark.createDataFrame([], LABELS))
