@@ -38,10 +38,13 @@ BATCHES = 4
 TEXTS_PER_CELL, ROWS_PER_PARTITION = 512, 1_000_000
 #: State on local disk, so that it need not fit in memory.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Disk set aside in advance is more than what a small partition of state ever holds.
+#: Partitions of state share bounded memory on an executor, and set no disk aside in advance, which
+#: would be more than a small one ever holds.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
 
 DELTAS = "part string, mask int, n long"
