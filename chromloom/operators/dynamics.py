@@ -2,12 +2,13 @@
 
 A trace is a table (keys, t, values) with one row per frame of a series. Series may be of any
 length: runs are found inside chunks of frames and stitched at chunk borders, and lagged sums
-are taken between blocks of frames that meet in an equi-join, so no task holds a whole series.
+come from Fourier transforms in two stages, so no task holds a whole series.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromloom.functions.joins import attach
-from chromloom.functions.numeric import is_positive, ols, ratio
+from chromloom.functions.numeric import is_finite, is_positive, ols, ratio
 from chromloom.functions.skew import percentiles
 
 # fixed values of the published analysis
@@ -253,6 +254,122 @@ def lag_pairs(
     return now.join(later, [*keys, "_at"]).drop("_at")
 
 
+def _rows_kernel(work: DataFrame, keys: Sequence[str], fields: str, fn: Callable[..., tuple]) -> DataFrame:
+    """Rows that ``fn`` makes of each row of ``work`` (called with its columns but the keys), after
+    the row's keys. It returns the columns of ``fields``."""
+    keys = list(keys)
+    rest = [c for c in work.columns if c not in keys]
+    made = T.StructType.fromDDL(fields)
+    schema = T.StructType([work.schema[k] for k in keys] + made.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 64):
+                some = pdf.iloc[lo:lo + 64]
+                pieces = [fn(*row) for row in some[rest].itertuples(index=False, name=None)]
+                heads = some[keys].loc[some.index.repeat([len(x[0]) for x in pieces])].reset_index(drop=True)
+                for c, name in enumerate(made.names):
+                    heads[name] = list(chain.from_iterable(x[c] for x in pieces)) if isinstance(pieces[0][c], list) else np.concatenate([x[c] for x in pieces])
+                yield heads
+
+    return work.select(*keys, *rest).mapInPandas(run, schema)
+
+
+def _spectrum(signals: np.ndarray, product: bool) -> np.ndarray:
+    """Transform of the lag sums (real part) and pair counts (imaginary part), both even, from the
+    transforms of values, known frames and, for displacements, squared lengths (first axis)."""
+    if product:
+        x, known = signals
+        return np.abs(x) ** 2 + 1j * np.abs(known) ** 2
+    known, squares = signals[-2:]
+    cross = 2 * (squares.conj() * known).real - 2 * (np.abs(signals[:-2]) ** 2).sum(axis=0)
+    return cross + 1j * np.abs(known) ** 2
+
+
+def _signals(shape: tuple[int, ...], at: tuple[np.ndarray, ...], v: np.ndarray, product: bool) -> np.ndarray:
+    """Centred values, a one for each known frame and, for displacements, squared lengths."""
+    out = np.zeros((len(v) + (1 if product else 2), *shape))
+    for k, x in enumerate(v):
+        out[(k, *at)] = x
+    out[(len(v), *at)] = 1.0
+    if not product:
+        out[(-1, *at)] = (v * v).sum(axis=0)
+    return out
+
+
+def _lag_rows(lag: np.ndarray, z: np.ndarray, lag_min: int, top: int, product: bool) -> tuple[np.ndarray, ...]:
+    n = np.rint(z.imag).astype(np.int64)
+    use = (lag >= lag_min) & (lag <= top) & (n > 0)
+    s = z.real[use]
+    return lag[use].astype(np.int64), s if product else np.maximum(s, 0), n[use]
+
+
+def _two_stage_sums(
+    packed: DataFrame, keys: Sequence[str], product: bool, lag_min: int, cells: int
+) -> DataFrame:
+    """Lag sums of series too long for one row, by a Fourier transform in two stages.
+
+    With N = N1 N2 points, frame t = r + N2 q and frequency k = k1 + N1 k2 the transform is one of
+    length N1 for each residue r, a turn, and one of length N2 for each k1; the inverse goes the
+    other way round. Rows hold runs of residues (``_g``) or of frequencies (``_h``) of about
+    ``cells`` points, so a series of any length is many tasks and each point is shuffled once a stage.
+    """
+    keys = list(keys)
+    log = F.length(F.bin(F.col("_frames") + F.col("_L") - 1))
+    two = lambda k: F.pow(F.lit(2.0), k).cast("long")
+    sized = packed.withColumns({"_n1": two(F.ceil(log / 2)), "_n2": two(F.floor(log / 2))}).withColumns({
+        "_c1": F.greatest(F.lit(1), F.least("_n1", F.floor(F.lit(cells) / F.col("_n2")))).cast("long"),
+        "_c2": F.greatest(F.lit(1), F.least("_n2", F.floor(F.lit(cells) / F.col("_n1")))).cast("long"),
+    })
+    size = ["_n1", "_n2", "_c1", "_c2", "_L"]
+
+    def split(t, v, n1, n2, c1, c2, top):
+        t, v = np.asarray(t, np.int64), np.array([np.asarray(x) for x in v], float)
+        run = t % n2 // c2
+        out = [(g, t[run == g].tobytes(), np.ascontiguousarray(v[:, run == g]).tobytes()) for g in np.unique(run)]
+        return [x[0] for x in out], [x[1] for x in out], [x[2] for x in out], *([s] * len(out) for s in (n1, n2, c1, c2, top))
+
+    def first(parts_t, parts_v, n1, n2, c1, c2, top, g):
+        t = np.concatenate([np.frombuffer(x, np.int64) for x in parts_t])
+        v = np.concatenate([np.frombuffer(x).reshape(-1, len(y) // 8) for x, y in zip(parts_v, parts_t)], axis=1)
+        width = min(c2, n2 - g * c2)
+        x = np.fft.fft(_signals((n1, width), (t // n2, t % n2 - g * c2), v, product), axis=1)
+        x *= np.exp(-2j * np.pi / (n1 * n2) * (np.arange(n1)[:, None] * (g * c2 + np.arange(width))[None, :]))
+        many = -(-n1 // c1)
+        return list(range(many)), [g] * many, [x[:, h * c1:(h + 1) * c1].tobytes() for h in range(many)], *([s] * many for s in (n1, n2, c1, c2, top))
+
+    def second(gs, parts, n1, n2, c1, c2, top, h):
+        height = min(c1, n1 - h * c1)
+        signals = len(parts[0]) // (16 * height * min(c2, n2 - gs[0] * c2))
+        x = np.zeros((signals, height, n2), complex)  # runs of residues without a frame stay zero
+        for g, part in zip(gs, parts):
+            x[:, :, g * c2:(g + 1) * c2] = np.frombuffer(part, complex).reshape(signals, height, -1)
+        z = np.fft.ifft(_spectrum(np.fft.fft(x, axis=2), product), axis=1)
+        z *= np.exp(2j * np.pi / (n1 * n2) * ((h * c1 + np.arange(height))[:, None] * np.arange(n2)[None, :]))
+        many = -(-n2 // c2)
+        return list(range(many)), [h] * many, [np.ascontiguousarray(z[:, g * c2:(g + 1) * c2]).tobytes() for g in range(many)], *([s] * many for s in (n1, n2, c1, c2, top))
+
+    def third(hs, parts, n1, n2, c1, c2, top, g):
+        width = min(c2, n2 - g * c2)
+        z = np.zeros((n1, width), complex)
+        for h, part in zip(hs, parts):
+            z[h * c1:(h + 1) * c1] = np.frombuffer(part, complex).reshape(-1, width)
+        z = np.fft.ifft(z, axis=0)
+        lag = g * c2 + np.arange(width)[None, :] + n2 * np.arange(n1)[:, None]
+        return _lag_rows(lag.ravel(), z.ravel(), lag_min, top, product)
+
+    longs = ", ".join(f"{c} long" for c in size)
+    runs = _rows_kernel(sized.select(*keys, "_t", "_v", *size), keys, f"_g long, _t binary, _v binary, {longs}", split)
+
+    def regrouped(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
+        pieces = df.groupBy(*keys, by).agg(F.collect_list(F.struct(a, b)).alias("_p"), *[F.max(c).alias(c) for c in size])
+        return pieces.select(*keys, *[F.col("_p")[c].alias(c) for c in (a, b)], *size, by)
+
+    ones = _rows_kernel(regrouped(runs, "_g", "_t", "_v"), keys, f"_h long, _g long, _x binary, {longs}", first)
+    twos = _rows_kernel(regrouped(ones, "_h", "_g", "_x"), keys, f"_g long, _h long, _x binary, {longs}", second)
+    return _rows_kernel(regrouped(twos, "_g", "_h", "_x"), keys, "lag long, _s double, n long", third)
+
+
 def _lag_sums(
     trace: DataFrame, keys: Sequence[str], t: str, values: Sequence[str], product: bool,
     lag_min: int, lag_max: int | None, lag_max_frac: float, block: int,
@@ -260,101 +377,45 @@ def _lag_sums(
     """Per lag the sum over frames of squared differences, or of products of centred values, and
     the pair count.
 
-    Frames are packed into blocks of ``block``; block b meets blocks b..b+k for as many k as the
-    longest lag needs. A row then holds two blocks, and NumPy takes all their lags at once.
-    What holds for a whole series (its longest lag, its mean) is joined per block through a
-    small index, so the packed frames are never shuffled by series.
+    Both are correlations of the values, their squares and the known frames, so Fourier transforms
+    give all lags at once: in one row for series of up to ``block`` frames, else in two stages of
+    rows. What holds for a whole series (its length, its means) is joined per block through a small
+    index, so frames are never shuffled by series. A frame with a value that is null or not finite
+    is missing; it pairs with nothing.
     """
     keys, values = list(keys), list(values)
-    blocked = trace.withColumn("_b", F.floor(F.col(t) / block).cast("long"))
-    packed = blocked.groupBy(*keys, "_b").agg(F.collect_list(F.struct(
-        F.col(t).cast("long").alias("t"), *[F.col(v).cast("double").alias(v) for v in values]
-    )).alias("_f"))
+    blocked = trace.select(*keys, F.col(t).cast("long").alias("_t"), *[F.col(v).cast("double").alias(v) for v in values]).withColumn(
+        "_b", F.floor(F.col("_t") / block).cast("long"))
+    whole = F.lit(True)
+    for v in values:
+        whole = whole & is_finite(F.col(v))
+    known = blocked.where(whole)
     index = blocked.groupBy(*keys, "_b").agg(
-        F.max(t).alias("_last"), F.sum(values[0]).alias("_sum"), F.count(values[0]).alias("_count")
-    )
+        F.max("_t").alias("_last"), F.count(F.when(whole, 1)).alias("_count"), *[F.sum(F.when(whole, F.col(v))).alias(f"_sum_{v}") for v in values])
     longest = (
         F.lit(int(lag_max)) if lag_max is not None
         else F.greatest(F.lit(1), F.floor((F.max("_last") + 1) * F.lit(lag_max_frac)))
     )
-    centre = ratio(F.sum("_sum"), F.sum("_count")) if product else F.lit(0.0)
     series = index.groupBy(*keys).agg(
-        F.max("_last").alias("_end"), longest.cast("long").alias("_L"), centre.alias("_m")
-    ).drop("_end")
-    packed = packed.join(attach(index.select(*keys, "_b"), series, keys), [*keys, "_b"])
-    reach = F.floor((F.col("_L") + block - 1) / block)
-    left = packed.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), reach))).withColumn(
-        "_p", F.col("_b") + F.col("_k")
-    )
-    right = packed.select(*keys, F.col("_b").alias("_p"), F.col("_f").alias("_g"))
-    work = left.join(right, [*keys, "_p"]).select(
-        *keys, "_b", "_k", "_L", "_m",
-        *[F.col("_f")[c].alias(f"_a_{c}") for c in ("t", *values)],
-        *[F.col("_g")[c].alias(f"_c_{c}") for c in ("t", *values)],
-    )
-    schema = T.StructType(
-        [work.schema[k] for k in keys]
-        + [T.StructField("lag", T.LongType()), T.StructField("_s", T.DoubleType()),
-           T.StructField("_n", T.LongType())]
-    )
-    place = {c: i for i, c in enumerate(work.columns)}
-    index_m = place["_m"]
-
-    def dense(times, columns, origin):
-        out = np.full((len(columns), block), np.nan)
-        at = np.asarray(times, dtype=np.int64) - origin
-        for r, c in enumerate(columns):
-            out[r, at] = c
-        return out
-
-    def run(batches):
-        held: dict[tuple, list[np.ndarray]] = {}
-        size = 0
-
-        def flush():
-            parts = []
-            for key, (s, n) in held.items():
-                lag = np.flatnonzero(n)
-                part = pd.DataFrame({"lag": lag, "_s": s[lag], "_n": n[lag]})
-                for name, v in zip(reversed(keys), reversed(key)):
-                    part.insert(0, name, v)
-                parts.append(part)
-            return pd.concat(parts, ignore_index=True)
+        (F.max("_last") + 1).alias("_frames"), longest.cast("long").alias("_L"),
+        *[ratio(F.sum(f"_sum_{v}"), F.sum("_count")).alias(f"_m_{v}") for v in values])
+    packed = known.groupBy(*keys, "_b").agg(F.collect_list(F.struct("_t", *values)).alias("_f"))
 
-        for pdf in batches:
-            for r in pdf.itertuples(index=False, name=None):
-                key = tuple(r[place[k]] for k in keys)
-                k, top = int(r[place["_k"]]), int(r[place["_L"]])
-                if key not in held:
-                    held[key] = [np.zeros(top + 1), np.zeros(top + 1, dtype=np.int64)]
-                    size += top + 1
-                s, n = held[key]
-                origin = int(r[place["_b"]]) * block
-                a = dense(r[place["_a_t"]], [r[place[f"_a_{v}"]] for v in values], origin)
-                c = dense(r[place["_c_t"]], [r[place[f"_c_{v}"]] for v in values], origin + k * block)
-                first, last = max(lag_min, (k - 1) * block + 1), min(top, (k + 1) * block - 1)
-                for lag in range(first, last + 1):
-                    shift = lag - k * block
-                    lo, hi = max(0, -shift), min(block, block - shift)
-                    now, later = a[:, lo:hi], c[:, lo + shift:hi + shift]
-                    if product:
-                        part = ((now - r[index_m]) * (later - r[index_m])).sum(axis=0)
-                    else:
-                        gap = later - now
-                        part = (gap * gap).sum(axis=0)
-                    known = part[~np.isnan(part)]
-                    s[lag] += known.sum()
-                    n[lag] += len(known)
-                if size > 5_000_000:
-                    yield flush()
-                    held.clear()
-                    size = 0
-        if held:
-            yield flush()
-
-    return work.mapInPandas(run, schema).groupBy(*keys, "lag").agg(
-        F.sum("_s").alias("_s"), F.sum("_n").alias("n")
-    )
+    def centred(v: str) -> Column:
+        return F.transform(F.col("_f")[v], lambda x: x - F.col(f"_m_{v}"))
+
+    packed = packed.join(attach(index.select(*keys, "_b"), series, keys), [*keys, "_b"]).select(
+        *keys, F.col("_f._t").alias("_t"), F.array(*[centred(v) for v in values]).alias("_v"), "_frames", "_L")
+
+    def at_once(t, v, length, top):
+        t, v = np.asarray(t, np.int64), np.array([np.asarray(x) for x in v], float)
+        n = 1 << int(length + top - 1).bit_length()
+        x = np.fft.fft(_signals((n,), (t,), v, product), axis=1)
+        return _lag_rows(np.arange(n), np.fft.ifft(_spectrum(x, product)), lag_min, top, product)
+
+    short = _rows_kernel(packed.where(F.col("_frames") <= block), keys, "lag long, _s double, n long", at_once)
+    long_ = _two_stage_sums(packed.where(F.col("_frames") > block), keys, product, lag_min, 16 * block)
+    return short.unionByName(long_)
 
 
 def msd(

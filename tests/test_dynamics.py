@@ -1,6 +1,7 @@
 """Traces, runs, displacement and correlation against NumPy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,48 @@ def test_autocorrelation(spark, walk, block):
             assert got[(s, lag)] == pytest.approx(want, rel=1e-9)
 
 
+def lag_sums(x, lag, product):
+    """Sum and number of the pairs of known frames ``lag`` apart, one by one."""
+    now, later = x[:-lag], x[lag:]
+    part = (now * later).sum(1) if product else ((later - now) ** 2).sum(1)
+    return np.nansum(part), int((~np.isnan(part)).sum())
+
+
+@pytest.mark.parametrize("block, frames", [(1024, 50_000), (64, 5_000), (1024, 1025), (16, 17)])
+def test_long_series_with_gaps(spark, block, frames):
+    """Two stages of transforms against sums over pairs, at lags all over the range."""
+    rng = np.random.default_rng(frames)
+    walk = np.cumsum(rng.normal(size=(frames, 3)), axis=0) + 1e4
+    walk[rng.random(frames) < 0.1] = np.nan
+    walk[frames // 2:frames // 2 + frames // 20] = np.nan
+    walk[[0, -1]] = walk[[0, -1]] * 0 + rng.normal(size=(2, 3)) + 1e4
+    pdf = pd.DataFrame({"s": "long", "t": np.arange(frames), "dx": walk[:, 0], "dy": walk[:, 1], "dz": walk[:, 2]})
+    df = spark.createDataFrame(pd.concat([pdf, pdf.head(5).assign(s="short")])).repartition(8)
+    top = max(1, int(frames / 3))
+    some = sorted({*range(1, min(40, top + 1)), *rng.integers(1, top + 1, 60).tolist(), top})
+    got = {r.lag: (r.msd, r.n) for r in D.msd(df, ["s"], block=block).where("s = 'long'").collect()}
+    assert max(got) <= top and all(lag in got or not lag_sums(walk, lag, False)[1] for lag in some)
+    for lag in some:
+        total, n = lag_sums(walk, lag, False)
+        if n:
+            assert got[lag][1] == n and got[lag][0] == pytest.approx(total / n, rel=1e-7)
+    d = walk[:, :1]
+    got = {r.lag: r.c for r in D.autocorrelation(df.withColumn("dist", F.nanvl("dx", F.lit(None))), ["s"], block=block).where("s = 'long'").collect()}
+    centred = d - np.nanmean(d)
+    for lag in some:
+        total, n = lag_sums(centred, lag, True)
+        if n:
+            assert got[lag] == pytest.approx(total / n / np.nanvar(d), abs=1e-9)
+
+
+def test_shuffle_grows_with_the_frames_only(spark):
+    """The plan's exchanges carry blocks, residues and frequencies; none pairs blocks."""
+    df = spark.range(4000).selectExpr("id AS t", "double(id % 7) AS dx", "double(id % 3) AS dy", "0D AS dz")
+    plan = D.msd(df, [], block=64)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.replace("Join Inner, (_b", "") or plan.count("Join") <= 2
+    assert D.msd(df, [], block=64).count() == 1333
+
+
 def test_constant_series_has_zero_correlation(spark):
     df = spark.createDataFrame([("a", t, 2.0) for t in range(12)], "s string, t long, dist double")
     assert {r.c for r in D.autocorrelation(df, ["s"]).collect()} == {0.0}
