@@ -20,9 +20,9 @@ PAIRS = f"""
     ON a.chain = b.chain AND a.frame = b.frame AND a.bead < b.bead
   WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)
         <= {RADIUS} * {RADIUS})
-, fr AS (SELECT DISTINCT chain, frame FROM fx_beads)
 """
 COUNTS = PAIRS + f"""
+, fr AS (SELECT DISTINCT chain, frame FROM fx_beads)
 , cnt AS (SELECT {CONDREP}, i, j, count(*) AS n FROM pairs GROUP BY ALL)
 , sub AS (SELECT {CONDREP}, count(*) AS n_sub FROM fr GROUP BY ALL)
 """
@@ -37,10 +37,12 @@ def runs(t):
 
 
 @query("jn1_contacts_within_radius", PAIRS + """
-SELECT chain, frame, i, j, round(d2, 6) AS d2 FROM pairs""", ("fx_beads",))
+SELECT chain, i, j, count(*) AS n, CAST(sum(frame) AS BIGINT) AS frames, round(min(d2), 6) AS nearest, round(max(d2), 6) AS farthest
+FROM pairs GROUP BY chain, i, j""", ("fx_beads",))
 def _(t):
     pairs = K.contacts_within_radius(t.fx("fx_beads"), ["chain", "frame"], RADIUS)
-    return pairs.withColumn("d2", F.round("d2", 6))
+    return pairs.groupBy("chain", "i", "j").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("frame").alias("frames"), round6(F.min("d2")).alias("nearest"), round6(F.max("d2")).alias("farthest"))
 
 
 @query("ag1_contact_map", COUNTS + """

@@ -221,7 +221,7 @@ FROM d a JOIN d b ON b.chain = a.chain AND b.frame > a.frame AND b.frame <= a.fr
 GROUP BY ALL
 UNION ALL SELECT chain, 0, 1.0 FROM s""", PAIR)
 def _(t):
-    return r6(D.autocorrelation(t.fx("fx_pair"), ["chain"], "frame", block=16), "c")
+    return r6(D.autocorrelation(t.fx("fx_pair"), ["chain"], "frame"), "c")
 
 
 SNAP = """

@@ -306,12 +306,15 @@ def hic_pixels(t):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src12_read_hic_region", "WITH x AS (SELECT 1)" + HIC_SQL + """
+HIC_WINDOW = """
 SELECT CAST((a."start" - 20000) // 1000 AS INTEGER) AS i, CAST((b."start" - 20000) // 1000 AS INTEGER) AS j,
        round(coalesce(n * a.weight * b.weight, 0.0), 6) + 0.0 AS v
 FROM hp JOIN hb a ON a.bin = bin1 JOIN hb b ON b.bin = bin2
 WHERE a.chrom = 'chr1' AND b.chrom = 'chr1' AND a."start" >= 20000 AND a."start" < 400000
-  AND b."start" >= 20000 AND b."start" < 400000""")
+  AND b."start" >= 20000 AND b."start" < 400000"""
+
+
+@query("src12_read_hic_region", "WITH x AS (SELECT 1)" + HIC_SQL + HIC_WINDOW)
 def _(t):
     window = H.hic_region(
         hic_pixels(t), hic_bins(t), "chr1", 20_000, 400_000, 1000, column="weight"
@@ -319,6 +322,22 @@ def _(t):
     return window.withColumn("v", round6(F.col("v")))
 
 
+#: Base pairs of a block in the stored queries, so that the given bins fill several.
+STORED_BLOCK = 100_000
+
+
+def stored_pixels(t):
+    path = t.scratch("pixels")
+    H.store_pixels(hic_pixels(t), hic_bins(t), path, STORED_BLOCK)
+    return path
+
+
+@query("src12_stored_hic_region", "WITH x AS (SELECT 1)" + HIC_SQL + HIC_WINDOW)
+def _(t):
+    window = H.stored_region(t.spark, stored_pixels(t), "chr1", 20_000, 400_000, 1000, "weight", block=STORED_BLOCK)
+    return window.withColumn("v", round6(F.col("v")))
+
+
 @query("src13_check_hic_resolution", "WITH x AS (SELECT 1)" + HIC_SQL + """
 SELECT min("end" - "start") AS bin_lo, max("end" - "start") AS bin_hi,
        min("end" - "start") = 1000 AND max("end" - "start") = 1000 AS ok FROM hb""")
@@ -332,18 +351,28 @@ def _(t):
     return H.longest_chromosome(hic_bins(t))
 
 
-@query("ag7_ps_longest_chromosome", "WITH x AS (SELECT 1)" + HIC_SQL + """
+LONGEST_PS = "WITH x AS (SELECT 1)" + HIC_SQL + """
 , lc AS (SELECT chrom, max("end") AS size FROM hb GROUP BY chrom ORDER BY size DESC, chrom LIMIT 1)
 , w AS (SELECT floor(b."start" / 1000) - floor(a."start" / 1000) AS d, coalesce(n * a.weight * b.weight, 0.0) AS v
   FROM hp JOIN hb a ON a.bin = bin1 JOIN hb b ON b.bin = bin2 WHERE a.chrom = (SELECT chrom FROM lc) AND b.chrom = (SELECT chrom FROM lc))
 , s AS (SELECT d, sum(v) AS sv FROM w GROUP BY d)
 SELECT lc.chrom AS region, CAST(g.d AS INTEGER) AS d, CASE WHEN g.d >= 2 THEN round(coalesce(sv, 0.0) / (ceil(size / 1000) - g.d), 6) + 0.0 END AS p
-FROM lc CROSS JOIN (SELECT unnest(range((SELECT CAST(ceil(size / 1000) AS BIGINT) FROM lc))) AS d) g LEFT JOIN s ON s.d = g.d""")
+FROM lc CROSS JOIN (SELECT unnest(range((SELECT CAST(ceil(size / 1000) AS BIGINT) FROM lc))) AS d) g LEFT JOIN s ON s.d = g.d"""
+
+
+@query("ag7_ps_longest_chromosome", LONGEST_PS)
 def _(t):
     c = H.ps_experimental(hic_pixels(t), hic_bins(t), 1000, column="weight")
     return c.withColumn("p", round6(F.col("p")))
 
 
+@query("ag7_ps_stored_chromosome", LONGEST_PS)
+def _(t):
+    top = H.longest_chromosome(hic_bins(t)).first()
+    window = H.stored_region(t.spark, stored_pixels(t), top["chrom"], 0, top["size"], 1000, "weight", block=STORED_BLOCK)
+    return H.ps_of_window(window, top["chrom"], 0, top["size"], 1000).withColumn("p", round6(F.col("p")))
+
+
 @query("prj15_balance_column", """
 SELECT bin, round(weight, 6) AS by_true, round(weight, 6) AS by_auto, round(kr, 6) AS by_name,
        CAST(1.0 AS DOUBLE) AS by_false

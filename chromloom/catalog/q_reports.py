@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -17,7 +16,6 @@ from chromloom.functions.numeric import round6
 from chromloom.operators import curves as C
 from chromloom.operators import loops as L
 from chromloom.plans import condition_report as R
-from chromloom.session import shared_dir
 from chromloom.sinks.tables import reuse_or_build
 from chromloom.streaming import running_dwell, running_map
 
@@ -117,19 +115,16 @@ def _(t):
     )
 
 
-def _scratch(t, name):
-    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("snk7_stored_stage", "SELECT cond, rep, i, j, v FROM fx_pixels", ("fx_pixels",))
 def _(t):
-    path = _scratch(t, "pixels")
+    path = t.scratch("pixels")
     reuse_or_build(t.spark, path, lambda: t.fx("fx_pixels"), ["cond", "rep"])
     again = reuse_or_build(t.spark, path, lambda: t.fx("fx_pixels"), ["cond", "rep"])
     return again.select("cond", F.col("rep").cast("bigint").alias("rep"), "i", "j", "v")
 
 
 @query("st1_running_contact_map", PAIRS + """
+, fr AS (SELECT DISTINCT chain, frame FROM fx_beads)
 SELECT p.chain, i, j, count(*) AS n, any_value(s.n) AS n_sub FROM pairs p JOIN (SELECT chain, count(*) AS n FROM fr GROUP BY chain) s ON s.chain = p.chain
 GROUP BY p.chain, i, j""", ("fx_beads",))
 def _(t):
@@ -143,7 +138,7 @@ def _(t):
         lambda b: F.struct(*[F.get("embedding", b * 3 + k).cast("double").alias(a) for k, a in enumerate("xyz")]),
     )
     frames = stream.select(F.col("label").alias("chain"), F.col("vec_id").alias("frame"), bead.alias("pos"))
-    path = _scratch(t, "running-map")
+    path = t.scratch("running-map")
     running_map.start_running_map(
         frames, f"{path}/map", f"{path}/state", ["chain"], N_BEADS, RADIUS
     ).awaitTermination()
@@ -162,7 +157,7 @@ def _(t):
     trace = stream.select(
         (F.col("user_id") % 5).alias("series"), F.col("event_id").alias("t"), (F.col("value") < 50).alias("hit")
     )
-    path = _scratch(t, "running-dwell")
+    path = t.scratch("running-dwell")
     running_dwell.start_running_dwell(
         trace, f"{path}/runs", f"{path}/state", ["series"], "t", F.col("hit")
     ).awaitTermination()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from chromloom.catalog import fixtures
+from chromloom.session import shared_dir
 
 
 class Tables:
@@ -18,6 +20,10 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def scratch(self, name: str) -> str:
+        """A new path in the folder that all machines share."""
+        return f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+
     def fx(self, name: str) -> DataFrame:
         return fixtures.VIEWS[name](self)
 

@@ -28,6 +28,13 @@ CONTACT_RADIUS = 3.0
 #: the own cell and the thirteen neighbours that come after it in (x, y, z) order
 HALF_SHELL = [o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
 
+#: columns of a radius' width, and the own one with the neighbours that come after it
+COLUMNS = 2
+HALF_COLUMNS = [o for o in product(range(-COLUMNS, COLUMNS + 1), repeat=2) if o >= (0, 0)]
+
+#: cells of all maps that a task counts in place; larger maps are counted by sorting
+DENSE_CELLS = 32_000_000
+
 
 def untile(bead: Column, tile_size: int, padding: int, n_bins: int) -> tuple[Column, Column, Column]:
     """(tile, bin inside the locus, whether the bead is inside the padding-free part)."""
@@ -86,42 +93,60 @@ def contacts_within_radius(
 
 
 def _pair_codes(pos: np.ndarray, region: np.ndarray, bead: np.ndarray, radius: float):
-    """Indices (a, b) of beads of the same region within ``radius``, by sorted cell keys."""
-    cell = np.floor(pos / radius).astype(np.int64)
-    cell -= cell.min(axis=0) - 1
-    span = cell.max(axis=0) + 2
-    if int(region.max() + 1) * int(span[0]) * int(span[1]) * int(span[2]) >= 1 << 62:
+    """Indices (a, b) of beads of the same region within ``radius``.
+
+    Beads are sorted by column (cells of half the radius in x and y) and height, so what lies near
+    a bead in a neighbour column is one run, found by two searches of its borders in height. Half
+    of the neighbour columns are enough, and in the own column what lies above.
+    """
+    width = radius / COLUMNS
+    cell = np.floor(pos[:, :2] / width).astype(np.int64)
+    cell -= cell.min(axis=0) - COLUMNS
+    span = cell.max(axis=0) + 1 + COLUMNS
+    z = pos[:, 2] - pos[:, 2].min()
+    height = float(z.max()) + 2 * radius + 1
+    if (int(region.max()) + 1) * int(span[0]) * int(span[1]) * height >= 2.0**40 * radius:
         raise ValueError("coordinates lie too far apart for cells of this radius")
-    strides = np.array([span[1] * span[2], span[2], 1], dtype=np.int64)
-    key = region * (span[0] * span[1] * span[2]) + cell @ strides
-    order = np.argsort(key, kind="stable")
-    key, pos, bead = key[order], pos[order], bead[order]
-    here = np.arange(len(key))
-    for shift in HALF_SHELL:
-        if shift == (0, 0, 0):
-            first, last = here + 1, np.searchsorted(key, key, side="right")
+    column = (region * span[0] + cell[:, 0]) * span[1] + cell[:, 1]
+    order = np.lexsort((z, column))
+    place = column[order] * height + z[order]
+    edge = 4 * np.spacing(place[-1])  # wider by what rounding can take; distances decide
+    x, y, z = pos[order].T.copy()
+    here = np.arange(len(place))
+    for dx, dy in HALF_COLUMNS:
+        if (dx, dy) == (0, 0):
+            reach, first = radius + edge, here + 1
         else:
-            wanted = key + int(np.dot(strides, shift))
-            first = np.searchsorted(key, wanted, side="left")
-            last = np.searchsorted(key, wanted, side="right")
+            gap = np.hypot(max(0, abs(dx) - 1), max(0, abs(dy) - 1)) * width
+            reach = np.sqrt(radius * radius - gap * gap) + edge
+            first = np.searchsorted(place, place + ((dx * int(span[1]) + dy) * height - reach), side="left")
+        last = np.searchsorted(place, place + ((dx * int(span[1]) + dy) * height + reach), side="right")
         n = last - first
         total = int(n.sum())
         if total == 0:
             continue
         a = np.repeat(here, n)
-        b = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        delta = pos[a] - pos[b]
-        near = delta[:, 0] ** 2 + delta[:, 1] ** 2 + delta[:, 2] ** 2 <= radius * radius
+        b = np.arange(total) - np.repeat(np.cumsum(n) - n - first, n)
+        d2 = np.zeros(total)
+        for axis in (x, y, z):
+            gap = axis[a] - axis[b]
+            gap *= gap
+            d2 += gap
+        near = np.flatnonzero(d2 <= radius * radius)
         yield order[a[near]], order[b[near]]
 
 
 def _count_kernel(keys: list[str], radius: float, n_bins: int, tile: tuple[int, int, int] | None,
                   schema: pa.Schema, beads_at_once: int = 400_000, pairs_kept: int = 4_000_000):
-    """mapInArrow function: frames in, partial pixel counts out."""
+    """mapInArrow function: frames in, partial pixel counts out.
 
-    def flush(groups: list[dict], codes: list[np.ndarray]) -> pa.RecordBatch:
-        code, n = np.unique(np.concatenate(codes), return_counts=True)
-        group, cell = np.divmod(code, n_bins * n_bins)
+    A task counts in place, in one array a map, and sends each pixel once; maps too large for that
+    are counted by sorting the pairs, a bounded number at a time.
+    """
+    area = n_bins * n_bins
+
+    def rows(groups: list[dict], code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        group, cell = np.divmod(code, area)
         heads = pa.Table.from_pylist(groups, schema=pa.schema([schema.field(k) for k in keys]))
         columns = [c.combine_chunks() for c in heads.take(pa.array(group)).columns]
         return pa.RecordBatch.from_arrays(
@@ -134,7 +159,33 @@ def _count_kernel(keys: list[str], radius: float, n_bins: int, tile: tuple[int,
         known: dict[tuple, int] = {}
         groups: list[dict] = []
         codes: list[np.ndarray] = []
+        dense: dict[int, np.ndarray] = {}
         held = 0
+
+        def count(last: bool) -> Iterator[pa.RecordBatch]:
+            """Add held pairs to the maps in place, or make rows of them; rows of maps at the end."""
+            if codes and area * 8 > DENSE_CELLS:
+                yield rows(groups, *np.unique(np.concatenate(codes), return_counts=True))
+            elif codes:
+                code = np.concatenate(codes)
+                owner = code // area
+                for g in np.unique(owner):
+                    if g not in dense and (len(dense) + 1) * area > DENSE_CELLS:
+                        yield from maps()
+                    mine = np.bincount(code[owner == g] - g * area, minlength=area).astype(np.int64, copy=False)
+                    dense[g] = dense[g] + mine if g in dense else mine
+            codes.clear()
+            if last:
+                yield from maps()
+
+        def maps() -> Iterator[pa.RecordBatch]:
+            for g, n in dense.items():
+                cell = np.flatnonzero(n)
+                for lo in range(0, len(cell), 1_000_000):
+                    some = cell[lo:lo + 1_000_000]
+                    yield rows(groups, g * area + some, n[some])
+            dense.clear()
+
         for batch in batches:
             heads = batch.select(keys).to_pylist()
             ids = np.empty(len(heads), dtype=np.int64)
@@ -181,10 +232,9 @@ def _count_kernel(keys: list[str], radius: float, n_bins: int, tile: tuple[int,
                         held += len(a)
                 start = stop
                 if held > pairs_kept:
-                    yield flush(groups, codes)
-                    codes, held = [], 0
-        if held:
-            yield flush(groups, codes)
+                    yield from count(False)
+                    held = 0
+        yield from count(True)
 
     return run
 

@@ -255,6 +255,18 @@ def map_difference(treated: DataFrame, control: DataFrame, keys: Sequence[str],
     return cells.select(*keys, "i", "j", (F.col("sim") - F.col("exp")).alias("delta"))
 
 
+def divides(column: str) -> bool:
+    """Whether a normalisation of this name divides; others multiply."""
+    return column.upper() in {"KR", "VC", "VC_SQRT"}
+
+
+def balanced_value(value: Column, first: Column, second: Column, divisive: bool) -> Column:
+    """A value balanced by those of its two bins; zero where the result is not a finite number."""
+    both = first * second
+    balanced = F.try_divide(value, both) if divisive else value * both
+    return F.when(is_finite(balanced), balanced).otherwise(F.lit(0.0))
+
+
 def balance(
     pixels: DataFrame, bins: DataFrame, keys: Sequence[str], column: str | None,
     divisive: bool | None = None, value: str = "v",
@@ -266,8 +278,6 @@ def balance(
     """
     if column is None:
         return pixels
-    if divisive is None:
-        divisive = column.upper() in {"KR", "VC", "VC_SQRT"}
     keys = list(keys)
     shared = [k for k in keys if k in bins.columns]
     side = {
@@ -275,9 +285,7 @@ def balance(
         for end in ("i", "j")
     }
     joined = pixels.join(side["i"], [*shared, "i"], "left").join(side["j"], [*shared, "j"], "left")
-    both = F.col("_wi") * F.col("_wj")
-    balanced = F.try_divide(F.col(value), both) if divisive else F.col(value) * both
-    clean = F.when(is_finite(balanced), balanced).otherwise(F.lit(0.0))
+    clean = balanced_value(F.col(value), F.col("_wi"), F.col("_wj"), divides(column) if divisive is None else divisive)
     return joined.select(*keys, "i", "j", clean.alias(value))
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromloom.operators.curves import ps_curve
-from chromloom.operators.maps import balance
+from chromloom.operators.maps import balance, balanced_value, divides
 
 # fixed values: normalisation columns tried in this order
 AUTO_BALANCE = ("KR", "weight")
+#: Base pairs of a block of stored pixels.
+PIXEL_BLOCK = 5_000_000
 
 
 def balance_column(columns: Sequence[str], asked: bool | str) -> str | None:
@@ -55,7 +57,8 @@ def hic_region(
 ) -> DataFrame:
     """Pixels (i, j, v) of one window, bins counted from its start.
 
-    The window filter reaches the bins scan; pixels keep only rows whose two ends are in it. The
+    The window filter reaches the bins scan, and the range of its bins the pixels scan. For many
+    windows of one map store its pixels first (:func:`store_pixels`). The
     window has (end - start) // resolution bins; a part of a bin at its end is left out.
     Balanced values that are not finite are zero, and missing pixels mean zero.
     """
@@ -69,15 +72,63 @@ def hic_region(
     )
     a = inside.select(F.col("_bin").alias("bin1"), F.col("_at").alias("i"))
     b = inside.select(F.col("_bin").alias("bin2"), F.col("_at").alias("j"))
-    window = pixels.join(a, "bin1").join(b, "bin2").select(
+    ids = inside.agg(F.struct(F.min("_bin").alias("lo"), F.max("_bin").alias("hi")).alias("r"))
+    near = F.lit(True)
+    for end in ("bin1", "bin2"):
+        near = near & (F.col(end) >= ids.select("r.lo").scalar()) & (F.col(end) <= ids.select("r.hi").scalar())
+    window = pixels.where(near).join(a, "bin1").join(b, "bin2").select(
         "i", "j", F.col("n").cast("double").alias("v")
     )
     if column is None:
         return window
-    if divisive is None:
-        divisive = column.upper() in {"KR", "VC", "VC_SQRT"}
     weights = inside.select(F.col("_at").alias("bin"), F.col("_w").alias("w"))
-    return balance(window, weights, [], "w", divisive)
+    return balance(window, weights, [], "w", divides(column) if divisive is None else divisive)
+
+
+def store_pixels(pixels: DataFrame, bins: DataFrame, path: str, block: int = PIXEL_BLOCK, mode: str = "error") -> None:
+    """Store pixels by chromosome and block of ``block`` base pairs of their first bin, sorted, with
+    the starts and normalisation values of both bins.
+
+    A window then needs no join: its partitions are pruned by chromosome and block, its row groups
+    by the two starts. Pixels between chromosomes are kept (``chrom2``); rows of unknown bins go.
+    """
+    norms = [c for c in bins.columns if c not in ("sample", "chrom", "start", "end", "bin")]
+
+    def side(k: int) -> DataFrame:
+        return bins.select(
+            F.col("bin").alias(f"bin{k}"), F.col("chrom").alias("chrom" if k == 1 else "chrom2"), F.col("start").cast("long").alias(f"start{k}"),
+            *[F.col(c).cast("double").alias(f"{c}{k}") for c in norms])
+
+    placed = pixels.join(side(1), "bin1").join(side(2), "bin2").withColumn("block", F.floor(F.col("start1") / block))
+    order = ["chrom", "block", "chrom2", "start1", "start2"]
+    ends = [f"{c}{k}" for k in (1, 2) for c in ("start", *norms)]
+    # ranges split a block that holds more than others
+    placed.select("chrom", "block", "chrom2", *ends, "n").repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy(
+        "chrom", "block").parquet(path)
+
+
+def stored_region(
+    spark: SparkSession, path: str, chrom: str, start: int, end: int, resolution: int, column: str | None = None,
+    divisive: bool | None = None, block: int = PIXEL_BLOCK,
+) -> DataFrame:
+    """Pixels (i, j, v) of one window of stored pixels; the same rows as :func:`hic_region`."""
+    stop = start + (end - start) // resolution * resolution
+    inside = (F.col("chrom") == chrom) & F.col("block").between(start // block, max(start, stop - 1) // block) & (F.col("chrom2") == chrom)
+    for k in (1, 2):
+        inside = inside & (F.col(f"start{k}") >= start) & (F.col(f"start{k}") < stop)
+    names = ["n", *[f"{c}{k}" for k in (1, 2) for c in ("start", *([column] if column else []))]]
+    window = spark.read.parquet(path).where(inside).select(*names)
+    n = F.col("n").cast("double")
+    if column is not None:
+        n = balanced_value(n, F.col(f"{column}1"), F.col(f"{column}2"), divides(column) if divisive is None else divisive)
+    at = [F.floor((F.col(f"start{k}") - start) / resolution).cast("int").alias(c) for k, c in ((1, "i"), (2, "j"))]
+    return window.select(*at, n.alias("v"))
+
+
+def ps_of_window(window: DataFrame, chrom: str, start: int, end: int, resolution: int, min_diag: int = 2) -> DataFrame:
+    """Distance curve (region, d, p) of a window's pixels."""
+    n_bins = -(-(end - start) // resolution)
+    return ps_curve(window.withColumn("region", F.lit(chrom)), ["region"], n_bins, min_diag=min_diag)
 
 
 def ps_experimental(
@@ -92,6 +143,4 @@ def ps_experimental(
         top = longest_chromosome(bins).first()
         region = (top["chrom"], 0, top["size"])
     chrom, start, end = region
-    window = hic_region(pixels, bins, chrom, start, end, resolution, column, divisive)
-    n_bins = -(-(end - start) // resolution)
-    return ps_curve(window.withColumn("region", F.lit(chrom)), ["region"], n_bins, min_diag=min_diag)
+    return ps_of_window(hic_region(pixels, bins, chrom, start, end, resolution, column, divisive), chrom, start, end, resolution, min_diag)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,22 +85,67 @@ def read_genome_sizes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_fasta_records(records: DataFrame) -> DataFrame:
-    """(chrom, size) per sequence record ``name text\\nline\\nline...``; line ends do not count."""
-    lines = F.split(F.regexp_replace("value", "^>", ""), "\n")
-    lengths = F.transform(
-        F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), lambda x: F.length(strip(x))
-    )
-    total = F.aggregate(lengths, F.lit(0), lambda s, n: s + n)
-    return records.where(strip(F.col("value")) != "").select(
-        F.regexp_extract(F.get(lines, F.lit(0)), r"^\s*(\S+)", 1).alias("chrom"),
-        F.when(F.size(lines) > 1, total).otherwise(F.lit(0)).cast("long").alias("size"),
-    )
+def fold_fasta_lines(lines: DataFrame) -> DataFrame:
+    """(chrom, size) per sequence of lines (``file``, ``block``, ``value``) that come in file order
+    within each block of a file; blanks around a line and line ends do not count.
+
+    A block is folded by the task that reads it: one row for each header in it, and one for what
+    comes before the first, which belongs to the last header of an earlier block. Only that one row
+    a block and the block's last header are chained, by their place in the file.
+    """
+    header = F.regexp_extract("value", r"^>\s*(\S*)", 1)
+    own = lines.select("file", "block", F.when(F.col("value").startswith(">"), header).alias("chrom"), F.length(strip(F.col("value"))).cast("long").alias("n"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None  # file, block, number in it, header, length so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = []
+            files, blocks = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            header_at = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            fresh = header_at.copy()
+            fresh[1:] |= (np.diff(blocks) != 0) | (np.diff(files.indices.to_numpy()) != 0)
+            fresh[0] = True
+            starts = np.flatnonzero(fresh)
+            sums = np.add.reduceat(np.where(header_at, 0, batch.column(3).to_numpy()), starts)
+            for k, size in zip(starts.tolist(), sums.tolist()):
+                place = [files[k].as_py(), int(blocks[k])]
+                same = held is not None and held[:2] == place
+                if same and not header_at[k]:
+                    held[4] += size
+                    continue
+                if held is not None:
+                    rows.append(held)
+                held = [*place, held[2] + 1 if same else 0, batch.column(2)[k].as_py(), size]
+            if rows:
+                yield _folded(rows)
+        if held is not None:
+            yield _folded([held])
+
+    parts = own.mapInArrow(fold, "file string, block long, number long, chrom string, n long")
+    headers = parts.where("chrom IS NOT NULL")
+    # what comes before a block's first header goes to the last header of the blocks before it
+    ends = parts.groupBy("file", "block").agg(F.max(F.when(F.col("chrom").isNotNull(), F.col("number"))).alias("number"))
+    chained = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = F.last(F.when(F.col("number").isNotNull(), F.struct("block", "number")), ignorenulls=True).over(chained)
+    owner = ends.withColumn("_o", open_).select("file", F.col("block").alias("_from"), F.col("_o.block").alias("block"), F.col("_o.number").alias("number"))
+    loose = parts.where("chrom IS NULL").groupBy("file", F.col("block").alias("_from")).agg(F.sum("n").alias("n"))
+    carried = loose.join(owner.where("number IS NOT NULL"), ["file", "_from"]).groupBy("file", "block", "number").agg(F.sum("n").alias("_more"))
+    whole = headers.join(carried, ["file", "block", "number"], "left")
+    return whole.select("chrom", (F.col("n") + F.coalesce("_more", F.lit(0))).alias("size"))
+
+
+def _folded(rows: list[list]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["file", "block", "number", "chrom", "n"])
 
 
 def genome_sizes_from_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Sequence lengths of a plain FASTA, one record per sequence."""
-    return parse_fasta_records(spark.read.option("lineSep", "\n>").text(path))
+    """Sequence lengths of plain FASTA files, read line by line in as many splits as Spark likes."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return fold_fasta_lines(lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"))
 
 
 def parse_experimental_msd(rows: DataFrame, time: str = "dt_s", msd: str = "msd_um2") -> DataFrame:

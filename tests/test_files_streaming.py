@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,62 @@ def test_samplesheet(spark, tmp_path):
         S.read_samplesheet(spark, str(path), ["Cells"], ["Peaks"])
 
 
+def test_windows_read_only_their_part_of_stored_pixels(spark, tmp_path):
+    """Partitions are pruned by chromosome and block, row groups by both starts; no join is left."""
+    bins = spark.range(600).selectExpr(
+        "if(id < 400, 'c1', 'c2') AS chrom", "(id % 400) * 1000 AS start", "(id % 400) * 1000 + 1000 AS end", "id AS bin",
+        "double(id % 5) AS weight", "if(id % 11 = 0, NULL, 1D + id % 3) AS KR")
+    pixels = spark.range(60_000).selectExpr("id % 600 AS a", "(id * 7919) % 600 AS b").selectExpr("least(a, b) AS bin1", "greatest(a, b) AS bin2").groupBy(
+        "bin1", "bin2").agg(F.count("*").alias("n"))
+    path = str(tmp_path / "pixels")
+    hic.store_pixels(pixels, bins, path, block=50_000)
+    for chrom, start, end in (("c1", 60_000, 140_000), ("c1", 0, 400_000), ("c2", 50_500, 99_000), ("c2", 190_000, 260_000), ("none", 0, 10_000)):
+        for column in (None, "weight", "KR"):
+            args = (chrom, start, end, 1000, column)
+            want = sorted(map(tuple, hic.hic_region(pixels, bins, *args).collect()))
+            assert sorted(map(tuple, hic.stored_region(spark, path, *args, block=50_000).collect())) == want
+    window = hic.stored_region(spark, path, "c1", 60_000, 140_000, 1000, "KR", block=50_000)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "Join" not in plan and "Exchange" not in plan and "weight1" not in plan
+    pushed = plan[plan.index("PushedFilters"):]
+    assert all(x in pushed for x in ("GreaterThanOrEqual(start1,60000)", "LessThan(start1,140000)", "GreaterThanOrEqual(start2,60000)", "LessThan(start2,140000)"))
+    partition = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    assert "chrom" in partition and "block" in partition
+    read = window.select(F.input_file_name().alias("f")).distinct().collect()
+    assert {tuple(r.f.split("/")[-3:-1]) for r in read} == {("chrom=c1", f"block={k}") for k in (1, 2)}
+
+
+def test_sequences_cut_by_many_splits(spark, tmp_path):
+    """Splits of a few hundred bytes: most begin inside a sequence, some hold several, some none."""
+    rng = np.random.default_rng(6)
+    want = {}
+    for f in range(3):
+        lines = ["loose line before any header"] if f == 0 else []
+        for k in range(40):
+            name, n = f"f{f}s{k}", int(rng.integers(0, 6)) if k % 7 else 400
+            rows = ["A" * int(rng.integers(0, 70)) for _ in range(n)]
+            want[name] = sum(map(len, rows))
+            lines += [f">{name} of file {f}", *[f" {x}\t" for x in rows]]
+        lines += [">", "ACGT"] if f == 2 else []
+        (tmp_path / f"g{f}.fa").write_text("\n".join(lines) + ("\n" if f else ""))
+    want[""] = 4
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    try:
+        for split in (300, 4_000, 1 << 27):
+            for k in keys:
+                spark.conf.set(k, str(split))
+            got = S.genome_sizes_from_fasta(spark, str(tmp_path))
+            assert {r.chrom: r.size for r in got.collect()} == want and got.count() == len(want)
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.fa").write_text("")
+    assert S.genome_sizes_from_fasta(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_genome_sizes(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">chr1 first\nACGT\nAC\n>chr2\n\nACG\n")
     (tmp_path / "g.fa.fai").write_text("chr1\t6\t0\t4\t5\nchr2\t3\t9\t4\t5\n")
