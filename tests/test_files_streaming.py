@@ -58,7 +58,7 @@ def test_windows_read_only_their_part_of_stored_pixels(spark, tmp_path):
     bins = spark.range(600).selectExpr(
         "if(id < 400, 'c1', 'c2') AS chrom", "(id % 400) * 1000 AS start", "(id % 400) * 1000 + 1000 AS end", "id AS bin",
         "double(id % 5) AS weight", "if(id % 11 = 0, NULL, 1D + id % 3) AS KR")
-    pixels = spark.range(60_000).selectExpr("id % 600 AS a", "(id * 7919) % 600 AS b").selectExpr("least(a, b) AS bin1", "greatest(a, b) AS bin2").groupBy(
+    pixels = spark.range(60_000).selectExpr("id % 600 AS a", "pmod(xxhash64(id), 600) AS b").selectExpr("least(a, b) AS bin1", "greatest(a, b) AS bin2").groupBy(
         "bin1", "bin2").agg(F.count("*").alias("n"))
     path = str(tmp_path / "pixels")
     hic.store_pixels(pixels, bins, path, block=50_000)
