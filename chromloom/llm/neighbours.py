@@ -2,7 +2,8 @@
 
 Vectors are lifted so that the largest inner product is the smallest Euclidean distance: members
 are scaled by the largest norm and get one more component that fills their norm up to 1, queries
-are scaled to norm 1. A table cuts ``FUNCTIONS`` Gaussian projections into cells of ``WIDTH``; a
+are scaled to norm 1. Members whose norms differ by more than a factor of ``2 ** BAND`` are scaled
+apart, as bands with tables of their own, so one long vector doesn't crowd all others into a bucket. A table cuts ``FUNCTIONS`` Gaussian projections into cells of ``WIDTH``; a
 vector's cells name its bucket. A query visits its own bucket and those a step away in some
 projections, in the order of their estimated success (the squared distances to the crossed
 borders), and candidates of all tables are merged and ranked by exact products.
@@ -11,13 +12,15 @@ The number of probes is fitted on a bounded sample of vectors (``SAMPLE``) to a
 there. Every vector is indexed. Equal vectors are one class, so a vector that fills a third of the
 table is hashed and compared once. Buckets are dealt into groups of bounded size, larger groups
 into chunks; a query goes to each chunk of the groups it probes, and a task returns one short list
-for each query and chunk.
+for each query and chunk. A query that has met fewer than ``k + SPARE`` others so far, as in a small table
+or far from all else, then visits all remaining buckets of one table.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ SAMPLE, SAMPLE_QUERIES, GOAL = 20_000, 200, 0.95
 GROUP_ROWS, QUERY_BLOCK = 4096, 512
 #: Candidates kept beyond those asked for, so that rounding can't lose a tie.
 SPARE = 8
+#: Powers of two that the norms of a band span, and bands at most; the last one takes all lower norms.
+BAND, BANDS = 4, 16
 
 _STEPS = np.array(list(itertools.product((-1, 0, 1), repeat=FUNCTIONS)))
 
@@ -44,7 +49,31 @@ def projections(dim: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     return rng.normal(size=(TABLES, dim + 1, FUNCTIONS)), rng.uniform(0, WIDTH, (TABLES, FUNCTIONS))
 
 
-def lifted(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
+class Norms(NamedTuple):
+    """Lower ends of the bands, as exponents of norms, falling, and the largest norm in each."""
+
+    low: np.ndarray
+    largest: np.ndarray
+
+    def band(self, x: np.ndarray) -> np.ndarray:
+        exponent = np.frexp(np.sqrt((x * x).sum(1)))[1]
+        return np.minimum((exponent[:, None] < self.low[None, :]).sum(1), len(self.low) - 1)
+
+    def scale(self, x: np.ndarray) -> np.ndarray:
+        return self.largest[self.band(x)][:, None]
+
+
+def norm_bands(exponents: list[tuple[int, float]]) -> Norms:
+    """Bands from ``(exponent, largest norm)`` of the norms that occur."""
+    low, largest = [], []
+    for exponent, norm in sorted(exponents, reverse=True):
+        if not low or exponent < low[-1] and len(low) < BANDS:
+            low.append(exponent - BAND + 1)
+            largest.append(norm)
+    return Norms(np.array(low or [0]), np.array(largest or [1.0]))
+
+
+def lifted(x: np.ndarray, largest: float | np.ndarray, query: bool) -> np.ndarray:
     """Vectors with the component that turns inner products into distances."""
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     if query:
@@ -79,7 +108,7 @@ def probes(q: np.ndarray, hashes: tuple[np.ndarray, np.ndarray], many: int) -> n
     return np.stack(out)
 
 
-def fitted_probes(sample: np.ndarray, hashes, largest: float, k: int, goal: float = GOAL) -> int:
+def fitted_probes(sample: np.ndarray, hashes, norms: Norms, k: int, goal: float = GOAL) -> int:
     """The fewest probes a table that find ``goal`` of the sample's own neighbours."""
     q = sample[:SAMPLE_QUERIES]
     if len(sample) <= k + 1:
@@ -87,8 +116,8 @@ def fitted_probes(sample: np.ndarray, hashes, largest: float, k: int, goal: floa
     score = q @ sample.T
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
     near = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    held = buckets(lifted(sample, largest, False), hashes)
-    asked = probes(lifted(q, largest, True), hashes, len(_STEPS))
+    held = buckets(lifted(sample, norms.scale(sample), False), hashes)
+    asked = probes(lifted(q, 1.0, True), hashes, len(_STEPS))  # the same in every band
     first = np.full((len(q), k), len(_STEPS) + 1)
     for t in range(TABLES):
         for i in range(len(q)):
@@ -110,38 +139,40 @@ def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
 
-def _vectors(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-
-
 def _group_of(keys: np.ndarray, groups: int) -> np.ndarray:
     return (mix64(keys) % np.uint64(groups)).astype(np.int32)
 
 
-def _indexed(dim: int, largest: float, groups: int):
+def _salted(keys: np.ndarray, band: np.ndarray | int) -> np.ndarray:
+    """Bucket names of a band; the first band's stay."""
+    return keys ^ (np.asarray(band, np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def _indexed(dim: int, norms: Norms, groups: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = projections(dim)
         for batch in batches:
             x = _matrix(batch.column(1), dim)
             if not len(x):
                 continue
-            keys = buckets(lifted(x, largest, False), hashes)
+            keys = _salted(buckets(lifted(x, norms.scale(x), False), hashes), norms.band(x)[None, :])
             for t in range(TABLES):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), t, np.int32)), pa.array(_group_of(keys[t], groups)), pa.array(keys[t].view(np.int64)), batch.column(0), _vectors(x)],
+                    [pa.array(np.full(len(x), t, np.int32)), pa.array(_group_of(keys[t], groups)), pa.array(keys[t].view(np.int64)), batch.column(0), batch.column(1)],
                     ["tab", "part", "bucket", "rep", "vec"])
 
     return rows
 
 
-def _asking(dim: int, largest: float, groups: int, many: int):
+def _asking(dim: int, norms: Norms, groups: int, many: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = projections(dim)
         for batch in batches:
             x = _matrix(batch.column(1), dim)
             for lo in range(0, len(x), 128):
                 some, ids = x[lo:lo + 128], _ids(batch.column(0))[lo:lo + 128]
-                asked = probes(lifted(some, largest, True), hashes, many)
+                asked = probes(lifted(some, 1.0, True), hashes, many)
+                asked = np.concatenate([_salted(asked, b) for b in range(len(norms.low))], axis=2)
                 for t in range(TABLES):
                     row = np.repeat(np.arange(len(some)), asked.shape[2])
                     keys = asked[t].ravel()
@@ -151,7 +182,7 @@ def _asking(dim: int, largest: float, groups: int, many: int):
                     head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (part[1:] != part[:-1]))))
                     lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), pa.array(keys.view(np.int64)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(head), t, np.int32)), pa.array(part[head]), pa.array(ids[row[head]]), _vectors(some[row[head]]), lists],
+                        [pa.array(np.full(len(head), t, np.int32)), pa.array(part[head]), pa.array(ids[row[head]]), batch.column(1).take(pa.array(lo + row[head])), lists],
                         ["tab", "part", "query", "qvec", "asked"])
 
     return rows
@@ -250,9 +281,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     """
     spark = vectors.sparkSession
     bound_batches(spark)
+    # floats travel as they are: all products are of doubles
+    kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
     v = F.col("v")
     sound = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).filter(
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast(kind).alias("v")).filter(
         F.col("id").isNotNull() & v.isNotNull() & sound)
     if dim is None:
         common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -262,26 +295,49 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec
     asked = (F.col("id") % every == 0).cast("int")
     classes = stored(
         keyed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.max(asked).alias("asked"), F.first("v").alias("v")), "op7-classes")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
-    n, largest = classes.agg(F.count("*"), F.max(norm)).first()
-    largest = largest or 1.0
+    sizes = classes.select("v").mapInArrow(_norms(dim), "exponent int, norm double").groupBy("exponent").agg(F.max("norm").alias("norm"), F.count("*").alias("n"))
+    sizes = sizes.collect()  # exponents of doubles: some 2,000 at most
+    n, norms = sum(r.n for r in sizes), norm_bands([(r.exponent, r.norm) for r in sizes])
     base = classes.select("rep", "v", "asked")
     sample = _matrix(classes.orderBy("k1", "k2").select("v").limit(SAMPLE).toArrow().column("v"), dim)
-    many = fitted_probes(sample, projections(dim), largest, k)
+    many = fitted_probes(sample, projections(dim), norms, k)
     groups = -(-n // GROUP_ROWS) or 1
-    members = base.select("rep", "v").mapInArrow(_indexed(dim, largest, groups), "tab int, part int, bucket long, rep long, vec array<double>")
+    members = base.select("rep", "v").mapInArrow(_indexed(dim, norms, groups), f"tab int, part int, bucket long, rep long, vec {kind}")
     members = stored(members, "op7-index")
     chunks = members.groupBy("tab", "part").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("chunks"))
     dealt = members.join(chunks, ["tab", "part"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).drop("chunks")
     asking = base.filter("asked = 1").select("rep", "v").mapInArrow(
-        _asking(dim, largest, groups, many), "tab int, part int, query long, qvec array<double>, asked array<long>")
+        _asking(dim, norms, groups, many), f"tab int, part int, query long, qvec {kind}, asked array<long>")
     asking = asking.join(chunks, ["tab", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     place, wide = ["tab", "part", "chunk"], k + 1 + SPARE
-    found = dealt.groupBy(*place).cogroup(asking.groupBy(*place)).applyInArrow(
-        _compared(dim, wide), "query long, reps array<long>, scores array<double>")
-    slots = max(1, n // every // 256)
-    best = found.withColumn("slot", F.pmod(F.xxhash64("query"), F.lit(slots))).groupBy("slot").applyInArrow(_merged(wide), "query long, rep long")
-    return _expanded(stored(best, "op7-best"), classes, keyed, k, every)
+
+    def ranked(members: DataFrame, queries: DataFrame, label: str) -> DataFrame:
+        found = members.groupBy(*place).cogroup(queries.groupBy(*place)).applyInArrow(
+            _compared(dim, wide), "query long, reps array<long>, scores array<double>")
+        slots = F.pmod(F.xxhash64("query"), F.lit(max(1, n // every // 256)))
+        return stored(found.withColumn("slot", slots).groupBy("slot").applyInArrow(_merged(wide), "query long, rep long"), label)
+
+    best = ranked(dealt, asking, "op7-best")
+    # queries with too few candidates visit every bucket of the first table, each a part of one chunk
+    enough = best.groupBy("query").agg(F.count("*").alias("met")).filter(F.col("met") >= min(wide, n)).select(F.col("query").alias("rep"))
+    short = stored(base.filter("asked = 1").select("rep", "v").join(enough, "rep", "left_anti"), "op7-short")
+    if not short.isEmpty():
+        one = {"tab": F.lit(0), "part": F.lit(0), "bucket": F.lit(0).cast("long")}
+        rest = members.filter("tab = 0").withColumns({**one, "chunk": F.pmod(F.xxhash64("rep"), F.lit(groups)).cast("int")})
+        all_ = short.select(F.lit(0).alias("tab"), F.lit(0).alias("part"), F.col("rep").alias("query"), F.col("v").alias("qvec"),
+                            F.array(F.lit(0).cast("long")).alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("chunk"))
+        whole = ranked(rest, all_, "op7-rest")
+        best = best.join(short.select(F.col("rep").alias("query")), "query", "left_anti").unionByName(whole)
+    return _expanded(best, classes, keyed, k, every)
+
+
+def _norms(dim: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norm = np.sqrt((_matrix(batch.column(0), dim) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frexp(norm)[1].astype(np.int32)), pa.array(norm)], ["exponent", "norm"])
+
+    return rows
 
 
 def _expanded(best: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, every: int) -> DataFrame:
@@ -289,7 +345,8 @@ def _expanded(best: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, eve
     vec = classes.select("rep", "v")
     exact = (
         best.join(vec, "rep").join(vec.select(F.col("rep").alias("query"), F.col("v").alias("qv")), "query")
-        .select("query", "rep", F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, e: s + e).alias("score"))
+        .select("query", "rep", F.aggregate(
+            F.zip_with("v", "qv", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, e: s + e).alias("score"))
     )
     # the k + 1 smallest ids of each vector that several rows share
     several = classes.filter("rep <> last").select("k1", "k2", "rep")

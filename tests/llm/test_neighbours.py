@@ -72,3 +72,38 @@ def test_probes_come_in_order_of_cost():
     all_ = neighbours.probes(x, hashes, len(neighbours._STEPS))
     assert (all_[:, :, 0] == neighbours.buckets(x, hashes)).all()  # the own bucket first
     assert all(len(set(all_[t, i].tolist())) == len(neighbours._STEPS) for t in range(2) for i in range(4))
+
+
+def test_small_tables_give_all_candidates(spark):
+    """Every query of 2 to 25 vectors meets all others, whatever the number of components."""
+    for dim, sizes in ((2, (2, 3, 25)), (8, (16, 21, 22)), (64, (5, 24))):
+        for n in sizes:
+            rng = np.random.default_rng(n * dim)
+            x = (rng.normal(size=(n, dim)) * rng.uniform(0.1, 40, (n, 1))).astype(np.float32)
+            ids = np.arange(0, 10 * n, 10)
+            got = run(spark, [(int(i), v.tolist()) for i, v in zip(ids, x)])
+            want = brute(ids, x.astype(float), 20, 20)
+            assert {q: [v for _, v, _ in f] for q, f in got.items()} == {q: [v for v, _ in f] for q, f in want.items()}
+
+
+def test_one_long_vector_does_not_crowd_the_others():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5000, 32))
+    x[0] *= 1000
+    norm = np.sqrt((x * x).sum(1))
+    norms = neighbours.norm_bands([(int(np.frexp(v)[1]), float(v)) for v in norm])
+    assert len(norms.low) == 2 and (np.bincount(norms.band(x)) == [1, 4999]).all()
+    hashes = neighbours.projections(32)
+    held = neighbours.buckets(neighbours.lifted(x, norms.scale(x), False), hashes)
+    assert all(np.unique(t, return_counts=True)[1].max() < 500 for t in held)
+    assert (norms.scale(x)[:, 0] >= norm).all()
+
+
+def test_norms_of_many_sizes(spark):
+    """Ranks over several bands equal brute force for every query that met too few others."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(300, 16)) * 2.0 ** rng.integers(-40, 40, (300, 1)))
+    got = run(spark, [(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute(np.arange(300), x, 20, 20)
+    hit = sum(len({v for _, v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert set(got) == set(want) and all(len(f) == 20 for f in got.values()) and hit >= 0.9 * 20 * len(want)
