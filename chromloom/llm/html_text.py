@@ -2,15 +2,18 @@
 
 1. Every page is read once into text blocks, each with the containers it stands in; menus, forms,
    scripts and the like are left out by tag, and adverts, comments or notices by class, id or role.
-   Inside an article only whole class names and roles of its blocks count: ids and parts of names
-   are often made from headings. What a name marks outside an article is set apart, as the voted
-   container may still turn out to be around it.
+   Inside an article a name must be a noise name as a whole, as ids and parts of names are often
+   made from headings, and doubtful names (discussion, share, alert) need evidence: comments or
+   forms inside, links, or no prose. What a name marks outside an article is set apart, as the
+   voted container may still turn out to be around it.
 2. The page's containers are scored by the text of their blocks, less link text. From the smallest
    container with most of the page's score the vote climbs to the article around it, or as far as
    containers hold text of the article only; it is given to that container's generalised tag-class
    path (numbers in class names dropped, positions left out).
 3. Spark adds up the votes by host and path. A host's winning paths are those with a fair part of
-   its votes.
+   its votes. It also adds up doubtful texts (under a doubtful name, or lists of links inside the
+   article) and boxes beside the voted one that hold prose: what different pages of a host repeat
+   is no article, a box that a fair part of them fills is one.
 4. Every page is read again. Its text is what its host's winning paths hold, each climbing as the
    vote does, with the headline and paragraphs that stand in the containers around them. A page
    that the winners miss falls back on its own best container.
@@ -21,13 +24,14 @@ host's paths in an equi-join that Spark broadcasts by size or splits where a hos
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromloom.llm.common import bound_batches, stored, with_columns
@@ -51,16 +55,22 @@ _NOISE = set(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations trending "
     "menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar widget widgets "
     "skip hidden offscreen sr complementary contentinfo search adbox adslot adunit adsense adsbygoogle rail copyright".split())
-#: Names that an article's own blocks bear as well.
-_OWN_NAMES = set("discussion notice notices alert alerts".split())
+#: Names that an article's own blocks bear as well: they need evidence.
+_WEAK = set("discussion alert alerts share sharing social search".split())
+#: Those of them that are set apart outside an article; the others are noise there.
+_OWN_NAMES = set("discussion alert alerts".split())
+#: Names that make noise as any part of a class name, or of an id that holds no other words.
+_SURE = set(
+    "advert adverts advertisement advertising sponsored sponsors comments commentlist disqus cookie cookies gdpr newsletter breadcrumbs pagination "
+    "sidebar sidebars adbox adslot adunit adsense adsbygoogle".split())
+_SURE_IDS = _SURE | set("ad ads respond footer menu nav navbar navigation breadcrumb banner".split())
 #: Parts of a class name that say nothing beside a noise name.
 _FURNITURE = set(
     "area article articles bar block body bottom box boxes button buttons col container content form group header icon icons inner item items "
     "label left line link links list lists main media module only outer page post posts primary right row secondary section site slot stories "
     "story text thread title top unit wrap wrapper".split())
-#: Whole class names of hidden text, and whole ids of comments.
+#: Whole class names of hidden text.
 _HIDDEN_NAMES = {"hidden", "sr-only", "offscreen", "visually-hidden"}
-_COMMENT_IDS = {"comments", "respond", "disqus_thread"}
 #: Whole names of a site's head; inside an article such a name is the article's own.
 _SITE_HEAD = {"header", "site-header", "page-header", "main-header", "top-header", "siteheader", "pageheader"}
 _PARTS = re.compile(r"[^a-z]+")
@@ -74,38 +84,55 @@ _TOKEN = re.compile(
 
 #: A container must hold this part of the page's score to be its vote.
 MOST = 0.8
+#: A box beside the voted one must hold this part of the page's score.
+BESIDE = 0.1
 #: A path wins with this part of its host's votes, or with this part of the best path's.
 FAIR, NEAR_BEST = 0.2, 0.5
 
 
-#: What a block's names mean: it is text, it is noise unless the article is around it, it is noise.
-_TEXT, _APART, _OUT = 0, 1, 2
+#: What a block's names mean: it is text, it is noise unless the article is around it, it is noise,
+#: or it is noise if the evidence says so.
+_TEXT, _APART, _OUT, _DOUBT = 0, 1, 2, 3
+#: Characters of a block that make prose; a doubtful part without it is noise.
+PROSE = 40
+#: A doubtful text is noise on this part of a host's pages (and two different ones).
+REPEATED = 0.01
 
 
 class Block:
     """A piece of text with the containers around it, outermost first.
 
     ``head`` is the heading's level or 0. ``apart`` is the container around the outermost element
-    that is noise unless the article is around it, or -1; ``by`` is that element's tag.
+    that is noise unless the article is around it, or -1; ``by`` is that element's tag. ``doubt`` is the
+    number of the outermost doubtful element around it, or 0.
     """
 
-    __slots__ = ("text", "linked", "around", "head", "apart", "by")
+    __slots__ = ("text", "linked", "around", "head", "apart", "by", "doubt")
 
-    def __init__(self, text: str, linked: int, around: tuple[int, ...], head: int, apart: int = -1, by: str = ""):
-        self.text, self.linked, self.around, self.head, self.apart, self.by = text, linked, around, head, apart, by
+    def __init__(self, text: str, linked: int, around: tuple[int, ...], head: int, doubt: int = 0, apart: int = -1, by: str = ""):
+        self.text, self.linked, self.around, self.head, self.doubt, self.apart, self.by = text, linked, around, head, doubt, apart, by
 
 
 def _parts(name: str) -> set[str]:
     return set(_PARTS.split(_CAMEL.sub("-", name).lower())) - {""}
 
 
-def _whole(names: str) -> bool:
-    """Whether one of the names is a noise name as a whole, and none that an article's own bear."""
-    return any((p := _parts(n)) & _NOISE and not p & _OWN_NAMES and p <= _NOISE | _FURNITURE for n in names.split())
+def _whole(names: str) -> int:
+    """What class names or roles mean inside an article: noise if one is a noise name as a whole or
+    holds a sure one, doubtful if a whole one is weak."""
+    found = _TEXT
+    for n in names.split():
+        p = _parts(n)
+        noise = p & _NOISE
+        if p & _SURE or noise - _WEAK and p <= _NOISE | _FURNITURE:
+            return _OUT
+        if noise and p <= _NOISE | _FURNITURE:
+            found = _DOUBT
+    return found
 
 
 def _noisy(tag: str, attributes: str, in_article: bool) -> int:
-    """What the attributes say of an element: ``_TEXT``, ``_APART`` or ``_OUT``."""
+    """What the attributes say of an element: ``_TEXT``, ``_APART``, ``_OUT`` or ``_DOUBT``."""
     found, block = _TEXT, tag in _BLOCK and tag not in _HEADS
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
@@ -114,10 +141,22 @@ def _noisy(tag: str, attributes: str, in_article: bool) -> int:
             return _OUT
         if name not in ("class", "id", "role"):
             continue
-        if name != "id" and _whole(value) and (block or tag not in _BLOCK and not in_article) or name == "class" and _HIDDEN_NAMES & set(value.lower().split()):
+        if name == "class" and _HIDDEN_NAMES & set(value.lower().split()):
             return _OUT
-        if name == "id" and in_article and tag in ("div", "ul", "ol") and value.lower() in _COMMENT_IDS:
+        if name == "role" and block and _NOISE & set(value.lower().split()):
             return _OUT
+        if name == "id":
+            p = _parts(value)
+            if in_article and block and tag != "p" and p & _NOISE and p <= _NOISE | _FURNITURE | {"thread"}:
+                if p & _SURE_IDS:
+                    return _OUT
+                found = _DOUBT
+        elif block or tag not in _BLOCK and not in_article:
+            means = _whole(value)
+            if means == _OUT or means == _DOUBT and not in_article and not _parts(value) & _OWN_NAMES:
+                return _OUT
+            if in_article:
+                found = max(found, means)
         if not in_article and tag in _BLOCK and (_NOISE & _parts(value) or name != "role" and _SITE_HEAD & set(value.lower().split())):
             found = _APART
     return found
@@ -137,6 +176,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[str], list[int]]:
     stack: list[tuple[str, int, int]] = [("", 0, _TEXT)]  # tag, container, what its names mean
     parts: list[str] = []
     linked, out = 0, 0
+    open_doubts: list[int] = []  # numbers of the doubtful elements around
+    doubts, tainted = 0, set()
 
     def flush() -> None:
         nonlocal linked
@@ -149,7 +190,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[str], list[int]]:
                     k = parents[k]
                 head = next((int(t[1]) for t, _, _ in stack if t in _HEADS), 0)
                 at = next((n for n, (_, _, means) in enumerate(stack) if means == _APART), 0)
-                found.append(Block(text, linked, tuple(around[::-1]), head, *((stack[at - 1][1], stack[at][0]) if at else ())))
+                found.append(Block(text, linked, tuple(around[::-1]), head, open_doubts[0] if open_doubts else 0, *((stack[at - 1][1], stack[at][0]) if at else ())))
             parts.clear()
         linked = 0
 
@@ -161,6 +202,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[str], list[int]]:
                 flush()
             stack.pop()
             out -= means == _OUT
+            if means == _DOUBT:
+                open_doubts.pop()
 
     def text(s: str) -> None:
         nonlocal linked
@@ -218,12 +261,25 @@ def blocks_of(page: str) -> tuple[list[Block], list[str], list[int]]:
             paths.append(f"{paths[inside]}/{_step(tag, m[4])}")
             parents.append(inside)
             inside = len(paths) - 1
+        if means == _OUT and open_doubts and tag not in _RAW:
+            tainted.update(open_doubts)
+        if means == _DOUBT:
+            doubts += 1
+            open_doubts.append(doubts)
         stack.append((tag, inside, means))
         out += means == _OUT
     if last < len(page):
         text(page[last:])
     close(1)
     flush()
+    if doubts:
+        own: dict[int, list[Block]] = defaultdict(list)
+        for b in found:
+            own[b.doubt].append(b)
+        own.pop(0, None)
+        noise = {d for d, bs in own.items() if d in tainted or 2 * sum(b.linked for b in bs) > sum(len(b.text) for b in bs)
+                 or not any(len(b.text) >= PROSE for b in bs)}
+        found = [b for b in found if b.doubt not in noise]
     return found, paths, parents
 
 
@@ -233,7 +289,7 @@ def _worth(block: Block) -> float:
     return own * (1.0 if len(block.text) >= 25 or block.head else 0.3)
 
 
-def best_container(blocks: list[Block]) -> tuple[int, float]:
+def best_container(blocks: list[Block], paths: list[str]) -> tuple[int, float]:
     """The smallest container with most of the page's score, and the score."""
     score: dict[int, float] = defaultdict(float)
     total = 0.0
@@ -244,6 +300,12 @@ def best_container(blocks: list[Block]) -> tuple[int, float]:
         total += w
         for k in b.around:
             score[k] += w
+    if not total:  # nothing but links: those of an article count
+        for b in blocks:
+            if b.apart < 0 and any(_tag(paths[k]) in ("article", "main") for k in b.around):
+                total += len(b.text)
+                for k in b.around:
+                    score[k] += len(b.text)
     if not total:
         return -1, 0.0
     inner = [k for k, s in score.items() if s >= MOST * total]
@@ -313,26 +375,75 @@ def _inside(blocks: list[Block], chosen: set[int], paths: list[str], parents: li
     return [bool(chosen.intersection(b.around) if b.apart < 0 else parts.intersection(_chain(b.apart, parents))) for b in blocks]
 
 
+def _beside(chosen: set[int], blocks: list[Block], paths: list[str], parents: list[int], lists: set[int]) -> set[int]:
+    """Containers beside the chosen ones, outside any article, that hold prose and no noise."""
+    around = {parents[k] for k in chosen if not _is_page(paths[k]) and not {"article", "main"}.intersection(_tag(paths[c]) for c in _chain(k, parents))}
+    found = set()
+    total = sum(_worth(b) for b in blocks if b.apart < 0)
+    for k in range(len(paths)):
+        if parents[k] not in around or k in chosen or k in lists:
+            continue
+        mine = [b for b in blocks if k in b.around]
+        if all(b.apart < 0 for b in mine) and sum(_worth(b) for b in mine if len(b.text) >= PROSE) >= max(PROSE, BESIDE * total):
+            found.add(k)
+    return found
+
+
+def _edge_lists(blocks: list[Block], held: list[bool], lists: set[int], ours: set[int], paths: list[str], parents: list[int]) -> set[int]:
+    """Lists of links at either end of the article that no heading leads to: its menus."""
+    rows = [b for b, h in zip(blocks, held) if h]
+    linkish = [bool(lists.intersection(b.around)) and 2 * b.linked > len(b.text) for b in rows]
+    if all(linkish):
+        return set()
+    found = set()
+    first = linkish.index(False)
+    last = len(rows) - 1 - linkish[::-1].index(False)
+    ends = rows[:first] + (rows[last + 1:] if not rows[last].head else [])
+    for b in ends:
+        inner = [k for k in b.around if k in lists and ours.intersection(_chain(parents[k], parents)) and _tag(paths[k]) not in ("article", "main")]
+        found.update(inner[:1])
+    return found
+
+
+def _digest(text: str) -> str:
+    """Name of a doubtful text; no path begins like it."""
+    return "=" + hashlib.md5(text.encode("utf-8", "replace")).hexdigest()
+
+
+def _doubtful(blocks: list[Block], lists: set[int], paths: list[str]) -> list[Block]:
+    """Blocks that are noise if a host repeats them: under doubtful names, or links inside an article."""
+    return [b for b in blocks if not b.head and (b.doubt or lists.intersection(b.around) and any(_tag(paths[k]) in ("article", "main") for k in b.around))]
+
+
 def extract(page: str | None, winners: list[str] | None = None) -> str:
-    """Main text of a page: what the winning paths hold, or else its own best container."""
+    """Main text of a page: what the winning paths hold, or else its own best container.
+
+    ``winners`` are a host's paths, those of joined boxes after a ``+``, and names of texts that it
+    repeats. Without any the page's own evidence decides.
+    """
     if not page:
         return ""
     blocks, paths, parents = blocks_of(page)
-    own, total = best_container(blocks)
+    own, total = best_container(blocks, paths)
     if own < 0:
         return ""
     lists = _link_lists(blocks)
     wanted = set(winners or ())
+    if any(w.startswith("=") for w in wanted):
+        gone = {id(b) for b in _doubtful(blocks, lists, paths) if _digest(b.text) in wanted}
+        blocks = [b for b in blocks if id(b) not in gone]
     chosen = {climbed(k, blocks, paths, parents, lists) for k, p in enumerate(paths) if p in wanted}
     held = _inside(blocks, chosen, paths, parents)
-    if sum(_worth(b) for b, is_held in zip(blocks, held) if is_held and b.apart < 0) < 0.5 * total:
+    if sum(_worth(b) for b, is_held in zip(blocks, held) if is_held and b.apart < 0) < 0.5 * total or not any(held):
         chosen = {climbed(own, blocks, paths, parents, lists)}
-        held = _inside(blocks, chosen, paths, parents)
-    # lists of links are the article's own inside it
+    chosen |= {k for k in _beside(chosen, blocks, paths, parents, lists) if not wanted or "+" + paths[k] in wanted}
+    held = _inside(blocks, chosen, paths, parents)
+    # lists of links are the article's own inside it, but for menus at its ends
     inner = [k for k, p in enumerate(paths) if k in chosen and not _is_page(p) or _tag(p) in ("article", "main")]
     ours = set(inner)
-    lists = {k for k in lists if not ours.intersection(_chain(k, parents))} - chosen
+    menus = _edge_lists(blocks, held, lists, ours, paths, parents)
     outer = {c for k in chosen for c in _chain(k, parents)} - chosen
+    lists = {k for k in lists if not ours.intersection(_chain(k, parents))} - chosen - outer | menus
     text = []
     follows = False
     for b, is_held in zip(reversed(blocks), reversed(held)):
@@ -346,28 +457,48 @@ def extract(page: str | None, winners: list[str] | None = None) -> str:
     return "\n".join(reversed(text))
 
 
+def page_votes(page: str) -> list[str]:
+    """What a page votes for: its container's path, boxes beside it (``+``) and doubtful texts."""
+    blocks, paths, parents = blocks_of(page)
+    own, _ = best_container(blocks, paths)
+    if own < 0:
+        return []
+    lists = _link_lists(blocks)
+    best = climbed(own, blocks, paths, parents, lists)
+    joined = {"+" + paths[k] for k in _beside({best}, blocks, paths, parents, lists)}
+    # the box that wins on another page may be the one beside it here
+    joined |= {"+" + paths[best]} if joined else set()
+    return [paths[best], *sorted(joined), *sorted({_digest(b.text) for b in _doubtful(blocks, lists, paths)})]
+
+
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes: dict[tuple[str, str], float] = defaultdict(float)
+        votes: dict[tuple[str, str], list] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             page = page.as_py()
             if page:
-                blocks, paths, parents = blocks_of(page)
-                own, total = best_container(blocks)
-                if own >= 0:
-                    votes[host, paths[climbed(own, blocks, paths, parents, _link_lists(blocks))]] += 1
-        hosts, found = [h for h, _ in votes], [p for _, p in votes]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.string()), pa.array(list(votes.values()), pa.float64())], ["host", "path", "votes"])
+                name = int.from_bytes(hashlib.md5(page.encode("utf-8", "replace")).digest()[:7], "big")
+                for path in page_votes(page):
+                    row = votes.setdefault((host, path), [0.0, name, name])
+                    row[:] = row[0] + 1, min(row[1], name), max(row[2], name)
+        rows = [(*k, *v) for k, v in votes.items()]
+        kinds = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], ["host", "path", "votes", "first", "last"])
 
 
 def winning_paths(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``(host, paths)``: the generalised paths of each host's main text. ``pages`` has ``host``."""
+    """``(host, paths)``: the generalised paths of each host's main text, of boxes that belong to
+    it, and the names of texts that different pages of it repeat. ``pages`` has ``host``."""
     bound_batches(pages.sparkSession)
-    votes = pages.select("host", F.col(html)).mapInArrow(_votes, "host string, path string, votes double").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    # distinct paths of one host: as many as its templates
-    of_host = Window.partitionBy("host")
-    fair = F.greatest(F.sum("votes").over(of_host) * FAIR, F.max("votes").over(of_host) * NEAR_BEST)
-    kept = votes.withColumn("fair", fair).filter("votes >= fair")
+    votes = pages.select("host", F.col(html)).mapInArrow(_votes, "host string, path string, votes double, first long, last long").groupBy("host", "path").agg(
+        F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+    # distinct paths and doubtful texts of one host; only sums over them are needed
+    sign = F.substring("path", 1, 1)
+    is_path = ~sign.isin("+", "=")
+    of_host = votes.groupBy("host").agg(F.sum(F.when(is_path, F.col("votes"))).alias("all"), F.max(F.when(is_path, F.col("votes"))).alias("best"))
+    fair = F.when(is_path, F.greatest(F.col("all") * FAIR, F.col("best") * NEAR_BEST)).when(sign == "+", F.col("all") * FAIR).otherwise(F.greatest(F.lit(2.0), F.col("all") * REPEATED))
+    # a text on one page, or on copies of it, isn't repeated; at most 1 / REPEATED texts a doubtful block of a page stay
+    kept = votes.join(of_host, "host").filter((F.col("votes") >= fair) & ((sign != "=") | (F.col("first") != F.col("last"))))
     return kept.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 

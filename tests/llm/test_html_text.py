@@ -1,3 +1,5 @@
+import pytest
+
 from chromloom.llm import html_text
 
 ARTICLE = (
@@ -143,3 +145,65 @@ def test_captions_formulas_and_lists_of_links_are_kept():
             "<audio src=y>A spoken word</audio><h2>References</h2><ol><li><a href=1>The first work that is cited</a><li><a href=2>The second work that is cited</a></ol></article></body>")
     assert html_text.extract(page) == (
         "The text of the page, long enough to count.\nA caption of the figure.\nWe have x=2 here.\nA spoken word\nReferences\nThe first work that is cited\nThe second work that is cited")
+
+
+READER = "A reader says that this is a fine piece of work."
+NOISE = [
+    "<div class=notice><p>We changed our terms of use, please read them again.</p></div>", "<div role=alert>Our site will be down on Sunday for some hours, sorry.</div>",
+    f"<section class=discussion><h3>Discussion</h3><div class=comment><p>{READER}</p></div></section>", f"<section class=discussion><p>{READER}</p><form>Say it</form></section>",
+    "<p class=cookie-notice>We use cookies to make this site better for you all.</p>", f"<div class=user-comments><p>{READER}</p></div>",
+    f"<section id=comments><p>{READER}</p></section>", "<div id=sidebar><p>Side text of some length that is no part of the article.</p></div>",
+    "<div id=footer><p>Footer text of some length that is no part of it.</p></div>", "<div id=ad-slot><p>Buy this now, it is cheap and good for everyone here.</p></div>",
+    "<div class=links><a href=1>Home</a> <a href=2>News</a> <a href=3>Sports</a></div>", "<ul><li><a href=1>Home of it</a><li><a href=2>All the news</a></ul>",
+    "<div class=share-buttons>Share it</div>",
+]
+OWN = {
+    "<p class=share>{}</p>": "The share of the workers in what they made has fallen for years.",
+    "<section class=search><p>{}</p></section>": "The search for the lost ship took them all over the seas.",
+    "<section id=discussion><p>{}</p></section>": "What the results mean, discussed at some length.",
+    "<div class='alert warning'><p>{}</p></div>": "A warning of the text itself, and not one of the site.",
+    "<section id=notice><p>{}</p></section>": "The notice that was nailed to the door, word for word.",
+}
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize("noise", NOISE)
+def test_noise_at_either_end_of_an_article(tag, noise):
+    body, want = "".join(f"<p>{PROSE.format(k)}</p>" for k in range(6)), "\n".join(PROSE.format(k) for k in range(6))
+    assert html_text.extract(f"<body><{tag}>{body}{noise}</{tag}></body>") == want
+    assert html_text.extract(f"<body><{tag}>{noise}{body}</{tag}></body>") == want
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize("markup", sorted(OWN))
+def test_prose_under_a_doubtful_name_stays(tag, markup):
+    body = "".join(f"<p>{PROSE.format(k)}</p>" for k in range(6))
+    page = f"<body><{tag}>{body}{markup.format(OWN[markup])}</{tag}></body>"
+    assert html_text.extract(page) == "\n".join(PROSE.format(k) for k in range(6)) + "\n" + OWN[markup]
+
+
+def test_an_article_of_links_only():
+    page = "<body><nav>m</nav><article><p><a href=1>All of the first paragraph is a link.</a></p><p><a href=2>And the second one as well.</a></p></article></body>"
+    assert html_text.extract(page) == "All of the first paragraph is a link.\nAnd the second one as well."
+
+
+def test_what_a_host_repeats_and_boxes_beside_the_voted_one(spark):
+    """Doubtful texts that different pages of a host repeat go, and stay on a host with one page or
+    copies of it; a second box stays where a fair part of the host's pages fills it."""
+    alert = "<div class=alert><p>This text stands under a doubtful name and is repeated.</p></div>"
+    links = "<ul><li><a href=1>A first link to somewhere</a><li><a href=2>A second link to somewhere</a></ul>"
+    page = "<body><article><h1>Head {k}</h1><p>{a}</p>" + alert + links + "<p>{b}</p></article></body>"
+    rows = [(k, "http://many.example/", page.format(k=k, a=PROSE.format(k), b=PROSE.format(-k))) for k in range(5)]
+    rows += [(10 + k, "http://one.example/", rows[0][2]) for k in range(5)]
+    two = "<body><div class=first>{}</div><div class=second><p>{}</p></div><div class=box>{}</div></body>"
+    part = lambda k: "".join(f"<p>{PROSE.format(k + i)}</p>" for i in range(5))
+    rows += [(20 + k, "http://two.example/", two.format(part(k), PROSE.format(k + 5), "Short box.")) for k in range(9)]
+    rows.append((29, "http://two.example/", two.format(part(1), PROSE.format(6), "<p>A box with a long text, as on this page alone it has one of those.</p>")))
+    got = {k: t for k, (t, _) in run(spark, rows).items()}
+    for k in range(5):
+        assert got[k] == f"Head {k}\n{PROSE.format(k)}\n{PROSE.format(-k)}"
+        assert got[10 + k].split("\n") == ["Head 0", PROSE.format(0), "This text stands under a doubtful name and is repeated.",
+                                           "A first link to somewhere", "A second link to somewhere", PROSE.format(0)]
+    for k in range(9):
+        assert got[20 + k] == "\n".join(PROSE.format(k + i) for i in range(6))
+    assert got[29] == "\n".join(PROSE.format(1 + i) for i in range(6))
