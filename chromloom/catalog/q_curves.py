@@ -64,10 +64,33 @@ def _(t):
     )
 
 
-# polynomial coefficients have no closed SQL form: rows-only here, equal to a least-squares fit in tests
-@query("ag9_poly6_fit")
+def _cholesky_sql(source: str, size: int = 7) -> str:
+    """Steps from ``source`` (power sums ``s0..``, ``b0..``) to ``so`` with the solution ``c0..c6``.
+    Each is a table of its own, as repeated aliases would be written out again and again."""
+    steps = []
+    dot = lambda terms: "".join(f" - {t}" for t in terms)
+    for j in range(size):
+        steps.append([f"sqrt(s{2 * j}{dot(f'l{j}{k} * l{j}{k}' for k in range(j))}) AS l{j}{j}"])
+        if j < size - 1:
+            steps.append([f"(s{i + j}{dot(f'l{i}{k} * l{j}{k}' for k in range(j))}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, size)])
+    steps += [[f"(b{i}{dot(f'l{i}{k} * u{k}' for k in range(i))}) / l{i}{i} AS u{i}"] for i in range(size)]
+    steps += [[f"(u{i}{dot(f'l{k}{i} * c{k}' for k in range(i + 1, size))}) / l{i}{i} AS c{i}"] for i in reversed(range(size))]
+    names = [source, *(f"so{k}" for k in range(len(steps) - 1)), "so"]
+    return "".join(f"\n, {new} AS MATERIALIZED (SELECT *, {', '.join(step)} FROM {old})" for old, new, step in zip(names, names[1:], steps))
+
+
+@query("ag9_poly6_fit", PS + f"""
+, pt AS (SELECT cond, d, log10(d * {RES}) AS x, log10(p) AS y FROM ps WHERE d > 0 AND p > 0)
+, en AS (SELECT cond, (min(x) + max(x)) / 2 AS mid, (max(x) - min(x)) / 2 AS half FROM pt GROUP BY cond)
+, sc AS (SELECT pt.*, (x - mid) / half AS z FROM pt JOIN en USING (cond))
+, sm AS (SELECT cond, count(*) AS n, {", ".join(f"sum(pow(z, {k})) AS s{k}" for k in range(13))}, {", ".join(f"sum(pow(z, {k}) * y) AS b{k}" for k in range(7))} FROM sc GROUP BY cond){_cholesky_sql("sm")}
+SELECT cond, d, n AS n_points, round({" + ".join(f"c{k} * pow(z, {k})" for k in range(7))}, 4) + 0.0 AS fitted FROM sc JOIN so USING (cond)""", ("fx_maps",))
 def _(t):
-    return C.poly6_fit(curve(t), ["cond"], RES, hi_bp=N_BINS * RES)
+    fit = C.poly6_fit(curve(t), ["cond"], RES, hi_bp=N_BINS * RES)
+    at = F.log10(F.col("d") * RES)
+    fitted = F.aggregate("coefficients", F.lit(0.0), lambda total, c: total * at + c)  # highest power first
+    points = curve(t).where((F.col("d") > 0) & (F.col("p") > 0)).join(fit, "cond")
+    return points.select("cond", "d", "n_points", (F.round(fitted, 4) + F.lit(0.0)).alias("fitted"))
 
 
 @query("win2_log_gradient", PS + valid(RES) + gradient("pts", "lx", "ly", "g") + """

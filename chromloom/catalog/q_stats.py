@@ -85,8 +85,26 @@ def _(t):
     return r6(S.permutation_test(pairs(t), ["metric"]), "p_perm")
 
 
-# resampled intervals follow a random generator: rows-only here, number parity in the tests
-@query("ag47_bootstrap_diff_ci")
+BOOT = """
+, v AS (SELECT metric, cond, value, row_number() OVER (PARTITION BY metric, cond ORDER BY rep, value) - 1 AS k, count(*) OVER (PARTITION BY metric, cond) AS n FROM fx_metrics)
+, ab AS (SELECT DISTINCT a.metric, a.cond AS cond_x, b.cond AS cond_y, a.n AS nx, b.n AS ny FROM v a JOIN v b ON a.metric = b.metric AND a.cond <> b.cond WHERE a.n >= 2 AND b.n >= 2)
+, sd AS (SELECT metric, cond_x, cond_y, cond_x AS cond, 1.0 AS sign, nx AS n, 0 AS off FROM ab UNION ALL SELECT metric, cond_x, cond_y, cond_y, -1.0, ny, 1000000 FROM ab)
+, m0 AS (SELECT sd.*, draw, (CAST('0x' || substr(md5(concat_ws(':', '0', metric, cond_x, cond_y)), 1, 7) AS BIGINT) + draw * 1000003 + (k + off) * 7919) % 2147483647 AS x
+  FROM sd, range(2000) d(draw), range(n) p(k))
+, m1 AS (SELECT * REPLACE ((x * x + x * 48271 + 11) % 2147483647 AS x) FROM m0)
+, m2 AS (SELECT * REPLACE ((x * x + x * 48271 + 11) % 2147483647 AS x) FROM m1)
+, m3 AS (SELECT * REPLACE ((x * x + x * 48271 + 11) % 2147483647 % n AS x) FROM m2)
+, gp AS (SELECT m3.metric, cond_x, cond_y, draw, sum(sign * value / m3.n) AS gap FROM m3 JOIN v ON v.metric = m3.metric AND v.cond = m3.cond AND v.k = m3.x GROUP BY ALL)
+SELECT metric, cond_x, cond_y, round(quantile_cont(gap, 0.025), 6) + 0.0 AS diff_lo, round(quantile_cont(gap, 0.975), 6) + 0.0 AS diff_hi, count(*) AS n_boot FROM gp GROUP BY ALL"""
+
+
+@query("ag47_bootstrap_diff_ci", BOOT, FX)
+def _(t):
+    return r6(S.bootstrap_diff_ci(pairs(t), ["metric"], n_boot=2_000), "diff_lo", "diff_hi")
+
+
+# the seeded mode follows NumPy's generator: rows only here, numbers in the tests
+@query("ag47_seeded_tests")
 def _(t):
     out = S.resampling_tests(pairs(t))
     return out.select(*IDS, "diff_lo", "diff_hi", "p_mw", "p_perm")

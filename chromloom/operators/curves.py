@@ -6,15 +6,15 @@ locus, so windows over a curve are bounded by the locus size, not by the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from chromloom.functions.joins import attach
 from chromloom.functions.numeric import is_positive, log10_pos, ols
 
 # fixed values of the published analysis
@@ -81,31 +81,48 @@ def powerlaw_fit(
 
 
 def poly6_fit(
-    curve: DataFrame, keys: Sequence[str], resolution: int, hi_bp: int = FIT_LO_BP
+    curve: DataFrame, keys: Sequence[str], resolution: int, hi_bp: int = FIT_LO_BP, degree: int = 6
 ) -> DataFrame:
     """Degree-six polynomial of log P on log s below ``hi_bp``; needs more than seven points.
 
-    Coefficients run from the highest power down. A group is one curve's short-range points.
+    Coefficients run from the highest power down. Abscissas are centred and scaled to -1..1, so one
+    aggregate of power sums holds all that the least squares need, whatever the number of points;
+    its symmetric system is solved, and the polynomial put back on the original axis, row by row.
     """
-    keys = list(keys)
+    keys, size = list(keys), degree + 1
     points = curve.where(
         (F.col("d") > 0) & (F.col("d") * resolution < hi_bp) & is_positive(F.col("p"))
-    ).select(*keys, F.log10(F.col("d") * resolution).alias("x"), F.log10("p").alias("y"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[:1][keys].reset_index(drop=True)
-        coef = (
-            np.polyfit(pdf["x"].to_numpy(), pdf["y"].to_numpy(), 6).tolist()
-            if len(pdf) > 7 else None
-        )
-        return head.assign(n_points=len(pdf), coefficients=[coef])
-
-    schema = T.StructType(
-        [curve.schema[k] for k in keys]
-        + [T.StructField("n_points", T.LongType()),
-           T.StructField("coefficients", T.ArrayType(T.DoubleType()))]
-    )
-    return points.groupBy(*keys).applyInPandas(fit, schema)
+    ).select(*keys, F.log10(F.col("d") * resolution).alias("_x"), F.log10("p").alias("_y"))
+    ends = points.groupBy(*keys).agg(
+        ((F.min("_x") + F.max("_x")) / 2).alias("_mid"), F.greatest((F.max("_x") - F.min("_x")) / 2, F.lit(1e-300)).alias("_half"))
+    z = (F.col("_x") - F.col("_mid")) / F.col("_half")
+    powers = [F.lit(1.0)]
+    placed = attach(points, ends, keys).withColumn("_z", z)
+    for _ in range(2 * degree):
+        powers.append(powers[-1] * F.col("_z"))
+    rows = placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_points"), F.max("_mid").alias("_mid"), F.max("_half").alias("_half"),
+        *[F.sum(p).alias(f"_s{k}") for k, p in enumerate(powers)], *[F.sum(powers[k] * F.col("_y")).alias(f"_b{k}") for k in range(size)])
+    # a factor L of the power-sum matrix (L times its transpose) column by column, then two substitutions
+    for j in range(size):
+        pivot = F.col(f"_s{2 * j}") - sum((F.col(f"_l{j}{k}") * F.col(f"_l{j}{k}") for k in range(j)), F.lit(0.0))
+        rows = rows.withColumn(f"_l{j}{j}", F.sqrt(F.greatest(pivot, F.lit(1e-300))))
+        rows = rows.withColumns({
+            f"_l{i}{j}": (F.col(f"_s{i + j}") - sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"_l{j}{j}")
+            for i in range(j + 1, size)
+        }) if j < degree else rows
+    for i in range(size):
+        done = sum((F.col(f"_l{i}{k}") * F.col(f"_u{k}") for k in range(i)), F.lit(0.0))
+        rows = rows.withColumn(f"_u{i}", (F.col(f"_b{i}") - done) / F.col(f"_l{i}{i}"))
+    for i in reversed(range(size)):
+        done = sum((F.col(f"_l{k}{i}") * F.col(f"_c{k}") for k in range(i + 1, size)), F.lit(0.0))
+        rows = rows.withColumn(f"_c{i}", (F.col(f"_u{i}") - done) / F.col(f"_l{i}{i}"))
+    # (x - mid) / half to the k, spread over the powers of x
+    back = [
+        sum((F.col(f"_c{k}") / F.pow("_half", F.lit(float(k))) * math.comb(k, p) * F.pow(-F.col("_mid"), F.lit(float(k - p))) for k in range(p, size)), F.lit(0.0))
+        for p in reversed(range(size))
+    ]
+    return rows.select(*keys, "n_points", F.when(F.col("n_points") > size, F.array(*back)).alias("coefficients"))
 
 
 def log_gradient(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "slope") -> DataFrame:

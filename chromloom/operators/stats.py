@@ -245,6 +245,48 @@ def resampling_tests(pairs: DataFrame, n_boot: int = N_RESAMPLES, seed: int = SE
     )
 
 
+#: Prime of the counter generator, and what sets the draws of the second vector apart.
+PRIME, OTHER_SIDE = 2_147_483_647, 1_000_000
+
+
+def drawn_place(base: Column, draw: Column, place: Column, n: Column) -> Column:
+    """A place below ``n`` for each (draw, place): three rounds of a quadratic map modulo a prime.
+
+    It depends on its arguments alone, so draws can be made anywhere and in any order.
+    """
+    x = F.pmod(base + draw * 1_000_003 + place * 7_919, F.lit(PRIME))
+    for _ in range(3):
+        x = (x * x + x * 48_271 + 11) % PRIME
+    return x % n
+
+
+def bootstrap_diff_ci(
+    pairs: DataFrame, keys: Sequence[str], n_boot: int = N_RESAMPLES, seed: int = SEED, chunk: int = 500
+) -> DataFrame:
+    """Bootstrap interval of the mean difference: (keys, conditions, diff_lo, diff_hi, n_boot).
+
+    Draws come from a counter generator keyed by the pair, so a pair is ``n_boot / chunk`` pieces
+    of work that any task can do, and SQL can state the result. Only the ``n_boot`` differences
+    of a pair meet, in its quantiles. ``resampling_tests`` is the seeded form of one task a pair.
+    """
+    ids = [*keys, "cond_x", "cond_y"]
+    base = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *ids)), 1, 7), 16, 10).cast("long")
+    pieces = pairs.select(*ids, "x", "y", base.alias("_base"), F.explode(F.sequence(F.lit(0), F.lit(-(-n_boot // chunk) - 1))).alias("_c"))
+    first = F.col("_c").cast("long") * chunk
+    draws = pieces.repartition(*ids, "_c").select(
+        *ids, "x", "y", "_base", F.explode(F.sequence(first, F.least(first + chunk, F.lit(n_boot).cast("long")) - 1)).alias("_d"))
+
+    def mean(side: str, offset: int) -> Column:
+        n = F.size(side).cast("long")
+        places = F.sequence(F.lit(0).cast("long"), n - 1)
+        at = lambda k: drawn_place(F.col("_base"), F.col("_d"), k + offset, n)
+        return F.aggregate(places, F.lit(0.0), lambda total, k: total + F.get(F.col(side), at(k).cast("int"))) / n
+
+    gaps = draws.select(*ids, (mean("x", 0) - mean("y", OTHER_SIDE)).alias("_gap"))
+    quantiles = [F.percentile("_gap", q / 100.0).alias(name) for q, name in zip(QUANTILES, ("diff_lo", "diff_hi"))]
+    return gaps.groupBy(*ids).agg(*quantiles, F.count(F.lit(1)).alias("n_boot"))
+
+
 def compare_conditions(
     vectors: DataFrame, keys: Sequence[str] = ("metric",), mode: str = "all_ordered",
     reference: str | None = None, n_boot: int = N_RESAMPLES, seed: int = SEED,
