@@ -55,7 +55,8 @@ def _bins(t):
 
 
 def _frames(t):
-    """One row per (chain, frame): an array of 21 bead positions."""
+    """One row per (chain, frame): an array of 21 bead positions, 63 elements of the vector, all
+    moved by its last element."""
     numbered = row_numbers(
         t("embeddings").select("vec_id", F.col("label").alias("chain"), "embedding"),
         ["chain"], ["vec_id"], F.floor(F.col("vec_id") / 4096),
@@ -64,7 +65,7 @@ def _frames(t):
         F.sequence(F.lit(0), F.lit(N_BEADS - 1)),
         lambda b: F.struct(
             *[
-                F.get(F.col("embedding"), b * 3 + k).cast("double").alias(axis)
+                (F.get(F.col("embedding"), b * 3 + k).cast("double") + F.get(F.col("embedding"), F.lit(3 * N_BEADS)).cast("double")).alias(axis)
                 for k, axis in enumerate("xyz")
             ]
         ),
@@ -219,9 +220,9 @@ SQL = {
         FROM part GROUP BY ALL""",
     "fx_beads": f"""
         SELECT chain, frame, bead,
-               CAST(embedding[3 * bead + 1] AS DOUBLE) AS x,
-               CAST(embedding[3 * bead + 2] AS DOUBLE) AS y,
-               CAST(embedding[3 * bead + 3] AS DOUBLE) AS z
+               CAST(embedding[3 * bead + 1] AS DOUBLE) + CAST(embedding[{3 * N_BEADS + 1}] AS DOUBLE) AS x,
+               CAST(embedding[3 * bead + 2] AS DOUBLE) + CAST(embedding[{3 * N_BEADS + 1}] AS DOUBLE) AS y,
+               CAST(embedding[3 * bead + 3] AS DOUBLE) + CAST(embedding[{3 * N_BEADS + 1}] AS DOUBLE) AS z
         FROM (SELECT label AS chain, embedding,
                      CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS frame
               FROM embeddings),

@@ -240,6 +240,23 @@ def _(t):
     return r6(D.snapshot_scores(t.fx("fx_legs"), loops, [], [0, 50, 100, 150], 1), "looped")
 
 
+@query("ag60_snapshot_scores_by_half", LOOPS + """
+, lp AS (SELECT DISTINCT anchor1 % 2 AS half, anchor1, anchor2 FROM loops)
+, lg AS (SELECT *, snap % 2 AS half FROM fx_legs)
+, cp AS (SELECT half, anchor1, anchor2, o, anchor1 + o AS a, anchor2 + o AS b FROM lp, (SELECT unnest([0, 50, 100, 150]) AS o))
+, held AS (SELECT DISTINCT cp.half, snap, anchor1, anchor2, o FROM lg JOIN cp ON lg.half = cp.half AND l BETWEEN a - 1 AND a + 1 AND r BETWEEN b - 1 AND b + 1)
+, sn AS (SELECT half, count(DISTINCT snap) AS n FROM lg GROUP BY half)
+SELECT CAST(lp.half AS BIGINT) AS half, lp.anchor1, lp.anchor2, round(coalesce(h.n, 0) / (sn.n * 4.0), 6) AS looped
+FROM lp JOIN sn ON sn.half = lp.half LEFT JOIN (SELECT half, anchor1, anchor2, count(*) AS n FROM held GROUP BY ALL) h
+  ON h.half = lp.half AND h.anchor1 = lp.anchor1 AND h.anchor2 = lp.anchor2""", ("fx_sites", "fx_maps", "fx_legs"))
+def _(t):
+    loops = convergent_pairs(t.fx("fx_sites"), ["ctcf_type", "locus"], 5, 40).select(
+        (F.col("anchor1") % 2).cast("long").alias("half"), "anchor1", "anchor2"
+    ).distinct()
+    legs = t.fx("fx_legs").withColumn("half", (F.col("snap") % 2).cast("long"))
+    return r6(D.snapshot_scores(legs, loops, ["half"], [0, 50, 100, 150], 1), "looped")
+
+
 @query("jn18_legs_at_anchors", LOOPS + """
 , lp AS (SELECT DISTINCT anchor1, anchor2 FROM loops)
 SELECT anchor1, anchor2, round(count(DISTINCT snap) / (SELECT count(DISTINCT snap) FROM fx_legs), 6) AS looped

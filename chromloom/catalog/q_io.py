@@ -79,6 +79,12 @@ def _(t):
     return I.parse_peaks(bed_lines(t))
 
 
+@query("src1_unreadable_lines", LINES + """
+SELECT sample, count(*) AS n_lines, count(*) FILTER (nf < 3 OR s IS NULL OR e IS NULL) AS n_bad FROM fl GROUP BY sample""")
+def _(t):
+    return I.unreadable_lines(bed_lines(t), 3, ["sample"])
+
+
 @query("src1_read_peaks_region", PEAKS + f"""
 SELECT * FROM pk WHERE chrom = '{WINDOW[0]}' AND "end" >= {WINDOW[1]} AND "start" <= {WINDOW[2]}""")
 def _(t):

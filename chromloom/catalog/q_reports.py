@@ -87,8 +87,10 @@ DYN_NAMES = [
 @query("bnd3_dynamics_report", DYN + "SELECT cond, 'dynamics' AS \"group\", unnest([" + ", ".join(f"'{n}'" for n in DYN_NAMES)
        + "]) AS metric, round(unnest([" + ", ".join(f"CAST({n} AS DOUBLE)" for n in DYN_NAMES) + "]), 6) + 0.0 AS value FROM w", ("fx_pair",))
 def _(t):
-    trace = t.fx("fx_pair").withColumn("cond", F.col("chain") % 2)
-    rows = R.dynamics_report(trace, ["cond"], "chain", "frame", RADIUS, block=64, min_points=3, lag_min=2)
+    # every part of the report reads the trace: build it once
+    path = t.scratch("trace")
+    t.fx("fx_pair").withColumn("cond", F.col("chain") % 2).write.parquet(path)
+    rows = R.dynamics_report(t.spark.read.parquet(path), ["cond"], "chain", "frame", RADIUS, block=64, min_points=3, lag_min=2)
     return rows.select("cond", "group", "metric", round6(F.col("value")).alias("value"))
 
 

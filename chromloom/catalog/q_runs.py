@@ -165,7 +165,7 @@ def _(t):
 
 
 @query("set4_ordered_union", """
-, l AS (SELECT DISTINCT cond AS name, 0 AS k, cond AS p FROM fx_metrics WHERE rep = 0 UNION ALL SELECT DISTINCT metric, 1, metric FROM fx_metrics
+, l AS (SELECT DISTINCT cond AS name, 0 AS k, cond AS p FROM fx_metrics UNION ALL SELECT DISTINCT metric, 1, metric FROM fx_metrics
   UNION ALL SELECT DISTINCT cond, 2, cond FROM fx_metrics)
 , f AS (SELECT name, min(k || p) AS o FROM l GROUP BY name)
 SELECT name, CAST(row_number() OVER (ORDER BY o, name) AS INTEGER) AS place FROM f""", ("fx_metrics",))
@@ -175,7 +175,7 @@ def _(t):
     def listed(df, c):
         return R.place_by(df.select(F.col(c).alias("name")).distinct(), "name", "name")
 
-    return R.ordered_union(listed(m.where("rep = 0"), "cond"), listed(m, "metric"), listed(m, "cond"))
+    return R.ordered_union(listed(m, "cond"), listed(m, "metric"), listed(m, "cond"))
 
 
 @query("bnd5_runs_by_reference", """

@@ -560,12 +560,13 @@ def snapshot_scores(
 ) -> DataFrame:
     """Share of loop copies held by a cohesin, averaged over snapshots: (keys, anchors, looped).
 
-    A copy is held when some cohesin has both legs within ``tol`` of its anchors. Legs and
+    ``loops`` carry the ``keys`` of the group that they are asked in; groups without snapshots give
+    no row. A copy is held when some cohesin has both legs within ``tol`` of its anchors. Legs and
     anchors meet by equi-join on coarse cells of the (left, right) plane.
     """
     keys, width = list(keys), 2 * tol + 1
     copies = loops.select(
-        "anchor1", "anchor2", F.explode(F.array(*[F.lit(int(o)) for o in offsets])).alias("_o")
+        *keys, "anchor1", "anchor2", F.explode(F.array(*[F.lit(int(o)) for o in offsets])).alias("_o")
     )
     cells = copies.withColumn("_a", F.col("anchor1") + F.col("_o")).withColumn(
         "_b", F.col("anchor2") + F.col("_o")
@@ -578,7 +579,7 @@ def snapshot_scores(
         "_ca", F.floor(F.col("l") / width)
     ).withColumn("_cb", F.floor(F.col("r") / width))
     held = (
-        placed.join(cells, ["_ca", "_cb"])
+        placed.join(cells, [*keys, "_ca", "_cb"])
         .where((F.abs(F.col("l") - F.col("_a")) <= tol) & (F.abs(F.col("r") - F.col("_b")) <= tol))
         .select(*keys, "snap", "anchor1", "anchor2", "_o").distinct()
         .groupBy(*keys, "anchor1", "anchor2").agg(F.count(F.lit(1)).alias("_held"))
@@ -586,9 +587,8 @@ def snapshot_scores(
     snaps = legs.select(*keys, "snap").distinct().groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_snaps")
     )
-    # one row a loop and group is the result: groups (conditions and the like) are a short list
-    groups = snaps.agg(F.collect_list(F.struct(*keys, "_snaps")).alias("_g"))
-    every = loops.withColumn("_g", F.explode(groups.scalar())).select("anchor1", "anchor2", "_g.*")
+    # loops of a group, or of the only one: its snapshots meet its loops on the keys
+    every = attach(loops.select(*keys, "anchor1", "anchor2"), snaps, keys)
     return every.join(held, [*keys, "anchor1", "anchor2"], "left").select(
         *keys, "anchor1", "anchor2",
         (F.coalesce("_held", F.lit(0)) / (F.col("_snaps") * len(offsets))).alias("looped"),
