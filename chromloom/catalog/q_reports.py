@@ -24,25 +24,35 @@ NAMES = (
 )
 
 
-@query("bnd1_map_report", METRICS_SQL.replace("SELECT ps.cond, round(max(p)", ", wide AS (SELECT ps.cond, round(max(p)") + """)
-SELECT cond, 'P(s)' AS "group", unnest([""" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS metric, unnest([" + ", ".join(NAMES) + "]) AS value FROM wide",
-       ("fx_maps",))
+def _long_sql(oracle: str, group: str) -> str:
+    """Another query's SQL, one row a condition, as long metrics without nulls."""
+    return f"""SELECT cond, '{group}' AS "group", metric, value FROM (
+  UNPIVOT (SELECT cond, CAST(COLUMNS(* EXCLUDE (cond)) AS DOUBLE) FROM ({ORACLES[oracle]})) ON COLUMNS(* EXCLUDE (cond)) INTO NAME metric VALUE value)"""
+
+
+MAP_REPORT = METRICS_SQL.replace("SELECT ps.cond, round(max(p)", ", wide AS (SELECT ps.cond, round(max(p)") + """)
+, lm AS (SELECT cond, 'P(s)' AS "group", unnest([""" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS metric, unnest([" + ", ".join(NAMES) + """]) AS value FROM wide)
+SELECT * FROM lm WHERE value IS NOT NULL UNION ALL """ + _long_sql("ag42_derivative_summary", "P(s)_derivative")
+
+
+@query("bnd1_map_report", MAP_REPORT, ("fx_maps",))
 def _(t):
     report = R.map_report(t.fx("fx_maps"), ["cond"], N_BINS, WIDE, WIN)
-    rows = report["metrics"].where(F.col("group") == "P(s)")
-    return rows.select("cond", "group", "metric", round6(F.col("value")).alias("value"))
+    in_bp = F.col("metric").endswith("_bp")  # base pairs are compared to four decimals, as where they come from
+    value = F.when(in_bp, F.round("value", 4) + F.lit(0.0)).otherwise(round6(F.col("value")))
+    return report["metrics"].where("value IS NOT NULL").select("cond", "group", "metric", value.alias("value"))
 
 
 @query("bnd1_loop_report", ABLE + """
 , r AS (SELECT sc.cond, disk - c * bg AS s, near FROM loops JOIN sc USING (cond, anchor1, anchor2))
 , w AS (SELECT cond, CAST(count(*) AS DOUBLE) AS n, median(s) FILTER (NOT near) AS md, avg(s) FILTER (NOT near) AS mn FROM r GROUP BY cond)
-SELECT cond, 'AbLE' AS "group", unnest(['n_pairs', 'median_strength', 'mean_strength']) AS metric, round(unnest([n, md, mn]), 4) + 0.0 AS value FROM w""", LOOP_FX)
+SELECT cond, 'AbLE' AS "group", unnest(['n_pairs', 'median_strength', 'mean_strength']) AS metric, round(unnest([n, md, mn]), 4) + 0.0 AS value FROM w
+UNION ALL SELECT cond, "group", metric, round(value, 4) + 0.0 FROM (""" + _long_sql("ag21_loop_strength", "AbLE") + ")", LOOP_FX)
 def _(t):
     report = R.loop_report(
         t.fx("fx_maps"), site_loops(t), ["cond"], N_BINS, PAD, local=LOCAL, disk=DISK, diag_cutoff=CUT, outliers=False
     )
-    rows = report["metrics"].where(F.col("metric") != "strength")
-    return rows.select("cond", "group", "metric", (F.round("value", 4) + F.lit(0.0)).alias("value"))
+    return report["metrics"].where("value IS NOT NULL").select("cond", "group", "metric", (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
 @query("bnd1_comparison_report", f"""
