@@ -42,10 +42,15 @@ def ps_curve(
     first ``min_diag`` distances become NULL (experimental maps). Pixels of later bins than
     ``n_bins`` are cropped.
     """
-    keys = list(keys)
     sums = pixels.where(F.col("j") < n_bins).groupBy(*keys, (F.col("j") - F.col("i")).cast("int").alias("_d")).agg(
         F.sum(value).alias("_s")
     )
+    return curve_of_sums(sums, keys, n_bins, min_diag)
+
+
+def curve_of_sums(sums: DataFrame, keys: Sequence[str], n_bins: int, min_diag: int = 0) -> DataFrame:
+    """The curve of :func:`ps_curve` from the sums ``_s`` of stored diagonals ``_d``."""
+    keys = list(keys)
     w = W.partitionBy(*keys).orderBy("_d")
     first = F.lag("_d").over(w).isNull()
     until = F.lead("_d", 1, n_bins).over(w) - 1

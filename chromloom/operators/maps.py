@@ -192,6 +192,28 @@ def _score_corr(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wide.groupBy(*keys).agg(F.coalesce(r, F.lit(0.0)).alias("insulation_corr"))
 
 
+#: Sums of a diagonal of two maps: values, squares and products, over all its cells and (``_u``)
+#: over those where either map is above zero.
+_SUMS = {"s": ("sim",), "e": ("exp",), "ss": ("sim", "sim"), "ee": ("exp", "exp"), "se": ("sim", "exp")}
+
+
+def diagonal_sums(sim: DataFrame, exp: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
+    """What all measures of two maps but insulation need, one row a diagonal: (keys, d, stored
+    pixels of each side, sums and sums over used cells)."""
+    on = [*keys, "i", "j"]
+    cells = sim.select(*on, F.col(value).alias("_sim")).join(exp.select(*on, F.col(value).alias("_exp")), on, "full").select(
+        *on, "_sim", "_exp", F.coalesce("_sim", F.lit(0.0)).alias("sim"), F.coalesce("_exp", F.lit(0.0)).alias("exp"))
+    used = (F.col("sim") > 0) | (F.col("exp") > 0)
+
+    def term(names: tuple[str, ...]) -> Column:
+        return F.col(names[0]) if len(names) == 1 else F.col(names[0]) * F.col(names[1])
+
+    sums = [F.sum(term(names)).alias(k) for k, names in _SUMS.items()]
+    sums += [F.coalesce(F.sum(F.when(used, term(names))), F.lit(0.0)).alias(f"{k}_u") for k, names in _SUMS.items()]
+    return cells.groupBy(*keys, (F.col("j") - F.col("i")).cast("int").alias("d")).agg(
+        F.count("_sim").alias("n_sim"), F.count("_exp").alias("n_exp"), F.count_if(used).alias("n_u"), *sums)
+
+
 def compare_maps(
     sim: DataFrame, exp: DataFrame, keys: Sequence[str], n_bins: int, resolution: int,
     max_diag: int | None = None, window: int = INSULATION_WINDOW, value: str = "v",
@@ -199,18 +221,22 @@ def compare_maps(
     """Every agreement measure of a simulated and an experimental map, one row per ``keys``.
 
     Both maps are cropped to ``n_bins``, the smaller of their sizes, before anything is measured.
-    Curves, their metrics and insulation are computed for both maps at once, told apart by a
-    ``side`` key, and laid side by side by aggregation instead of joins.
+    One table of sums per diagonal gives the correlations, the curves and their metrics; curves
+    and insulation are computed for both maps at once, told apart by a ``side`` key. All measures
+    meet in one aggregation instead of joins.
     """
     keys = list(keys)
     sim, exp = (limit_distance(crop(m, n_bins), max_diag) for m in (sim, exp))
-    cells = join_maps(sim, exp, keys, value=value)
+    cube = diagonal_sums(sim, exp, keys, value)
     on = [*keys, "side"]
     columns = [*keys, "i", "j", value]
     both = sim.select(*columns).withColumn("side", F.lit("sim")).unionByName(
         exp.select(*columns).withColumn("side", F.lit("exp"))
     )
-    curve = curves.ps_curve(both, on, n_bins, value)
+    # only diagonals that a side stores; the curve fills the others itself
+    sides = F.array(*[F.struct(F.lit(m).alias("side"), F.col(c).alias("_s"), F.col(f"n_{m}").alias("_n")) for m, c in (("sim", "s"), ("exp", "e"))])
+    sums = cube.select(*keys, F.col("d").alias("_d"), F.inline(sides)).where("_n > 0")
+    curve = curves.curve_of_sums(sums.select(*on, "_d", "_s"), on, n_bins)
     score = insulation(both, on, n_bins, window, value)
 
     def of(side: str, c: str) -> Column:
@@ -225,13 +251,19 @@ def compare_maps(
     wide_metrics = metrics.groupBy(*keys).agg(*[
         of(side, c).alias(f"{side}_{c}") for side in ("sim", "exp") for c in names
     ])
-    out = overall_pearson(cells, keys)
-    for part in (
-        scc(diag_pearson(cells, keys, n_bins, max_diag), keys, n_bins),
-        _curve_corr(wide_curve, keys), _score_corr(wide_score, keys), wide_metrics,
-    ):
-        out = out.join(part, keys, "left")
-    return out
+    upper = F.col("d") > 0
+    total = lambda c: F.sum(F.when(upper, F.col(c)).otherwise(F.lit(0)))
+    overall = cube.groupBy(*keys).agg(F.coalesce(corr_of_sums(
+        total("n_u"), total("s_u"), total("e_u"), total("se_u"), total("ss_u"), total("ee_u")), F.lit(0.0)).alias("overall_pearson"))
+    last = n_bins if max_diag is None else min(n_bins, max_diag)
+    cells_of = (F.lit(n_bins) - F.col("d")).cast("long")
+    diagonals = cube.where(upper & (F.col("d") < last)).select(*keys, "d", cells_of.alias("n"), corr_of_sums(
+        cells_of, F.col("s"), F.col("e"), F.col("se"), F.col("ss"), F.col("ee")).alias("r")).where("r IS NOT NULL")
+    parts = [overall, scc(diagonals, keys, n_bins), _curve_corr(wide_curve, keys), _score_corr(wide_score, keys), wide_metrics]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.groupBy(*keys).agg(*[F.max(c).alias(c) for c in out.columns if c not in keys])
 
 
 def observed_over_expected(
