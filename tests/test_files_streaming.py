@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chromloom.catalog.registry import QUERIES
 from chromloom.operators import contacts as K
 from chromloom.operators import dynamics as D
 from chromloom.plans import summary as P
@@ -240,3 +241,12 @@ def test_running_dwell_in_any_order(spark, tmp_path):
     assert runs(chunk=3) == got == runs(chunk=1)
     want = sorted((r.start, r.length) for r in D.contact_runs(df, ["series"], "t", F.col("hit")).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["st1_running_contact_map", "st2_running_dwell"])
+def test_streams_of_tables_stored_as_folders(spark, tmp_path, name):
+    """A table may be one file or a folder of part files; the stream reads either."""
+    for table in ("embeddings", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").repartition(7).write.parquet(str(tmp_path / f"{table}.parquet"))
+    want, got = (QUERIES[name](spark, d).collect() for d in ("/root/testdata/sf0.001", str(tmp_path)))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
