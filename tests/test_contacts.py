@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chromloom.catalog.registry import QUERIES
 from chromloom.operators import contacts as K
 from chromloom.operators.contacts import _pair_codes
 from chromloom.schemas import POSITION
@@ -86,3 +87,13 @@ def test_merge_shards_renumbers(spark):
     df = spark.createDataFrame([("a", s, f) for s in (0, 1, 2) for f in (0, 5, 9)], "run string, shard int, frame long")
     got = sorted((r.shard, r.frame, r.n_shards) for r in K.merge_shards(df, ["run"]).collect())
     assert got == [(s, s * 3 + k, 3) for s in (0, 1, 2) for k in range(3)]
+
+
+def test_radius_join_query_returns_every_pair(spark):
+    """One row for each pair of beads in contact of a frame, with its distance."""
+    got = QUERIES["jn1_contacts_within_radius"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["chain", "frame", "i", "j", "d2"]
+    rows = got.collect()
+    assert len({tuple(r)[:4] for r in rows}) == len(rows) > 1000
+    counted = QUERIES["ag1_contact_map_grid"](spark, "/root/testdata/sf0.001").agg(F.sum("n")).first()[0]
+    assert counted == len(rows) and all(r.i < r.j and r.d2 <= 0.2 * 0.2 for r in rows)
