@@ -78,7 +78,7 @@ def _(t):
 
 
 @query("win15_latest_pooled", """
-SELECT o_custkey AS condition, max(o_orderkey % 50) AS n_blocks, arg_max('f' || (100000 + o_orderkey), (o_orderkey % 50) * 1000000 + o_orderkey) AS path FROM orders GROUP BY o_custkey""")
+SELECT o_custkey AS condition, max(o_orderkey % 50) AS n_blocks, arg_max('f' || (100000 + o_orderkey), row(o_orderkey % 50, 'f' || (100000 + o_orderkey))) AS path FROM orders GROUP BY o_custkey""")
 def _(t):
     runs = t("orders").select(
         F.col("o_custkey").alias("condition"), (F.col("o_orderkey") % 50).alias("n_blocks"),

@@ -62,7 +62,7 @@ def depth_match(
 
 
 def latest_pooled(runs: DataFrame, key: str = "condition") -> DataFrame:
-    """Per condition the pooled file with the most blocks."""
+    """Per condition the pooled file with the most blocks; of several, the last path in text order."""
     return runs.groupBy(key).agg(
         F.max("n_blocks").alias("n_blocks"), F.max_by("path", F.struct("n_blocks", "path")).alias("path")
     )

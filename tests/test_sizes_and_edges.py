@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chromloom.catalog.registry import ORACLES, QUERIES
 from chromloom.operators import contacts, curves, maps, sites, stats
 from chromloom.plans import summary
 from chromloom.plans.condition_report import quick_report
@@ -139,3 +140,15 @@ def test_candidates_relax_step_by_step(spark):
     assert sites.relaxed_candidates(df(conserved), lonely, ["locus"], 12, 5, 40, strict=False).count() == 3
     with pytest.raises(Exception, match="no pair of sites fits"):
         sites.relaxed_candidates(df(conserved), lonely, ["locus"], 12, 5, 40).collect()
+
+
+def test_latest_pooled_of_keys_of_any_size(spark, tmp_path):
+    """Most blocks first, whatever the keys; of several files the last path in text order."""
+    import duckdb
+
+    keys = [49, 9_000_048, 99, 899_949, 900_049, 8_829_099]  # 48 blocks for the second, 49 for the others
+    spark.createDataFrame([(k, 7) for k in keys], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = [tuple(r) for r in QUERIES["win15_latest_pooled"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert con.execute(ORACLES["win15_latest_pooled"]).fetchall() == got == [(7, 49, "f999949")]
