@@ -328,11 +328,7 @@ WITH wn AS (SELECT 'w' || o_orderkey AS name, 'chr' || (o_custkey % 4 + 1) AS ch
 @query("jn14_motif_hit_windows", MATCH + """
 SELECT key, count(*) AS n, min(p) AS p, count(*) FILTER (strand = '+') AS plus FROM mt GROUP BY key""")
 def _(t):
-    m = motifs.match_hits(motif_hits(t), windows(t))
-    return m.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("p").alias("p"),
-        F.count(F.when(F.col("strand") == "+", 1)).alias("plus"),
-    )
+    return motifs.hits_per_window(motif_hits(t), windows(t))
 
 
 BEST = """

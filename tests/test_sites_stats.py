@@ -137,3 +137,25 @@ def test_log_scale_for_ratio_like_metrics(spark):
     df = spark.createDataFrame(rows, "metric string, cond string, rep int, value double")
     r = stats.compare_conditions(df, n_boot=50).where("cond_x = 'a'").first()
     assert r.log10 and r.n_y == 2 and r.diff_mean == pytest.approx(-2.0)
+
+
+def test_hits_per_window_meet_each_place_once(spark, monkeypatch):
+    """Many windows and hits at one place: the same counts as of pairs, without making them."""
+    win = spark.range(3000).selectExpr(
+        "concat('w', id) AS name", "if(id % 3 = 0, 'chr2', 'chr1') AS chrom", "int(id % 2) * 50 + 100 AS start0", "int(id % 2) * 50 + 300 AS end", "id % 2000 AS key")
+    hits = spark.range(3000).selectExpr(
+        "CASE WHEN id % 4 = 0 THEN concat('w', id % 7, '::chr1:5-9') WHEN id % 4 = 1 THEN 'chr1:100-300' WHEN id = 2 THEN NULL ELSE 'chr2' END AS sequence_name",
+        "if(id % 4 = 1, 0, 100) + int(id % 60) AS start", "if(id % 4 = 1, 0, 100) + int(id % 60) + 19 AS stop",
+        "CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN '-' ELSE '+' END AS strand", "if(id % 11 = 0, NULL, (id * 37 % 1000) / 1000D) AS p", "id AS line")
+    pairs = motifs.match_hits(hits, win).groupBy("key").agg(
+        F.count("*").alias("n"), F.min("p").alias("p"), F.count(F.when(F.col("strand") == "+", 1)).alias("plus"))
+    met, contained = [], motifs._contained
+
+    def counted(*args):
+        met.append(contained(*args))
+        return met[-1]
+
+    monkeypatch.setattr(motifs, "_contained", counted)
+    out = motifs.hits_per_window(hits, win)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, pairs.collect())) and pairs.agg(F.sum("n")).first()[0] > 1_000_000
+    assert 0 < met[0].count() <= 3 * 60 * 4  # places and borders, whatever the number of hits and windows
