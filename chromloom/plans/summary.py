@@ -172,16 +172,17 @@ def harvest_able_table(tables: DataFrame) -> DataFrame:
     """Condition-level loop scores: strength, centre and background per pair and condition."""
     kinds = {"strength": "able_strength", "center_mean": "able_center", "background_mean": "able_background"}
     nested = T.MapType(T.StringType(), T.MapType(T.StringType(), T.DoubleType()))
-    parts = None
-    for name, out in kinds.items():
-        rows = tables.select(
-            F.explode(F.from_json(F.get_json_object("value", f"$.{name}"), nested)).alias("pair", "by")
-        ).select("pair", F.explode("by").alias("condition", "value")).select(
-            "condition", F.lit("AbLE").alias("group"),
-            metric_key(F.lit(out), F.col("pair")).alias("metric"), "value",
-        )
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    schema = T.StructType([T.StructField(name, nested) for name in kinds])
+    # one pass: every table is parsed once for all kinds
+    parsed = tables.select(F.from_json("value", schema).alias("_t"))
+    rows = parsed.select(
+        F.inline(F.array(*[F.struct(F.lit(out).alias("kind"), F.col(f"_t.{name}").alias("pairs")) for name, out in kinds.items()]))
+    ).select("kind", F.explode("pairs").alias("pair", "by")).select(
+        metric_key(F.col("kind"), F.col("pair")).alias("metric"), F.explode("by").alias("condition", "value")
+    )
+    return rows.select("condition", F.lit("AbLE").alias("group"), "metric", "value").where(
+        F.col("value").isNotNull() & ~F.isnan("value")
+    )
 
 
 def harvest_msd_stats(tables: DataFrame) -> DataFrame:

@@ -152,3 +152,13 @@ def test_latest_pooled_of_keys_of_any_size(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert con.execute(ORACLES["win15_latest_pooled"]).fetchall() == got == [(7, 49, "f999949")]
+
+
+def test_able_tables_are_parsed_once(spark):
+    """All kinds from one reading of the tables; numbers that Python writes as NaN cost no other."""
+    body = '{"pair_labels": ["p"], "strength": {"p": {"a": 1, "b": NaN, "z": null}}, "center_mean": {"p": {"a": 2}}, "background_mean": 5}'
+    files = spark.createDataFrame([(body,), ("{broken",), (None,)], "value string")
+    out = summary.harvest_able_table(files)
+    assert {tuple(r) for r in out.collect()} == {("a", "AbLE", "able_strength[p]", 1.0), ("a", "AbLE", "able_center[p]", 2.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("from_json") == 1
