@@ -163,3 +163,41 @@ def test_every_window_of_a_long_candidate_teaches():
     long = "password=" + "aB3" * 100
     [batch] = secrets._findings(iter([pa.RecordBatch.from_pydict({"t": [long]})]))
     assert batch.num_rows == len(secrets.windows(long, *secrets.candidates(long)[0])) > 5
+
+
+def test_all_findings_teach_or_calibrate(spark):
+    """Some 3,700 distinct findings of each label, and more."""
+    rng = random.Random(9)
+    mixed = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    drawn = lambda k: "".join(rng.choice(mixed) for _ in range(k))
+    docs = spark.createDataFrame([(k, f"password={drawn(14)} and page-{drawn(4)}-of-{drawn(4)} walk") for k in range(3_700)], "doc_id long, text string")
+    net = secrets.train(docs)
+    windows = docs.select("text").mapInArrow(secrets._findings, "label int, window binary").distinct().count()
+    assert windows > 7_000 and net.taught + net.kept_back == windows and net.kept_back > 0.25 * windows
+
+
+def test_parts_that_learn_side_by_side(spark):
+    """Averaged weights find what one course finds, and are the same at every run."""
+    rng = random.Random(1)
+    docs = spark.createDataFrame(corpus(rng, 900), "doc_id long, text string")
+    nets = [secrets.train(d, chunk=100, most_parts=4) for d in (docs, docs.repartition(5))]
+    assert all((nets[0].weights[k] == nets[1].weights[k]).all() for k in nets[0].weights) and nets[0][1:] == nets[1][1:]
+    bare = "".join(rng.choice("0123456789ABCDEFabcdef") for _ in range(40))
+    assert found(nets[0], f"river house {bare} walk walk") == [("learned", "12", "52")]
+    assert found(nets[0], "river house mail77.example.com walk") == []
+
+
+def test_counted_scores_calibrate_like_repeated_ones():
+    rng = np.random.default_rng(4)
+    z, y, n = rng.normal(size=300), (rng.random(300) < 0.4).astype(float), rng.integers(1, 6, 300)
+    got = secrets.calibrate(z, y, 0.9, n=n)
+    assert got == pytest.approx(secrets.calibrate(np.repeat(z, n), np.repeat(y, n), 0.9))
+
+
+def test_chunks_hold_every_row_once():
+    batches = []
+    for part, k in ((0, 5), (0, 100), (1, 3), (2, 49), (2, 26)):
+        x = np.full((k, secrets.WIDTH), part, np.uint8)
+        batches.append(pa.RecordBatch.from_pydict({"part": pa.array([part] * k, pa.int32()), "label": pa.array([0] * k, pa.int32()), "window": [r.tobytes() for r in x]}))
+    got = [(p, len(y)) for p, x, y in secrets._chunks(iter(batches), 50) if (x == p).all()]
+    assert got == [(0, 50), (0, 55), (1, 3), (2, 50), (2, 25)]
